@@ -84,10 +84,14 @@ def url_parts(url: Column) -> Column:
     return F.struct(kind.alias("kind"), token.alias("token"), ext.alias("export_ext"))
 
 
+def _tagged(kind: str):
+    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("id"))
+
+
 def text_links(text: Column) -> Column:
     """``array<struct<kind,id>>`` of wiki tokens and story ids named in a text."""
     found = []
     for kind, pattern in (("wiki", WIKI_TOKEN), ("story", WIKI_STORY), ("status_story", STATUS_STORY)):
         ids = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found.append(F.transform(ids, lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("id"))))
+        found.append(F.transform(ids, _tagged(kind)))
     return F.concat(*found)

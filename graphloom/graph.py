@@ -20,28 +20,27 @@ HOT_MINIMUM = 100_000
 
 @dataclass(frozen=True)
 class Links:
-    """Symmetric link table ``(a, salt, b, relationship, degree, b_infra)`` bucketed by ``(a, salt)``.
+    """Symmetric link table ``(a, salt, b, relationship, degree, b_infra)``, bucketed by node.
 
     Both directions of every edge are present, parallel edges are kept and a
-    self-loop appears twice. ``hot`` lists the split nodes (``a, splits``); it
-    holds at most ``HOT_FRACTION`` rows and is None when no node is that large.
+    self-loop appears twice. ``hot`` lists the nodes split over several buckets
+    (``a, splits``), at most ``HOT_FRACTION`` rows; the table is then bucketed
+    by ``(a, salt)``. It is None when no node is that large, and the buckets
+    are by ``a`` alone.
     """
 
     table: DataFrame
     hot: DataFrame | None
 
-    def salted(self, frontier: DataFrame) -> DataFrame:
-        """Repeat frontier rows once per bucket their node is split over."""
-        if self.hot is None:
-            return frontier.withColumn("salt", F.lit(0))
-        return (frontier.join(F.broadcast(self.hot), "a", "left")
-                .withColumn("salt", F.explode(F.sequence(
-                    F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1)))
-                .drop("splits"))
-
     def follow(self, frontier: DataFrame) -> DataFrame:
-        """Frontier rows (column ``a``) joined to their links."""
-        return self.salted(frontier).join(self.table, ["a", "salt"])
+        """Frontier rows (column ``a``) joined to their links; the links are not shuffled."""
+        if self.hot is None:
+            return frontier.join(self.table, "a")
+        salted = (frontier.join(F.broadcast(self.hot), "a", "left")
+                  .withColumn("salt", F.explode(F.sequence(
+                      F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1)))
+                  .drop("splits"))
+        return salted.join(self.table, ["a", "salt"])
 
 
 class PropertyGraph:
@@ -84,8 +83,8 @@ class PropertyGraph:
 
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"graphloom_links_{uuid.uuid4().hex}"
-        (rows.repartition(buckets, "a", "salt")
-         .write.bucketBy(buckets, "a", "salt").sortBy("a", "salt")
+        keys = ["a", "salt"] if hot_count else ["a"]
+        (rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
          .option("path", work_path(self.spark, "links")).saveAsTable(name))
         return Links(self.spark.table(name), hot if hot_count else None)
 

@@ -12,11 +12,6 @@ from graphloom.graph import PropertyGraph
 from graphloom.operators.relations import induced_edges
 from graphloom.session import materialize
 
-# --- fixed values ------------------------------------------------------------
-EDGES_TRIED = 20
-STALE_ROUNDS = 3
-# -----------------------------------------------------------------------------
-
 
 def _order(seed: int, *columns: str) -> Column:
     """A random order that depends on row keys only, so reruns of a task agree."""
@@ -37,40 +32,35 @@ def random_sample(graph: PropertyGraph, limit: int = 50, labels: Sequence[str] =
 
 def random_subgraph(graph: PropertyGraph, limit: int = 50, labels: Sequence[str] = (),
                     seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A connected sample grown from a random node: nodes ``(id, label, name)`` and induced edges.
+    """A sample grown from a random node: nodes ``(id, label, name)`` and induced edges.
 
-    Every round lets each sampled node offer up to 20 of its links in random
-    order and takes new neighbours until ``limit``; after three rounds without
-    growth another random node is added.
+    Every round each sampled node offers one random neighbour not sampled yet;
+    offers are taken in random order until ``limit``. A round without offers
+    adds another random node instead.
     """
     allowed = graph.nodes.select("id", "label", "name")
     if labels:
         allowed = allowed.filter(F.col("label").isin(*labels))
-    picked = [materialize(allowed.orderBy(_order(seed, "id"), "id").limit(1).select("id"), "pick")]
-    size, stale, step = picked[0].count(), 0, 0
+    ids = allowed.select("id")
+    picked = [materialize(ids.orderBy(_order(seed, "id"), "id").limit(1), "pick")]
+    size, step = picked[0].count(), 0
     while 0 < size < limit:
         step += 1
         chosen = reduce(DataFrame.unionAll, picked)
-        if stale < STALE_ROUNDS:
-            ranked = (graph.links.follow(chosen.select(F.col("id").alias("a")))
-                      .filter(F.col("a") != F.col("b"))
-                      .select("a", F.struct(_order(seed + step, "a", "b").alias("o"), F.col("b").alias("id")).alias("c"))
-                      .groupBy("a").agg(F.min("c").alias("c")))
-            offers = ranked.select(F.col("c.id").alias("id")).distinct()
-        else:
-            offers, stale = allowed.select("id"), 0
-        new = (offers.join(chosen, "id", "left_anti").join(allowed.select("id"), "id", "left_semi")
-               .orderBy(_order(seed + step, "id"), "id").limit(limit - size if stale < STALE_ROUNDS else 1))
-        layer = materialize(new, "pick")
+        offers = (graph.links.follow(chosen.select(F.col("id").alias("a")))
+                  .select("a", F.col("b").alias("id"))
+                  .join(chosen, "id", "left_anti").join(ids, "id", "left_semi")
+                  .groupBy("a").agg(F.min_by("id", _order(seed + step, "a", "id")).alias("id"))
+                  .select("id").distinct())
+        layer = materialize(offers.orderBy(_order(seed + step, "id"), "id").limit(limit - size), "pick")
         grown = layer.count()
-        if grown:
-            picked.append(layer)
-            size += grown
-            stale = 0
-        else:
-            stale += 1
-            if step > 3 * limit:
+        if not grown:
+            restart = ids.join(chosen, "id", "left_anti").orderBy(_order(seed + step, "id"), "id").limit(1)
+            layer = materialize(restart, "pick")
+            grown = layer.count()
+            if not grown:
                 break
-    ids = reduce(DataFrame.unionAll, picked)
-    nodes = allowed.join(ids, "id", "left_semi")
-    return nodes, induced_edges(graph.edges, ids)
+        picked.append(layer)
+        size += grown
+    sample = reduce(DataFrame.unionAll, picked)
+    return allowed.join(sample, "id", "left_semi"), induced_edges(graph.edges, sample)
