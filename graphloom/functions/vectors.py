@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+VECTOR = T.ArrayType(T.FloatType())
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -40,13 +43,13 @@ def unit_values(values: Sequence[float]) -> list[float]:
     return (array / length).tolist() if length > 0 else []
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(VECTOR)
 def decode_float32(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to a vector."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_float32(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
@@ -99,7 +102,7 @@ def with_embedding(df: DataFrame, text_column: str, embedder: Embedder, batch: i
                    output: str = "embedding") -> DataFrame:
     """Add the embedding of ``text_column``; the model sees at most ``batch`` texts per call."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(VECTOR)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts = [t or "" for t in part]

@@ -88,6 +88,11 @@ class PropertyGraph:
          .option("path", work_path(self.spark, "links")).saveAsTable(name))
         return Links(self.spark.table(name), hot if hot_count else None)
 
-    def save(self, nodes_path: str, edges_path: str) -> None:
-        self.nodes.write.mode("overwrite").partitionBy("label").parquet(nodes_path)
-        self.edges.write.mode("overwrite").parquet(edges_path)
+
+def stored(graph: PropertyGraph) -> PropertyGraph:
+    """The same graph over tables in the work folder: nodes partitioned by label, edges as they come."""
+    spark = graph.spark
+    path = work_path(spark, "nodes")
+    graph.nodes.write.partitionBy("label").parquet(path)
+    nodes = spark.read.schema(graph.nodes.schema).parquet(path).select(*graph.nodes.columns)
+    return PropertyGraph(nodes, materialize(graph.edges, "edges"))

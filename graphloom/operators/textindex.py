@@ -40,9 +40,7 @@ class TextIndex:
         sized = tokenised.select("id", "label", F.size("tokens").alias("doc_len"), "tokens")
         postings = materialize(
             sized.select("id", "label", "doc_len", F.explode("tokens").alias("term"))
-            .groupBy("term", "id").agg(F.first("label").alias("label"),
-                                       F.first("doc_len").alias("doc_len"),
-                                       F.count(F.lit(1)).alias("tf"))
+            .groupBy("term", "id", "label", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
             .sortWithinPartitions("term"), "postings")
         terms = materialize(
             postings.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
@@ -73,7 +71,7 @@ class TextIndex:
         if label:
             weighted = weighted.filter(F.col("label") == label)
         return (weighted.withColumn("weight", F.col("weight") * F.element_at(repeats, F.col("term")))
-                .groupBy("id").agg(F.first("label").alias("label"), F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
+                .groupBy("id", "label").agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
                 .filter(F.col("score") > 0))
 
 

@@ -12,7 +12,9 @@ from graphloom.operators.textindex import SCORE_DIGITS
 
 
 def prepared(table: DataFrame) -> DataFrame:
-    """Vectors with their norm; rows without a usable vector are dropped."""
+    """Vectors with their norm; rows without a usable vector are dropped. Prepared input is kept."""
+    if "norm" in table.columns:
+        return table
     return (table.filter(F.col("embedding").isNotNull())
             .withColumn("norm", vectors.norm(F.col("embedding"))).filter(F.col("norm") > 0))
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # Rows of (id, score)-like shape that may be broadcast once counted.
 BROADCAST_ROW_BOUND = 200_000
 
@@ -84,3 +90,9 @@ def pin_top(df: DataFrame, limit: int) -> DataFrame:
     """
     rows = df.limit(limit).collect()
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def together(*steps: Callable[[], T]) -> list[T]:
+    """Run independent steps at the same time, so that their small jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
