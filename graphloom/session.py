@@ -94,5 +94,6 @@ def pin_top(df: DataFrame, limit: int) -> DataFrame:
 
 def together(*steps: Callable[[], T]) -> list[T]:
     """Run independent steps at the same time, so that their small jobs share the cluster."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=len(steps)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(step)) for step in steps]]
+        return [f.result() for f in [pool.submit(inherit(step)) for step in steps]]

@@ -30,37 +30,43 @@ OUTPUT = "id string, status string, changes int, log string, at timestamp"
 STATE = "status string, log string, at timestamp, changes int"
 
 
-def proposal_states(actions: DataFrame) -> DataFrame:
+def proposal_states(actions: DataFrame, lateness: str | None = None) -> DataFrame:
     """Stream of ``(id, action, at, seq)`` to one row per proposal and batch: its status after the batch.
 
-    Actions that do not fit the status are ignored. A proposal left in progress
-    for 30 minutes is put back to approved, as after a restart. State per
-    proposal is one status and the last 50 log lines.
+    Actions that do not fit the status are ignored. With ``lateness`` (a
+    watermark delay) a proposal left in progress for 30 minutes of event time
+    goes back to approved, as after a restart. State per proposal is one status
+    and the last 50 log lines.
     """
-    return actions.select("id", "action", "at", "seq").groupBy("id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _advance(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, log, at, changes = state.get if state.exists else (FIRST_STATUS, "", None, 0)
-    lines = log.split("\n") if log else []
-    if state.hasTimedOut:
-        if status == "in_progress":
-            status, changes = "approved", changes + 1
-            lines.append("reset after timeout")
-    else:
-        # only the three columns of this micro-batch's rows of one proposal
-        rows = pd.concat([b[["at", "seq", "action"]] for b in batches], ignore_index=True)
-        for row in rows.sort_values(["at", "seq"]).itertuples(index=False):
-            following = TRANSITIONS.get((status, row.action))
-            if following:
-                status, at, changes = following, row.at.to_pydatetime(), changes + 1
-                lines = (lines + [f"{row.action} -> {following}"])[-LOG_LINES:]
-    log = "\n".join(lines)
-    state.update((status, log, at, changes))
-    if status == "in_progress":
-        state.setTimeoutDuration(TIMEOUT_MS)
-    yield pd.DataFrame({"id": [key[0]], "status": [status], "changes": [changes], "log": [log], "at": [at]})
+    rows = actions.select("id", "action", "at", "seq")
+    timeout = GroupStateTimeout.NoTimeout
+    if lateness is not None:
+        rows, timeout = rows.withWatermark("at", lateness), GroupStateTimeout.EventTimeTimeout
+    timed = lateness is not None
+
+    def advance(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, log, at, changes = state.get if state.exists else (FIRST_STATUS, "", None, 0)
+        lines = log.split("\n") if log else []
+        if state.hasTimedOut:
+            if status == "in_progress":
+                status, changes, lines = "approved", changes + 1, (lines + ["reset after timeout"])[-LOG_LINES:]
+        else:
+            # one proposal's actions of this micro-batch
+            part = pd.concat([b[["at", "seq", "action"]] for b in batches], ignore_index=True)
+            for row in part.sort_values(["at", "seq"]).itertuples(index=False):
+                following = TRANSITIONS.get((status, row.action))
+                if following:
+                    status, at, changes = following, row.at.to_pydatetime(), changes + 1
+                    lines = (lines + [f"{row.action} -> {following}"])[-LOG_LINES:]
+        log = "\n".join(lines)
+        state.update((status, log, at, changes))
+        if timed and status == "in_progress":
+            due = int(pd.Timestamp(at).timestamp() * 1000) + TIMEOUT_MS
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": [key[0]], "status": [status], "changes": [changes], "log": [log],
+                            "at": [pd.NaT if at is None else at]})
+
+    return rows.groupBy("id").applyInPandasWithState(advance, OUTPUT, STATE, "update", timeout)
 
 
 def latest_states(updates: DataFrame) -> DataFrame:
