@@ -32,17 +32,30 @@ class Links:
     table: DataFrame
     hot: DataFrame | None
 
-    def follow(self, frontier: DataFrame) -> DataFrame:
-        """Frontier rows (column ``a``) joined to their links; the links are not shuffled."""
+    def follow(self, frontier: DataFrame, unique: bool = False) -> DataFrame:
+        """Frontier rows (column ``a``) joined to their links; the links are not shuffled.
+
+        A frontier with one row per node (``unique``) is hashed per bucket, which
+        spares sorting the links; its share of a bucket is bounded by the nodes in it.
+        """
         if self.hot is None:
-            return frontier.join(self.table, "a")
+            return (frontier.hint("shuffle_hash") if unique else frontier).join(self.table, "a")
         salted = (frontier.join(F.broadcast(self.hot), "a", "left")
                   .withColumn("salt", F.explode(F.sequence(
                       F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1)))
                   .drop("splits"))
+        salted = salted.hint("shuffle_hash") if unique else salted
         return salted.join(self.table, ["a", "salt"])
 
 
+@dataclass(frozen=True)
+class Walk:
+    """``keys (id, key)`` of all linked nodes, and the links with ``a`` and ``b`` as those numbers."""
+
+    keys: DataFrame
+    links: Links
+
+
 class PropertyGraph:
     """Nodes ``(id, label, name, description, ..., properties)`` and edges ``(source, target, relationship)``."""
 
@@ -81,12 +94,29 @@ class PropertyGraph:
         rows = linked.select("a", "salt", "b", "relationship", "degree",
                              F.coalesce("b_infra", F.lit(False)).alias("b_infra"))
 
+        return Links(self._bucketed(rows, "links", bool(hot_count)), hot if hot_count else None)
+
+    @cached_property
+    def walk(self) -> Walk:
+        """The links under numeric node keys, for operators that iterate over scores."""
+        links = self.links
+        keys = materialize(links.table.groupBy(F.col("a").alias("id")).agg(F.max("degree").alias("degree"))
+                           .select("id", F.monotonically_increasing_id().alias("key")), "keys")
+        from_key = keys.select(F.col("id").alias("a"), F.col("key").alias("a_key"))
+        to_key = keys.select(F.col("id").alias("b"), F.col("key").alias("b_key"))
+        rows = (links.table.select("a", "salt", "b", "degree").join(from_key, "a").join(to_key, "b")
+                .select(F.col("a_key").alias("a"), "salt", F.col("b_key").alias("b"), "degree"))
+        hot = None if links.hot is None else materialize(
+            links.hot.join(from_key, "a").select(F.col("a_key").alias("a"), "splits"), "hot")
+        return Walk(keys, Links(self._bucketed(rows, "walk", hot is not None), hot))
+
+    def _bucketed(self, rows: DataFrame, name: str, salted: bool) -> DataFrame:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"graphloom_links_{uuid.uuid4().hex}"
-        keys = ["a", "salt"] if hot_count else ["a"]
-        (rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
-         .option("path", work_path(self.spark, "links")).saveAsTable(name))
-        return Links(self.spark.table(name), hot if hot_count else None)
+        columns = ["a", "salt"] if salted else ["a"]
+        table = f"graphloom_{name}_{uuid.uuid4().hex}"
+        (rows.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns)
+         .option("path", work_path(self.spark, name)).saveAsTable(table))
+        return self.spark.table(table)
 
 
 def stored(graph: PropertyGraph) -> PropertyGraph:

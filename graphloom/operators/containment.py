@@ -23,44 +23,49 @@ def _pieces(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(PIECES), F.lit(0))
 
 
+def _occurrences(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode(F.array_distinct(_pieces(F.col("body")))).alias("piece"))
+
+
 def contained_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """``(doc_id, term_id)`` where ``lower(documents.text)`` contains ``lower(terms.name)``."""
     docs = documents.select("doc_id", F.lower("text").alias("body"))
     names = terms.filter(F.coalesce(F.col("name"), F.lit("")) != "").select(
         "term_id", F.lower("name").alias("name_lc"))
-    occurrences = materialize(
-        docs.select("doc_id", F.explode(F.array_distinct(_pieces(F.col("body")))).alias("piece")),
-        "occurrences")
-    vocabulary = materialize(occurrences.groupBy("piece").agg(F.count(F.lit(1)).alias("docs")),
-                             "vocabulary")
-
     split = names.withColumn("p", _pieces(F.col("name_lc")))
     size = F.size("p")
     inner = F.filter(F.col("p"), lambda v, i: ~v.rlike(WORD) | ((i > 0) & (i < size - 1)))
     words = F.filter(inner, lambda v: v.rlike(WORD))
     has_word = F.exists(F.col("p"), lambda v: v.rlike(WORD))
+
     # whole-token anchors: inner words, or the other characters of a term without any word
-    anchors = split.select("term_id", F.explode(F.when(
-        (F.size(words) > 0) | ~has_word, F.array_distinct(inner))).alias("piece"))
-    anchored = (anchors.join(vocabulary, "piece", "left")
-                .groupBy("term_id")
-                .agg(F.min_by("piece", F.struct(F.coalesce("docs", F.lit(0)), "piece")).alias("piece")))
-
-    # terms of edge words only: longest word, looked up as a part of vocabulary words
-    longest = F.element_at(F.array_sort(F.transform(
-        F.filter(F.col("p"), lambda v: v.rlike(WORD)),
-        lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))), -1)["v"]
-    edge_terms = split.filter(has_word & (F.size(words) == 0)).select("term_id", longest.alias("part"))
-    lengths = edge_terms.select(F.length("part").alias("n")).distinct()
-    parts = (vocabulary.filter(F.col("piece").rlike(WORD)).select("piece", F.explode(
-        F.sequence(F.lit(1), F.length("piece"))).alias("n"))
-        .join(lengths, "n", "left_semi")
-        .select("piece", F.explode(F.expr(
-            "array_distinct(transform(sequence(1, length(piece) - n + 1), i -> substring(piece, i, n)))")
-        ).alias("part")))
-    partial = parts.join(edge_terms, "part").select("term_id", "piece")
-
-    proposed = (occurrences.join(anchored.unionAll(partial), "piece")
-                .select("doc_id", "term_id").distinct())
+    anchors = materialize(split.select("term_id", F.explode(F.when(
+        F.size(words) > 0, F.array_distinct(words)).when(~has_word, F.array_distinct(inner))).alias("piece")), "anchors")
+    # counted for the terms' own pieces only; everything else is dropped before the shuffle
+    counted = (_occurrences(docs).join(anchors.select("piece").distinct(), "piece", "left_semi")
+               .groupBy("piece").agg(F.count(F.lit(1)).alias("docs")))
+    anchored = materialize(
+        anchors.join(counted, "piece", "left").groupBy("term_id")
+        .agg(F.min_by("piece", F.struct(F.coalesce("docs", F.lit(0)), "piece")).alias("piece")), "anchored")
+
+    edge_terms = materialize(split.filter(has_word & (F.size(words) == 0)).select(
+        "term_id", _longest_word(F.col("p")).alias("part")), "edge-terms")
+    lookups = anchored if edge_terms.isEmpty() else anchored.unionByName(_word_parts(docs, edge_terms))
+    proposed = _occurrences(docs).join(lookups, "piece").select("doc_id", "term_id").distinct()
     return (proposed.join(names, "term_id").join(docs, "doc_id")
             .filter(F.contains("body", F.col("name_lc"))).select("doc_id", "term_id"))
+
+
+def _longest_word(pieces: Column) -> Column:
+    return F.element_at(F.array_sort(F.transform(
+        F.filter(pieces, lambda v: v.rlike(WORD)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))), -1)["v"]
+
+
+def _word_parts(docs: DataFrame, edge_terms: DataFrame) -> DataFrame:
+    """``(term_id, piece)``: the words of the texts that contain a term's longest word."""
+    vocabulary = _occurrences(docs).select("piece").filter(F.col("piece").rlike(WORD)).distinct()
+    lengths = edge_terms.select(F.length("part").alias("n")).distinct()
+    substrings = F.expr("array_distinct(transform(sequence(1, length(piece) - n + 1), i -> substring(piece, i, n)))")
+    parts = (vocabulary.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("n"))
+             .join(lengths, "n", "left_semi").select("piece", F.explode(substrings).alias("part")))
+    return materialize(parts.join(edge_terms, "part").select("term_id", "piece"), "word-parts")

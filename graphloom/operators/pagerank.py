@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,17 +26,21 @@ def personalized_pagerank(graph: PropertyGraph, seeds: Sequence[str], alpha: flo
     buckets, so a round shuffles scores, never edges.
     """
     spark, share = graph.spark, 1.0 / len(seeds)
-    unique = list(Counter(seeds))
-    start = [(s, share) for s in unique]
-    scores = spark.createDataFrame(start, "a string, score double")
-    teleport = spark.createDataFrame([(s, (1 - alpha) * share) for s in unique], "a string, score double")
+    walk = graph.walk
+    known = {r["id"]: r["key"] for r in walk.keys.filter(F.col("id").isin(*seeds)).collect()}  # the seeds' own keys
+    schema = "a long, score double"
+    scores = spark.createDataFrame([(k, share) for k in known.values()], schema)
+    teleport = spark.createDataFrame([(k, (1 - alpha) * share) for k in known.values()], schema)
     for done in range(1, ROUNDS + 1):
-        spread = graph.links.follow(scores).select(
+        spread = walk.links.follow(scores, unique=True).select(
             F.col("b").alias("a"), (F.lit(alpha) * F.col("score") / F.col("degree")).alias("score"))
         scores = spread.unionAll(teleport).groupBy("a").agg(F.sum("score").alias("score"))
         if done % CUT_EVERY == 0:
             scores = materialize(scores, "ranks")
-    return scores.select(F.col("a").alias("id"), "score")
+    named = scores.join(walk.keys.withColumnRenamed("key", "a"), "a").select("id", "score")
+    # a seed without edges keeps just its teleport share
+    alone = [(s, (1 - alpha) * share) for s in dict.fromkeys(seeds) if s not in known]
+    return named.unionAll(spark.createDataFrame(alone, "id string, score double")) if alone else named
 
 
 def top_ranked(scores: DataFrame, top_k: int = 50) -> DataFrame:
