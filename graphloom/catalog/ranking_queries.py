@@ -127,7 +127,8 @@ def snapshot_cards(c: Context):
     return default_search.cards(_snapshots(c))
 
 
-@query("code_outline_nodes")
+@query("code_outline_nodes", f"""{_DEFAULT} SELECT p.id AS code_id, 'record/' || replace(n.path[15:], '\\', '/') AS record_path,
+  NULL::varchar AS item_label, NULL::varchar AS item_name, NULL::int AS place FROM (SELECT * FROM placed WHERE label = 'CodeFile' ORDER BY place LIMIT 3) p JOIN nodes n USING (id)""")
 def code_outline_nodes(c: Context):
     return default_search.code_outlines(c.retriever, default_search.rerank(c.retriever, GRAPH_QUERY, 10, c.vector(0)))
 
@@ -181,6 +182,47 @@ def code_baseline(c: Context):
     return answer.files.select("rank", "id", "path", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"))
 
 
+_FULL = f"""{_TERMS}, {_hits('code_h', 120, 'CodeFile')},
+tok AS (SELECT list_distinct(list_concat((SELECT t FROM q), flatten(list(list_filter(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))))) AS t
+  FROM terms WHERE place <= 8),
+c0 AS (SELECT id AS seed, id, 0 AS hop, importance FROM terms WHERE place <= 6),
+infra AS (SELECT id FROM nodes WHERE infra_layer = 'L1'),
+c1 AS (SELECT DISTINCT c.seed, s.b AS id, 1 AS hop, importance FROM c0 c JOIN sym s ON s.a = c.id WHERE s.b <> c.id AND s.b NOT IN (SELECT id FROM infra)),
+c01 AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1),
+c2 AS (SELECT DISTINCT c.seed, s.b AS id, 2 AS hop, importance FROM c1 c JOIN sym s ON s.a = c.id WHERE s.b NOT IN (SELECT id FROM infra)
+  AND NOT EXISTS (SELECT 1 FROM c01 v WHERE v.seed = c.seed AND v.id = s.b)),
+call AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, id) AS rn FROM (SELECT * FROM c01 UNION ALL SELECT * FROM c2)) WHERE rn <= 260),
+comm AS (SELECT c.id, sum(importance) AS support FROM call c JOIN nodes n ON n.id = c.id AND n.label = 'CodeFile' GROUP BY c.id),
+w_d AS (SELECT id, label, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk FROM code_pool WHERE score > 0) WHERE rk <= 160),
+dn AS (SELECT id, score FROM w_d WHERE label = 'CodeFile' ORDER BY score DESC, id LIMIT 80),
+w_s AS (SELECT id, label, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rk FROM sparse_all) WHERE rk <= 160),
+bm AS (SELECT id, score FROM w_s WHERE label = 'CodeFile' ORDER BY score DESC, id LIMIT 80),
+items AS (SELECT h.id, n.name, 'record/' || replace(n.path[15:], '\\', '/') AS key, h.score AS raw FROM code_h h JOIN nodes n USING (id)
+  WHERE regexp_matches(n.path, '\\.(py|cs|lua)$')),
+base AS (SELECT i.*, raw / (SELECT max(raw) FROM items) AS baseline, lower(name || ' ' || key) AS txt FROM items i),
+scored AS (SELECT b.*, coalesce(dn.score / (SELECT max(score) FROM dn), baseline) AS semantic,
+  0.45::double * len(list_filter(q.t, lambda x: contains(txt, x)))::double / len(q.t) + 0.55::double * coalesce(bm.score / (SELECT max(score) FROM bm), baseline) AS lexical,
+  0.18::double * len(list_filter(tok.t, lambda x: contains(txt, x)))::double / len(tok.t) AS intent,
+  0.55::double * coalesce(comm.support, 0.0::double) / (SELECT max(support) FROM comm) AS community
+  FROM base b LEFT JOIN dn USING (id) LEFT JOIN bm USING (id) LEFT JOIN comm USING (id), q, tok),
+adv AS (SELECT *, round(least(1.0::double, 0.82::double * semantic + (1.0::double - 0.82::double) * lexical + intent + community), 9) AS score FROM scored),
+fin AS (SELECT *, row_number() OVER (ORDER BY score DESC, baseline DESC, raw DESC, name, id) AS place FROM adv)
+SELECT cast(place as int) AS rank, id, key AS path, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
+  round(score, 6) AS score FROM fin WHERE place <= 8"""
+_POOL160 = """snip160 AS (SELECT id, score FROM snip ORDER BY score DESC, id LIMIT 160),
+code_pool AS (SELECT id, label, max(score) AS score FROM (SELECT id, label, score FROM dense_all UNION ALL
+  SELECT s.id, n.label, s.score FROM snip160 s JOIN nodes n USING (id)) GROUP BY id, label),
+w_d AS ("""
+
+
+@query("code_advanced", _FULL.replace("w_d AS (", _POOL160, 1))
+def code_advanced(c: Context):
+    """The whole file score: meaning, wording, intent words and term community."""
+    options = code_search.CodeOptions(strategy="advanced_rerank")
+    answer = code_search.search(c.retriever, GRAPH_QUERY, options, c.vector(0))
+    return answer.files.select("rank", "id", "path", "confidence", F.round("score", 6).alias("score"))
+
+
 @query("index_only", f"""{_shared()}, {_hits('ix', 50)},
 conf AS (SELECT ix.id, n.name, ix.label AS node_type, ix.score, least(1.0::double, ix.score / (SELECT max(score) FROM ix)) AS confidence,
   CASE WHEN n.label = 'CodeFile' THEN 'record/' || replace(n.path[15:], '\\', '/') WHEN n.label = 'Folder' THEN 'record/' || n.id[5:] ELSE n.id END AS asset_link
@@ -193,7 +235,12 @@ def index_only_pointers(c: Context):
     return rows.select("rank", "name", "node_type", "asset_link", F.round("confidence", 6).alias("confidence"), "confidence_level")
 
 
-@query("index_only_lines")
+@query("index_only_lines", f"""{_shared()}, {_hits('ix', 50, 'CodeFile')},
+kept AS (SELECT ix.*, n.name, n.path, least(1.0::double, ix.score / (SELECT max(score) FROM ix)) AS confidence FROM ix JOIN nodes n USING (id)
+  WHERE regexp_matches(n.name, '\\.(cs|lua|py|cpp|h|c|js|ts)$') ORDER BY ix.score DESC, ix.id LIMIT 10),
+placed AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, score DESC, name, id) AS place FROM kept)
+SELECT cast(place as int) AS rank, printf('- [rank=%d | score_norm=%.3f | score_raw=%.6f | source=hybrid_index] %s (%s): %s', place, confidence, score,
+  name, label, 'record/' || replace(path[15:], '\\', '/')) AS line FROM placed""")
 def index_only_lines(c: Context):
     return index_only.format_lines(index_only.index_only(c.retriever, GRAPH_QUERY, 10, node_types=["CodeFile"], vector=c.vector(0)))
 
@@ -212,7 +259,14 @@ def custom_expand_edges(c: Context):
     return Toolkit(c.retriever).lab_custom(GRAPH_QUERY, ["bt:3", "part:7"]).edges
 
 
-@query("deep_retrieve_neighbors")
+_DEEP = f"""{_shared()}, {_hits('seeds', 5)},
+near0 AS (SELECT DISTINCT h.id AS seed, h.rk AS seed_rk, s.b AS id FROM seeds h JOIN sym s ON s.a = h.id
+  WHERE s.b <> h.id AND s.b NOT IN (SELECT id FROM nodes WHERE infra_layer = 'L1')),
+near AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY id) AS rn FROM near0 QUALIFY rn <= 2 * greatest(3, 15 // (SELECT count(*) FROM seeds)) - 1),
+around AS (SELECT id, min(seed_rk) AS place FROM near WHERE id NOT IN (SELECT id FROM seeds) GROUP BY id)"""
+
+
+@query("deep_retrieve_neighbors", f"{_DEEP} SELECT id, n.label, coalesce(n.name, id) AS name FROM around JOIN nodes n USING (id) ORDER BY place, id LIMIT 20")
 def deep_retrieve_neighbors(c: Context):
     result = c.retriever.deep_retrieve(GRAPH_QUERY, 5, vector=c.vector(0))
     return result.neighbors.select("id", "label", "name")
