@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.schema import INFRA_LAYER
-from graphloom.session import materialize, work_path
+from graphloom.session import materialize, together, work_path
 
 # A node whose incident links exceed total / HOT_FRACTION is split over several
 # buckets; at most HOT_FRACTION nodes can be that large, which bounds the list.
@@ -123,6 +123,7 @@ def stored(graph: PropertyGraph) -> PropertyGraph:
     """The same graph over tables in the work folder: nodes partitioned by label, edges as they come."""
     spark = graph.spark
     path = work_path(spark, "nodes")
-    graph.nodes.write.partitionBy("label").parquet(path)
+    _, edges = together(lambda: graph.nodes.write.partitionBy("label").parquet(path),
+                        lambda: materialize(graph.edges, "edges"))
     nodes = spark.read.schema(graph.nodes.schema).parquet(path).select(*graph.nodes.columns)
-    return PropertyGraph(nodes, materialize(graph.edges, "edges"))
+    return PropertyGraph(nodes, edges)
