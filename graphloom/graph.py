@@ -16,6 +16,9 @@ from graphloom.session import materialize, together, work_path
 # buckets; at most HOT_FRACTION nodes can be that large, which bounds the list.
 HOT_FRACTION = 4096
 HOT_MINIMUM = 100_000
+# Buckets are sized by the links they hold, with at least one per core.
+BUCKET_ROWS = 5_000_000
+MAX_BUCKETS = 100_000
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,7 @@ class Links:
 
     table: DataFrame
     hot: DataFrame | None
+    buckets: int
 
     def follow(self, frontier: DataFrame, unique: bool = False) -> DataFrame:
         """Frontier rows (column ``a``) joined to their links; the links are not shuffled.
@@ -94,7 +98,10 @@ class PropertyGraph:
         rows = linked.select("a", "salt", "b", "relationship", "degree",
                              F.coalesce("b_infra", F.lit(False)).alias("b_infra"))
 
-        return Links(self._bucketed(rows, "links", bool(hot_count)), hot if hot_count else None)
+        context = self.spark.sparkContext
+        floor = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+        buckets = min(MAX_BUCKETS, max(floor, -(-total // BUCKET_ROWS)))
+        return Links(self._bucketed(rows, "links", buckets, bool(hot_count)), hot if hot_count else None, buckets)
 
     @cached_property
     def walk(self) -> Walk:
@@ -108,10 +115,9 @@ class PropertyGraph:
                 .select(F.col("a_key").alias("a"), "salt", F.col("b_key").alias("b"), "degree"))
         hot = None if links.hot is None else materialize(
             links.hot.join(from_key, "a").select(F.col("a_key").alias("a"), "splits"), "hot")
-        return Walk(keys, Links(self._bucketed(rows, "walk", hot is not None), hot))
+        return Walk(keys, Links(self._bucketed(rows, "walk", links.buckets, hot is not None), hot, links.buckets))
 
-    def _bucketed(self, rows: DataFrame, name: str, salted: bool) -> DataFrame:
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def _bucketed(self, rows: DataFrame, name: str, buckets: int, salted: bool) -> DataFrame:
         columns = ["a", "salt"] if salted else ["a"]
         table = f"graphloom_{name}_{uuid.uuid4().hex}"
         (rows.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns)

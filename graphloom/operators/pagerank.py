@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.session import materialize
+from graphloom.session import materialize, shuffle_partitions
 
 # --- fixed values ------------------------------------------------------------
 ROUNDS = 10
 ALPHA = 0.85
 # -----------------------------------------------------------------------------
-CUT_EVERY = 5
+CUT_EVERY = 5  # divides ROUNDS, so the last round is written too
 
 
 def personalized_pagerank(graph: PropertyGraph, seeds: Sequence[str], alpha: float = ALPHA) -> DataFrame:
@@ -31,12 +31,13 @@ def personalized_pagerank(graph: PropertyGraph, seeds: Sequence[str], alpha: flo
     schema = "a long, score double"
     scores = spark.createDataFrame([(k, share) for k in known.values()], schema)
     teleport = spark.createDataFrame([(k, (1 - alpha) * share) for k in known.values()], schema)
-    for done in range(1, ROUNDS + 1):
-        spread = walk.links.follow(scores, unique=True).select(
-            F.col("b").alias("a"), (F.lit(alpha) * F.col("score") / F.col("degree")).alias("score"))
-        scores = spread.unionAll(teleport).groupBy("a").agg(F.sum("score").alias("score"))
-        if done % CUT_EVERY == 0:
-            scores = materialize(scores, "ranks")
+    with shuffle_partitions(spark, walk.links.buckets):
+        for done in range(1, ROUNDS + 1):
+            spread = walk.links.follow(scores, unique=True).select(
+                F.col("b").alias("a"), (F.lit(alpha) * F.col("score") / F.col("degree")).alias("score"))
+            scores = spread.unionAll(teleport).groupBy("a").agg(F.sum("score").alias("score"))
+            if done % CUT_EVERY == 0:
+                scores = materialize(scores, "ranks")
     named = scores.join(walk.keys.withColumnRenamed("key", "a"), "a").select("id", "score")
     # a seed without edges keeps just its teleport share
     alone = [(s, (1 - alpha) * share) for s in dict.fromkeys(seeds) if s not in known]

@@ -1,11 +1,12 @@
-"""Session defaults, the shared work folder, and size-checked broadcasting."""
+"""Session defaults, the shared work folder, and written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -14,9 +15,6 @@ from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
-# Rows of (id, score)-like shape that may be broadcast once counted.
-BROADCAST_ROW_BOUND = 200_000
-
 
 def build_session(app: str = "graphloom", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
@@ -77,9 +75,16 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only for a side whose counted rows are within ``bound``."""
-    return F.broadcast(df) if rows <= bound else df
+@contextmanager
+def shuffle_partitions(spark: SparkSession, count: int) -> Iterator[None]:
+    """Shuffles planned inside use ``count`` partitions, so that they line up with a bucketed table."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(count))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def pin_top(df: DataFrame, limit: int) -> DataFrame:
