@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphloom.llm.tokens import SpacedEncoder
+from graphloom.llm.tokens import spaced_encoder
 
 WINDOW = 4096
 #: Tokens in open windows beyond which they are joined, so that memory is bounded.
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = SpacedEncoder(tokenizer, blank_belongs=False), SumOfSquares(window, open_tokens)
+        encoder, packer = spaced_encoder(tokenizer, blank_belongs=False), SumOfSquares(window, open_tokens)
         end, sequence = array("I", [end_id]).tobytes(), TaskContext.get().partitionId() << 36
 
         def leave() -> pa.RecordBatch:

@@ -10,11 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import chatformat, secretscan, sqltext
 from graphloom.llm.common import read_table
+from graphloom.llm.licenses import license_report
 from graphloom.llm.neardup import near_duplicates
 from graphloom.llm.packing import pack
+from graphloom.llm.quality import quality
 from graphloom.llm.sharding import shard
 from graphloom.llm.tokenfile import read_tokens, write_tokens
+from graphloom.llm.toxicity import toxicity
 from graphloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +63,30 @@ def op2_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_weak_supervision_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op4_typed_part_chats(spark: SparkSession, folder: str) -> DataFrame:
+    hostile = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(sqltext.HOSTILE_TURN).alias("text"))
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
+    out = chatformat.format_chats(chatformat.text_turns(turns))
+    out = out.select("conv_id", "formatted", chatformat.read_turns(F.col("formatted")).alias("turns"), chatformat.learned_text(F.col("segments")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op4_typed_part_chats"] = sqltext.CHATS
+
+
 @query
 def op7_huffman_token_file(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "token-file")
@@ -69,3 +97,27 @@ def op7_huffman_token_file(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_multi_index_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read_table(spark, folder, "documents"))
+
+
+@query
+def op10_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    return license_report(read_table(spark, folder, "documents"))
+
+
+ORACLES["op10_license_diagonals"] = sqltext.licenses()
+
+
+@query
+def op5_zstd_novelty_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secretscan.secret_spans(read_table(spark, folder, "documents")).select(
+        "doc_id", *[count(kind) for kind in secretscan.KINDS],
+        F.sha2(secretscan.listed(spans, base_only=True), 256).alias("base_sha256"), secretscan.listed(spans).alias("spans"))
+
+
+@query
+def op8_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity(docs, read_table(spark, folder, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "mean_ratio", "peak_ratio")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.tokens import SpacedEncoder
+from graphloom.llm.tokens import spaced_encoder
 from graphloom.session import materialize
 
 LIMIT, STRIDE = 20, 256
@@ -121,7 +121,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """(doc_id, ids): ids of every whole text (null: empty) and ``end_id``, as little-endian unsigned 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = SpacedEncoder(tokenizer, blank_belongs=True), array("I", [end_id]).tobytes()
+        encoder, end = spaced_encoder(tokenizer, blank_belongs=True), array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 some = batch.slice(at, STEP)

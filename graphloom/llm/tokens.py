@@ -3,57 +3,171 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 
-from graphloom.llm.common import CACHE_ENTRIES
+import numpy as np
 
-#: White space after which a blank need not start a new pre-token of a byte-level tokenizer.
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_SPACED = re.compile(rf"[{_SPACES}] ")
-_PIECES = re.compile(rf"(?<=[^{_SPACES}])(?= )")
+#: Stretches a worker remembers in each of two generations, so that its memory does not follow the vocabulary.
+REMEMBERED = 500_000
+#: White space other than a blank or a line feed; texts with any of it are left to the tokenizer as they are.
+_RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Letters whose lower case depends on more than the letter.
+_CASED = "\u03a3\u0130"
+#: Letters below this need no normalisation.
+_PLAIN_LETTERS = "\u0250"
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+def spaced_encoder(path: str, blank_belongs: bool) -> SpacedEncoder:
+    """This worker's encoder; what it remembers serves later tasks as well."""
+    return SpacedEncoder(path, blank_belongs)
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+
+class _Known(dict):
+    """Number of each stretch seen; one not seen lately is noted for encoding."""
+
+    def __init__(self):
+        self.ids: list[bytes] = []
+        self.new: list[str] = []
+        self.old: tuple[dict[str, int], list[bytes]] = {}, []
+
+    def __missing__(self, stretch: str) -> int:
+        number = self[stretch] = len(self.ids)
+        before = self.old[0].get(stretch)
+        if before is None:
+            self.new.append(stretch)
+        self.ids.append(b"" if before is None else self.old[1][before])
+        return number
+
+    def age(self) -> None:
+        if len(self.ids) > REMEMBERED:
+            self.old = dict(self), self.ids
+            self.ids = []
+            self.clear()
 
 
 class SpacedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    Pre-tokens never reach from a non-space across a blank, so a text's ids are
-    those of its stretches between blanks, one after the other. Each stretch is
-    encoded by the tokenizer once while it is remembered. ``blank_belongs`` says
-    that a blank is part of the stretch it opens (byte-level vocabularies);
-    otherwise white space has no ids at all.
+    Pre-tokens end before every blank or line feed that follows something else,
+    so where white space comes one at a time a text's ids are those of its
+    stretches, one after the other. A stretch is encoded once while it is
+    remembered. Stretches of letters are one pre-token each and go to the
+    tokenizer's model as words of one text, which their ids tell apart; a comma
+    or point after letters is a pre-token of its own. Other stretches go to the
+    tokenizer with a lone tilde between them, or with the line feed they begin
+    with, whose id parts them; what holds a tilde goes alone.
+    ``blank_belongs`` says that a blank is part of the stretch it opens and a
+    line feed a token (byte-level vocabularies); otherwise white space has no ids
+    and the tokenizer lower-cases letters.
     """
 
     def __init__(self, path: str, blank_belongs: bool):
-        self.tokenizer, self.blank_belongs, self.known = _tokenizer(path), blank_belongs, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.blank_belongs, self.known = blank_belongs, _Known()
+        (self.mark_id,) = self.tokenizer.encode(" ~", add_special_tokens=False).ids
+        self.line_ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.points = {mark: self._alone(mark) for mark in ",."}
+        # byte-level vocabularies write each byte as a printable character
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.printable = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128) if b != 32}
+        for lead, low, high in ((0xC2, 0x80, 0xC0), (0xC3, 0x80, 0xC0)):
+            for b in range(low, high):
+                written = level.pre_tokenize_str(bytes([lead, b]).decode())[0][0]
+                self.printable[lead], self.printable[b] = written
+        for b in range(0xC4, 0xCA):
+            self.printable[b] = level.pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0]
+        self.blank = level.pre_tokenize_str(" ")[0][0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self.opens[number] = token.startswith(self.blank) if blank_belongs else token.endswith("</w>")
+
+    def _alone(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _put(self, stretches: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if not len(starts) == len(ends) == len(stretches):
+            raise RuntimeError("stretches and ids do not agree")
+        data, known = ids.tobytes(), self.known
+        for stretch, start, end in zip(stretches, (4 * starts).tolist(), (4 * ends).tolist()):
+            known.ids[known[stretch]] = data[start:end]
+
+    def _put_words(self, words: list[str]) -> None:
+        """Stretches of plain letters."""
+        text = (" " + " ".join(words)).encode().decode("latin-1").translate(self.printable)
+        if self.blank_belongs:
+            text = text.replace(" ", " " + self.blank)
+        ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.opens[ids])
+        if self.blank_belongs:
+            self._put(words, ids, at, np.r_[at[1:], len(ids)])
+        else:
+            self._put(words, ids, np.r_[0, at[:-1] + 1], at + 1)
+
+    def _put_marked(self, stretches: list[str]) -> None:
+        """Stretches after a blank."""
+        ids = np.array(self.tokenizer.encode("".join([f" {x} ~" for x in stretches]), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(ids == self.mark_id)
+        self._put(stretches, ids, np.r_[0, ends[:-1] + 1], ends)
+
+    def _put_lines(self, stretches: list[str]) -> None:
+        """Stretches that begin with a line feed."""
+        ids = np.array(self.tokenizer.encode("".join(stretches), add_special_tokens=False).ids, "<u4")
+        starts = np.flatnonzero(ids == self.line_ids[0])
+        self._put(stretches, ids, starts, np.r_[starts[1:], len(ids)])
+
+    def _is_word(self, stretch: str) -> bool:
+        return stretch.isalpha() and (stretch.isascii() or max(stretch) < _PLAIN_LETTERS) and (self.blank_belongs or stretch == stretch.lower())
+
+    def _learn(self) -> None:
+        """Encode the stretches noted as new."""
+        known, is_word = self.known, self._is_word
+        words, parted, marked, lines = [], [], [], []
+        for x in known.new:
+            if is_word(x):
+                words.append(x)
+            elif x[-1:] in (",", ".") and is_word(x[:-1]):
+                parted.append(x)
+            elif "~" in x or len(x) < 1 + (x[:1] == "\n"):
+                known.ids[known[x]] = self._alone(x if x[:1] == "\n" else " " + x)
+            else:
+                (lines if x[0] == "\n" else marked).append(x)
+        known.new = []
+        for x in parted:
+            known[x[:-1]]  # noted where new
+        words += known.new
+        known.new = []
+        for step, some in ((self._put_words, words), (self._put_marked, marked), (self._put_lines, lines)):
+            for at in range(0, len(some), 2_000):
+                step(some[at : at + 2_000])
+        for x in parted:
+            known.ids[known[x]] = known.ids[known[x[:-1]]] + self.points[x[-1]]
+
+    def _stretches(self, text: str) -> list[str]:
+        if self.blank_belongs:
+            return f"\n{text}".replace("\n", " \n")[1:].split(" ")
+        text = text.replace("\n", " ")
+        return (text if any(c in text for c in _CASED) else text.lower()).split(" ")
 
-    def stretches(self, text: str) -> list[str]:
-        if not self.blank_belongs:
-            return text.split(" ")
-        if "  " in text or _SPACED.search(text):
-            return _PIECES.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _whole(self, text: str) -> bool:
+        return any(c in text for c in _RARE_SPACES) or (self.blank_belongs and (text[0] in "\n " or any(r in text for r in _RUNS)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.stretches(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        missing = [x for x in wanted if x not in self.known]
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known, missing = {}, list(wanted)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for stretch, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[stretch] = array("I", found.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        """Ids of each text; a null text has none."""
+        self.known.age()
+        number, out = self.known.__getitem__, []
+        for text in texts:
+            out.append(b"" if not text else self._alone(text) if self._whole(text) else list(map(number, self._stretches(text))))
+        if self.known.new:
+            self._learn()
+        ids, first = self.known.ids.__getitem__, 4 * self.blank_belongs  # the line feed put before the text
+        return [x if isinstance(x, bytes) else b"".join(map(ids, x))[first:] for x in out]
