@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models of the characters of words.
 
-For each class, toxic and ordinary, an interpolated Kneser-Ney model predicts a
-word's next character from the four before it: raw counts at the highest order,
-continuation counts (of distinct left neighbours) below. Orders ``CLASS_ORDERS``
-count the class's own training texts; below them both classes back off to the
-same counts, gathered from all documents, so an expression that neither class
-knows well scores alike under both. A document is compared by its two
-log-likelihoods per character and by its most toxic words; a logistic curve,
-fitted on labelled documents that its models have not seen, gives the score.
+A word's next character is predicted from the four before it by interpolated
+Kneser-Ney: raw counts at the highest order, continuation counts (of distinct
+left neighbours) below. These shared counts come from all documents. Each class,
+toxic and ordinary, puts the discounted counts of its own training texts on top
+and backs off to the shared model: where a class knows a context well, what it
+has never seen there is unlikely; what neither class knows scores alike under
+both. A document is compared by its two log-likelihoods per character and by its
+most toxic words; a logistic curve, fitted on labelled documents that its models
+have not seen, gives the score.
 
 Counting, continuation counts and context sums are Spark aggregations of the
 n-gram table, which grows with the corpus. What reaches the driver are sums over
@@ -30,9 +31,9 @@ from pyspark.sql import types as T
 from graphloom.llm.common import CACHE_ENTRIES, without
 from graphloom.session import materialize
 
-ORDER, CLASS_ORDERS = 5, (5, 4, 3)
+ORDER = 5
 #: Hash buckets for n-grams of each length; a model's size does not depend on the corpus.
-BUCKETS = {5: 1 << 19, 4: 1 << 18, 3: 1 << 17, 2: 1 << 16, 1: 1 << 12}
+BUCKETS = {5: 1 << 21, 4: 1 << 20, 3: 1 << 18, 2: 1 << 16, 1: 1 << 12}
 DISCOUNT = 0.75
 #: Words whose log-likelihood ratios count as a document's peak.
 PEAK_WORDS = 3
@@ -109,37 +110,46 @@ def _bucket_of(grams: np.ndarray, order: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) & np.uint64(BUCKETS[order] - 1)).astype(np.int64)
 
 
+Counts = tuple[np.ndarray, np.ndarray]
+Contexts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _level(order: int, grams: Counts, contexts: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Discounted counts by n-gram bucket; sums and backoff weights by bucket of the context."""
+    (at, n), (where, total, kinds) = grams, contexts
+    count = np.zeros(BUCKETS[order], np.float32)
+    sums, weight = np.zeros(BUCKETS[order - 1] if order > 1 else 1, np.float32), np.ones(BUCKETS[order - 1] if order > 1 else 1, np.float32)
+    count[at] = np.maximum(n - DISCOUNT, 0)
+    seen = total > 0
+    sums[where[seen]] = total[seen]
+    weight[where[seen]] = np.minimum(1, DISCOUNT * kinds[seen] / total[seen])
+    return count, sums, weight
+
+
+def _chance(level: tuple, at: np.ndarray, where: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Discounted share of an n-gram among what follows its context, and the backoff; an n-gram counts no more than its context."""
+    count, sums, weight = level
+    total = sums[where]
+    return np.minimum(count[at], total) / np.maximum(total, 1) + weight[where] * below
+
+
 class Model:
-    """Bucketed counts of both classes and the shared lower orders; scores words."""
-
-    def __init__(self):
-        self.level: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-    def put(self, order: int, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Discounted counts by n-gram bucket, and the context's sum and weight of the next order by its bucket."""
-        self.level[order] = []
-        below = BUCKETS[order - 1] if order > 1 else 1
-        for (at, n), (where, total, kinds) in zip(grams, contexts):
-            count, sums, weight = np.zeros(BUCKETS[order], np.float32), np.ones(below, np.float32), np.ones(below, np.float32)
-            count[at] = np.maximum(n - DISCOUNT, 0)
-            sums[where] = np.maximum(total, 1)
-            weight[where] = np.minimum(1, DISCOUNT * kinds / np.maximum(total, 1))
-            weight[where[total <= 0]] = 1
-            self.level[order].append((count, sums, weight))
+    """Bucketed counts of the shared orders and of both classes; scores words."""
+
+    def __init__(self, shared: dict[int, tuple], classes: tuple[tuple, tuple]):
+        self.shared, self.classes = shared, classes
 
     def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood ratio (toxic to ordinary) and number of predicted characters of each word."""
         grams, owner = word_codes(words)
-        chance = [np.full(len(grams), 1 / BUCKETS[1], np.float32)] * 2
+        chance = np.full(len(grams), 1 / BUCKETS[1], np.float32)
         for order in range(1, ORDER + 1):
             own = grams & np.uint64((1 << _BITS * order) - 1)
             at = _bucket_of(own, order)
             where = _bucket_of(own >> np.uint64(_BITS), order - 1) if order > 1 else np.zeros(len(own), np.int64)
-            tables = self.level[order]
-            lower = [c[at] / s[where] + w[where] * p for (c, s, w), p in zip(tables if len(tables) == 2 else tables * 2, chance)]
-            chance = lower
-        ratio = np.log(chance[0]) - np.log(chance[1])
-        return np.bincount(owner, ratio, len(words)), np.bincount(owner, minlength=len(words))
+            chance = _chance(self.shared[order], at, where, chance)
+        toxic, plain = (_chance(level, at, where, chance) for level in self.classes)
+        return np.bincount(owner, np.log(toxic) - np.log(plain), len(words)), np.bincount(owner, minlength=len(words))
 
 
 def _hash_bucket(gram: Column, order: int) -> Column:
@@ -150,29 +160,32 @@ def _hash_bucket(gram: Column, order: int) -> Column:
     return x.bitwiseXOR(F.shiftrightunsigned(x, 29)).bitwiseAND(F.lit(BUCKETS[order] - 1))
 
 
-def build_model(grams: DataFrame, toxic: tuple[str, ...], plain: tuple[str, ...]) -> Model:
-    """Model from the 5-gram table, the classes' counts being the sums of the named columns."""
-    total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    table = grams.select("gram", total(toxic).alias("t"), total(plain).alias("o"), F.col("anywhere").alias("s"))
-    model = Model()
+def _bucket_sums(table: DataFrame, order: int, columns: list[str]) -> list[tuple[Counts, Contexts]]:
+    """For each column of an n-gram table: its sums by n-gram bucket, and by context bucket with the number of followers."""
+    own = table.groupBy(_hash_bucket(F.col("gram"), order).alias("b")).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    context = _hash_bucket(F.shiftright("gram", _BITS), order - 1) if order > 1 else F.lit(0).cast("long")
+    above = table.groupBy(context.alias("b")).agg(
+        *[F.sum(c).alias(c) for c in columns], *[F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in columns]).toPandas()
+    return [((own["b"].to_numpy(), own[c].to_numpy(float)), (above["b"].to_numpy(), above[c].to_numpy(float), above[f"kinds_{c}"].to_numpy(float))) for c in columns]
+
+
+def shared_levels(grams: DataFrame) -> dict[int, tuple]:
+    """Kneser-Ney levels of all orders from the 5-gram counts of all documents."""
+    table, levels = grams.select("gram", F.col("anywhere").alias("n")), {}
     for order in range(ORDER, 0, -1):
-        columns = ("t", "o") if order in CLASS_ORDERS else ("s",)
-        own = table.groupBy(_hash_bucket(F.col("gram"), order).alias("b")).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        context = _hash_bucket(F.shiftright("gram", _BITS), order - 1) if order > 1 else F.lit(0).cast("long")
-        above = table.groupBy(context.alias("b")).agg(
-            *[F.sum(c).alias(c) for c in columns], *[F.sum((F.col(c) > 0).cast("long")).alias(f"k{c}") for c in columns]).toPandas()
-        model.put(order, [(own["b"].to_numpy(), own[c].to_numpy(np.float64)) for c in columns],
-                  [(above["b"].to_numpy(), above[c].to_numpy(np.float64), above[f"k{c}"].to_numpy(np.float64)) for c in columns])
-        if order > 1:  # continuation counts; n-grams that begin a word have no left neighbour and keep their counts
-            rest = F.col("gram").bitwiseAND(F.lit((1 << _BITS * (order - 1)) - 1))
-            begins = F.shiftright(rest, _BITS * (order - 2)) == _START
-            table = _continued(table, rest, begins)
-    return model
+        levels[order] = _level(order, *_bucket_sums(table, order, ["n"])[0])
+        # continuation counts; an n-gram that begins a word has no left neighbour and keeps its count
+        rest = F.col("gram").bitwiseAND(F.lit((1 << _BITS * (order - 1)) - 1))
+        begins = F.shiftright(rest, _BITS * max(order - 2, 0)) == _START
+        table = table.select(rest.alias("gram"), F.when(begins, F.col("n")).otherwise(1).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"))
+    return levels
 
 
-def _continued(table: DataFrame, rest: Column, begins: Column) -> DataFrame:
-    sums = [F.sum(F.when(F.col("begins"), F.col(c)).otherwise((F.col(c) > 0).cast("long"))).alias(c) for c in ("t", "o", "s")]
-    return table.withColumn("rest", rest).withColumn("begins", begins).groupBy("rest").agg(*sums).withColumnRenamed("rest", "gram")
+def class_levels(grams: DataFrame, toxic: tuple[str, ...], plain: tuple[str, ...]) -> tuple[tuple, tuple]:
+    """Highest-order levels of both classes, whose counts are the sums of the named columns."""
+    total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    table = grams.select("gram", total(toxic).alias("t"), total(plain).alias("o")).where("t > 0 or o > 0")
+    return tuple(_level(ORDER, *sums) for sums in _bucket_sums(table, ORDER, ["t", "o"]))
 
 
 def score_features(docs: DataFrame, model: Model) -> DataFrame:
@@ -251,14 +264,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = F.when(F.col("label").isNull(), len(_CLASSES)).otherwise(F.when(F.col("fold") == 3, 2).otherwise(0) + F.when(F.col("label") == 1, 0).otherwise(1))
     grams = materialize(count_grams(labelled.select("text", kind.cast("int").alias("class"))), "grams")
 
-    first = build_model(grams, ("toxic_first",), ("plain_first",))
+    shared = shared_levels(grams)
+    first = Model(shared, class_levels(grams, ("toxic_first",), ("plain_first",)))
     fitting = known.where("fold = 3")
     share = min(1.0, FITTED_ROWS / max(1, fitting.count()))
     fitting = fitting.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "label")
     sample = score_features(docs.select("doc_id", "text").join(fitting, "doc_id"), first).select("mean_ratio", "peak_ratio", "n_tokens", "label").toPandas()
     weights = fit_curve(sample["mean_ratio"].to_numpy(float), sample["peak_ratio"].to_numpy(float), sample["n_tokens"].to_numpy(float), sample["label"].to_numpy(float))
 
-    model = build_model(grams, ("toxic_first", "toxic_rest"), ("plain_first", "plain_rest"))
+    model = Model(shared, class_levels(grams, ("toxic_first", "toxic_rest"), ("plain_first", "plain_rest")))
     docs = without(docs, "held_out", "score", "predicted")
     scored = score_features(docs, model).withColumn("score", score_column(weights))
     held_out = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))
