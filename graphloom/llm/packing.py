@@ -30,7 +30,7 @@ WINDOW = 4096
 #: Tokens in open windows beyond which they are joined, so that memory is bounded.
 OPEN_TOKENS = 4_000_000
 #: Documents encoded together.
-STEP = 200
+STEP = 1_000
 
 Piece = tuple[object, int, bytes, int]  # doc_id, start, ids, tokens of the document
 

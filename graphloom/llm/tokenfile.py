@@ -28,7 +28,7 @@ from graphloom.session import materialize
 LIMIT, STRIDE = 20, 256
 #: Ids after which a block is closed, ids of a part.
 BLOCK_IDS, PART_IDS = 1 << 16, 8_000_000
-STEP = 200
+STEP = 1_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:

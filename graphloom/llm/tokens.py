@@ -7,9 +7,11 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Stretches a worker remembers in each of two generations, so that its memory does not follow the vocabulary.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: White space other than a blank or a line feed; texts with any of it are left to the tokenizer as they are.
 _RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
@@ -152,22 +154,39 @@ class SpacedEncoder:
         for x in parted:
             known.ids[known[x]] = known.ids[known[x[:-1]]] + self.points[x[-1]]
 
-    def _stretches(self, text: str) -> list[str]:
+    def _spaced(self, text: str) -> str:
+        """The text with one blank before every stretch but the first."""
         if self.blank_belongs:
-            return f"\n{text}".replace("\n", " \n")[1:].split(" ")
+            return f"\n{text}".replace("\n", " \n")[1:]
         text = text.replace("\n", " ")
-        return (text if any(c in text for c in _CASED) else text.lower()).split(" ")
+        return text if any(c in text for c in _CASED) else text.lower()
 
     def _whole(self, text: str) -> bool:
         return any(c in text for c in _RARE_SPACES) or (self.blank_belongs and (text[0] in "\n " or any(r in text for r in _RUNS)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text has none."""
-        self.known.age()
-        number, out = self.known.__getitem__, []
-        for text in texts:
-            out.append(b"" if not text else self._alone(text) if self._whole(text) else list(map(number, self._stretches(text))))
-        if self.known.new:
+        """Ids of each text; a null text has none.
+
+        Texts are cut and their distinct stretches found by Arrow, so that a
+        stretch is looked up once for all ``texts``.
+        """
+        known = self.known
+        known.age()
+        apart = {k: self._alone(t) for k, t in enumerate(texts) if t and self._whole(t)}
+        cut = pc.split_pattern(pa.array([None if not t or k in apart else self._spaced(t) for k, t in enumerate(texts)], pa.large_string()), " ")
+        found = cut.flatten().dictionary_encode()
+        numbers = list(map(known.__getitem__, found.dictionary.to_pylist()))
+        if known.new:
             self._learn()
-        ids, first = self.known.ids.__getitem__, 4 * self.blank_belongs  # the line feed put before the text
-        return [x if isinstance(x, bytes) else b"".join(map(ids, x))[first:] for x in out]
+        pieces = list(map(known.ids.__getitem__, numbers))
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = found.indices.to_numpy()
+        sizes = sizes[at]
+        ends = np.cumsum(sizes)
+        data = ids[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        stretches = np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy())
+        bounds = np.r_[0, 4 * np.r_[0, ends][stretches]].tolist()
+        first = 4 * self.blank_belongs  # the line feed put before the text
+        return [apart[k] if k in apart else data[bounds[k] + first : bounds[k + 1]] if t else b"" for k, t in enumerate(texts)]

@@ -73,33 +73,32 @@ def plain_words(tokens: list[str]) -> list[str]:
     return [t.lower().strip(string.punctuation).replace("\x01", "\x03").replace("\x02", "\x03") for t in tokens]
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, *_CLASSES, anywhere): 5-gram counts of ``docs`` (text, class)."""
+def count_grams(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(gram, one count for each of ``kinds``): 5-gram counts of ``docs`` (text, kind: a number among ``kinds``)."""
+    schema = "gram long, " + ", ".join(f"{k} long" for k in kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = [Counter() for _ in range(len(_CLASSES) + 1)]
+        counters = [Counter() for _ in kinds]
 
         def leave() -> pa.RecordBatch:
             words = list(set().union(*counters))
             grams, owner = word_codes(plain_words(words))
-            counts = np.array([[c[w] for w in words] for c in counters], np.int64).reshape(len(counters), -1)
             unique, at = np.unique(grams, return_inverse=True)
-            sums = [np.bincount(at, weights=row[owner], minlength=len(unique)).astype(np.int64) for row in counts]
+            counts = [np.fromiter((c[w] for w in words), np.float64, len(words)) for c in counters]
+            sums = [np.bincount(at, n[owner], len(unique)).astype(np.int64) for n in counts]
             for c in counters:
                 c.clear()
-            sums[-1] = np.add.reduce(sums)
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *[pa.array(s) for s in sums]], ["gram", *_CLASSES, "anywhere"])
+            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *map(pa.array, sums)], ["gram", *kinds])
 
         for batch in batches:
-            for text, kind in zip(batch.column("text").to_pylist(), batch.column("class").to_pylist()):
+            for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist()):
                 if text:
                     counters[kind].update(text.split())
             if sum(map(len, counters)) > CACHE_ENTRIES:
                 yield leave()
         yield leave()
 
-    counted = docs.select("text", "class").mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in (*_CLASSES, "anywhere")))
-    return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in (*_CLASSES, "anywhere")])
+    return docs.select("text", "kind").mapInArrow(run, schema).groupBy("gram").agg(*[F.sum(k).alias(k) for k in kinds])
 
 
 def _bucket_of(grams: np.ndarray, order: int) -> np.ndarray:
@@ -170,8 +169,8 @@ def _bucket_sums(table: DataFrame, order: int, columns: list[str]) -> list[tuple
 
 
 def shared_levels(grams: DataFrame) -> dict[int, tuple]:
-    """Kneser-Ney levels of all orders from the 5-gram counts of all documents."""
-    table, levels = grams.select("gram", F.col("anywhere").alias("n")), {}
+    """Kneser-Ney levels of all orders from the 5-gram counts (gram, n) of all documents."""
+    table, levels = grams, {}
     for order in range(ORDER, 0, -1):
         levels[order] = _level(order, *_bucket_sums(table, order, ["n"])[0])
         # continuation counts; an n-gram that begins a word has no left neighbour and keeps its count
@@ -260,15 +259,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 2")
-    labelled = docs.select("doc_id", "text").join(known, "doc_id", "left")
-    kind = F.when(F.col("label").isNull(), len(_CLASSES)).otherwise(F.when(F.col("fold") == 3, 2).otherwise(0) + F.when(F.col("label") == 1, 0).otherwise(1))
-    grams = materialize(count_grams(labelled.select("text", kind.cast("int").alias("class"))), "grams")
-
-    shared = shared_levels(grams)
+    # texts are shuffled only where a label may be: the shared counts need none
+    shared = shared_levels(materialize(count_grams(docs.select("text", F.lit(0).alias("kind")), ("n",)), "grams"))
+    labelled = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 2).join(known, "doc_id")
+    kind = F.when(F.col("fold") == 3, 2).otherwise(0) + F.when(F.col("label") == 1, 0).otherwise(1)
+    grams = materialize(count_grams(labelled.select("text", kind.cast("int").alias("kind")), _CLASSES), "class-grams")
     first = Model(shared, class_levels(grams, ("toxic_first",), ("plain_first",)))
     fitting = known.where("fold = 3")
     share = min(1.0, FITTED_ROWS / max(1, fitting.count()))
     fitting = fitting.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "label")
+    fitting = F.broadcast(fitting)  # about FITTED_ROWS rows at most
     sample = score_features(docs.select("doc_id", "text").join(fitting, "doc_id"), first).select("mean_ratio", "peak_ratio", "n_tokens", "label").toPandas()
     weights = fit_curve(sample["mean_ratio"].to_numpy(float), sample["peak_ratio"].to_numpy(float), sample["n_tokens"].to_numpy(float), sample["label"].to_numpy(float))
 
