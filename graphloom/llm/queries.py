@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import chatformat, secretscan, sqltext
 from graphloom.llm.common import read_table
+from graphloom.llm.decontam import contaminated
 from graphloom.llm.licenses import license_report
 from graphloom.llm.neardup import near_duplicates
 from graphloom.llm.packing import pack
@@ -121,3 +122,8 @@ def op8_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return toxicity(docs, read_table(spark, folder, "labels")).select(
         "doc_id", "held_out", "score", "predicted", "mean_ratio", "peak_ratio")
+
+
+@query
+def op6_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))

@@ -18,7 +18,9 @@ labelled rows for the curve.
 
 from __future__ import annotations
 
+import pickle
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,12 +134,34 @@ def _chance(level: tuple, at: np.ndarray, where: np.ndarray, below: np.ndarray)
     return np.minimum(count[at], total) / np.maximum(total, 1) + weight[where] * below
 
 
+def _packed(values: np.ndarray, default: float) -> tuple[int, float, np.ndarray, np.ndarray]:
+    at = np.flatnonzero(values != default).astype(np.uint32)
+    return len(values), default, at, values[at]
+
+
+def _unpacked(packed: tuple[int, float, np.ndarray, np.ndarray]) -> np.ndarray:
+    size, default, at, found = packed
+    values = np.full(size, default, np.float32)
+    values[at] = found
+    return values
+
+
 class Model:
     """Bucketed counts of the shared orders and of both classes; scores words."""
 
     def __init__(self, shared: dict[int, tuple], classes: tuple[tuple, tuple]):
         self.shared, self.classes = shared, classes
 
+    def __getstate__(self) -> bytes:
+        """Only buckets in use, since models travel to every worker."""
+        packed = lambda level: [_packed(a, default) for a, default in zip(level, (0, 0, 1))]
+        return zlib.compress(pickle.dumps(({k: packed(v) for k, v in self.shared.items()}, [packed(v) for v in self.classes])), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        shared, classes = pickle.loads(zlib.decompress(state))
+        self.shared = {k: tuple(map(_unpacked, v)) for k, v in shared.items()}
+        self.classes = tuple(tuple(map(_unpacked, v)) for v in classes)
+
     def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood ratio (toxic to ordinary) and number of predicted characters of each word."""
         grams, owner = word_codes(words)
