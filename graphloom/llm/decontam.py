@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, arrow_cells, mixed, utf8_texts
+from graphloom.llm.common import CACHE_ENTRIES, arrow_cells, mixed
 from graphloom.session import materialize
 
 #: Hash buckets for words, columns of the sketch, latent dimensions: together they bound what the driver holds.
@@ -45,22 +45,22 @@ ITEM_BLOCK = 4_000
 #: Rows of the feature table that one row of a partial sketch holds.
 ROWS = 256
 #: Documents handled together.
-_STEP = 200
-_EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_=+/\\`~^"
+_STEP, _SKETCH_STEP = 200, 1_000
+_EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\`~^"
 
 
 class WordIds(dict):
-    """64-bit id of a word of UTF-8 text, punctuation around it left out; 0 where nothing remains."""
+    """64-bit id of a lower-cased word, punctuation around it left out; 0 where nothing remains."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         bare = word.strip(_EDGES)
-        value = self[word] = (xxhash.xxh3_64_intdigest(bare) | 1) if bare else 0
+        value = self[word] = (xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) | 1) if bare else 0
         return value
 
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.lower().split() if text else []
         ids = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         return ids[ids != 0]
 
@@ -74,9 +74,9 @@ def _partial_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     words, width = WordIds(), SKETCH + 1
     sums, passages = np.zeros(FEATURES * width, np.float32), 0
     for whole in batches:
-        for at in range(0, whole.num_rows, _STEP):
+        for at in range(0, whole.num_rows, _SKETCH_STEP):
             ids, owner, base = [], [], 0
-            for text in utf8_texts(whole.column("text").slice(at, _STEP)):
+            for text in whole.column("text").slice(at, _SKETCH_STEP).to_pylist():
                 found = words.of(text)
                 if len(found):
                     ids.append(found)
@@ -89,11 +89,12 @@ def _partial_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             features = _features(ids)
             # a passage's sign and column follow from its words, so they do not depend on where it is read
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            drawn = mixed(np.add.reduceat(mixed(ids), starts))
+            drawn = mixed(np.add.reduceat(ids, starts))
             column = (drawn % np.uint64(SKETCH)).astype(np.int64)[owner]
             sign = 1.0 - 2.0 * ((drawn >> np.uint64(32)) & np.uint64(1)).astype(np.float64)[owner]
             sums += np.bincount(features * width + column, sign, FEATURES * width).astype(np.float32)
-            seen = np.unique(owner * FEATURES + features) % FEATURES
+            pairs = np.sort((owner * FEATURES + features).astype(np.int32))
+            seen = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] & (FEATURES - 1)
             sums.reshape(FEATURES, width)[:, SKETCH] += np.bincount(seen, minlength=FEATURES)
     rows = []
     for block, part in enumerate(sums.reshape(-1, ROWS * width)):
@@ -160,11 +161,11 @@ class Items:
         words = WordIds()
         self.ids, self.sizes, self.masks, self.answers, vectors, held, self.scales = [], [], [], [], [], [], {}
         for item, text in rows:
-            found = words.of(text.encode())
+            found = words.of(text)
             if not len(found):
                 continue
             sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if s.strip()]
-            answer = words.of(sentences[-1].encode()).tolist()
+            answer = words.of(sentences[-1] if sentences else text).tolist()
             scale = max(0, round(np.log(len(found) / SHORTEST) / np.log(RATIO)))
             self.scales.setdefault(max(1, round(SHORTEST * RATIO**scale / BLOCK)), []).append(len(self.ids))
             self.ids.append(item)
@@ -248,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_B
             for whole in batches:
                 for at in range(0, whole.num_rows, _STEP):
                     batch = whole.slice(at, _STEP)
-                    found = items.matches([words.of(text) for text in utf8_texts(batch.column("text"))])
+                    found = items.matches([words.of(text) for text in batch.column("text").to_pylist()])
                     ids = batch.column("doc_id").take(pa.array([m[0] for m in found], pa.int64()))
                     columns = list(zip(*found))[1:] or [()] * 6
                     kinds = [pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.int64()]
