@@ -74,17 +74,24 @@ def subgraph_edges(c: Context):
     return edges
 
 
-def _walk(start: str, rels: list[str], hops: int) -> str:
-    """CTEs for outgoing layers ``walk(hop, id)``."""
+def _walk(start: str, rels: list[str], hops: int, direction: str = "OUT") -> str:
+    """CTEs for layers ``v<hops>(id, hop)`` and the steps that may be taken, ``steps(a, b, source, target, relationship)``."""
     allowed = ", ".join(f"'{r}'" for r in rels)
-    ctes = [f"w0 AS (SELECT '{start}' AS id, 0 AS hop)", "v0 AS (SELECT * FROM w0)"]
+    sides = {"OUT": ["source AS a, target AS b"], "IN": ["target AS a, source AS b"], "BOTH": ["source AS a, target AS b", "target AS a, source AS b"]}
+    steps = " UNION ALL ".join(f"SELECT {side}, source, target, relationship FROM edges WHERE relationship IN ({allowed})" for side in sides[direction])
+    ctes = [f"steps AS MATERIALIZED ({steps})", f"w0 AS (SELECT '{start}' AS id, 0 AS hop)", "v0 AS (SELECT * FROM w0)"]
     for h in range(1, hops + 1):
-        ctes.append(f"w{h} AS (SELECT DISTINCT e.target AS id, {h} AS hop FROM w{h - 1} w JOIN edges e ON e.source = w.id "
-                    f"AND e.relationship IN ({allowed}) WHERE e.target NOT IN (SELECT id FROM v{h - 1}))")
-        ctes.append(f"v{h} AS (SELECT * FROM v{h - 1} UNION ALL SELECT * FROM w{h})")
+        ctes.append(f"w{h} AS MATERIALIZED (SELECT DISTINCT s.b AS id, {h} AS hop FROM w{h - 1} w JOIN steps s ON s.a = w.id "
+                    f"WHERE s.b NOT IN (SELECT id FROM v{h - 1}))")
+        ctes.append(f"v{h} AS MATERIALIZED (SELECT * FROM v{h - 1} UNION ALL SELECT * FROM w{h})")
     return ",\n".join(ctes)
 
 
+def _layer_edges(hops: int) -> str:
+    return (f"SELECT DISTINCT cast(y.hop as int) AS hop, s.source, s.target, s.relationship FROM steps s JOIN v{hops} x ON x.id = s.a "
+            f"JOIN (SELECT id AS b, hop FROM v{hops}) y ON y.b = s.b WHERE y.hop = x.hop + 1")
+
+
 _TYPES = ["CONTAINS", "SUPPLIED_BY", "LOCATED_IN", "PLACED_BY"]
 
 
@@ -95,14 +102,25 @@ def traverse_layers(c: Context):
     return nodes
 
 
-@query("traverse_edges", f"WITH {GRAPH}, {_walk('order:5', _TYPES, 3)} "
-       "SELECT cast(b.hop as int) AS hop, e.source, e.target, e.relationship FROM edges e JOIN v3 a ON a.id = e.source "
-       "JOIN v3 b ON b.id = e.target AND b.hop = a.hop + 1 WHERE e.relationship IN ('CONTAINS', 'SUPPLIED_BY', 'LOCATED_IN', 'PLACED_BY')")
+@query("traverse_edges", f"WITH {GRAPH}, {_walk('order:5', _TYPES, 3)} {_layer_edges(3)}")
 def traverse_edges(c: Context):
     _, edges = neighborhood.traverse(c.graph, "order:5", _TYPES, "OUT", 3, max_results=None)
     return edges
 
 
+@query("traverse_in", f"WITH {GRAPH}, {_walk('nation:1', _TYPES, 2, 'IN')} {_layer_edges(2)}")
+def traverse_in(c: Context):
+    """Everything located in a nation, and what leads to that."""
+    _, edges = neighborhood.traverse(c.graph, "nation:1", _TYPES, "IN", 2, max_results=None)
+    return edges
+
+
+@query("traverse_both", f"WITH {GRAPH}, {_walk('part:7', _TYPES, 2, 'BOTH')} {_layer_edges(2)}")
+def traverse_both(c: Context):
+    _, edges = neighborhood.traverse(c.graph, "part:7", _TYPES, "BOTH", 2, max_results=None)
+    return edges
+
+
 @query("ppr_scores", f"WITH {GRAPH_SYM}, {ppr(['nation:1', 'part:7'])} SELECT id, round(score, 6) AS score FROM ppr_10")
 def ppr_scores(c: Context):
     ranks = pagerank.personalized_pagerank(c.graph, ["nation:1", "part:7"])
@@ -152,12 +170,25 @@ def community_support(c: Context):
     return relations.community_support(c.graph, weights, 2, max_size=None)
 
 
-@query("random_nodes")
+@query("random_nodes", f"WITH {GRAPH} SELECT id, label FROM nodes WHERE label IN ('Customer', 'Supplier') ORDER BY md5('7:' || id), id LIMIT 50")
 def random_nodes(c: Context):
     return sampling.random_nodes(c.graph, 50, ["Customer", "Supplier"], seed=7).select("id", "label")
 
 
-@query("random_subgraph")
+def _snowball(limit: int, seed: int, rounds: int = 14) -> str:
+    """CTEs ending in ``grown(id)``: unrolled rounds in which every sampled node offers one neighbour."""
+    ctes = [f"g0 AS MATERIALIZED (SELECT id FROM nodes ORDER BY md5('{seed}:' || id), id LIMIT 1)"]
+    for k in range(1, rounds + 1):
+        ctes.append(
+            f"o{k} AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT a, arg_min(b, md5('{seed + k}:' || a || ':' || b)) AS id FROM sym "
+            f"WHERE a IN (SELECT id FROM g{k - 1}) AND b NOT IN (SELECT id FROM g{k - 1}) AND b IN (SELECT id FROM nodes) GROUP BY a))")
+        ctes.append(
+            f"g{k} AS MATERIALIZED (SELECT id FROM g{k - 1} UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('{seed + k}:' || id), id) AS place "
+            f"FROM o{k}) WHERE place <= {limit} - (SELECT count(*) FROM g{k - 1}))")
+    return ",\n".join([*ctes, f"grown AS (SELECT id FROM g{rounds})"])
+
+
+@query("random_subgraph", f"WITH {GRAPH_SYM}, {_snowball(40, 11)} SELECT id, label, name FROM nodes WHERE id IN (SELECT id FROM grown)")
 def random_subgraph(c: Context):
     nodes, _ = sampling.random_subgraph(c.graph, 40, seed=11)
     return nodes

@@ -54,28 +54,29 @@ def khop(seeds: list[str], hops: int, relationship: str | None = None, skip_infr
     rel = f"AND s.relationship = '{relationship}'" if relationship else ""
     infra = ("AND s.b NOT IN (SELECT id FROM nodes WHERE infra_layer = 'L1')" if skip_infra else "")
     rows = ", ".join(f"('{s}')" for s in seeds)
-    ctes = [f"{name}_0 AS (SELECT DISTINCT col0 AS seed, col0 AS id, 0 AS hop FROM (VALUES {rows}))"]
+    ctes = [f"{name}_0 AS MATERIALIZED (SELECT DISTINCT col0 AS seed, col0 AS id, 0 AS hop FROM (VALUES {rows}))"]
     for h in range(1, hops + 1):
         seen = f"{name}_s{h - 1}" if h > 1 else f"{name}_0"
         ctes.append(
-            f"{name}_{h} AS (SELECT DISTINCT f.seed, s.b AS id, {h} AS hop FROM {name}_{h - 1} f "
+            f"{name}_{h} AS MATERIALIZED (SELECT DISTINCT f.seed, s.b AS id, {h} AS hop FROM {name}_{h - 1} f "
             f"JOIN sym s ON s.a = f.id {rel} {infra} WHERE NOT EXISTS "
             f"(SELECT 1 FROM {seen} v WHERE v.seed = f.seed AND v.id = s.b))")
-        ctes.append(f"{name}_s{h} AS (SELECT * FROM {seen} UNION ALL SELECT * FROM {name}_{h})")
+        ctes.append(f"{name}_s{h} AS MATERIALIZED (SELECT * FROM {seen} UNION ALL SELECT * FROM {name}_{h})")
     last = f"{name}_s{hops}" if hops else f"{name}_0"
     if cap is None:
-        ctes.append(f"{name} AS (SELECT * FROM {last})")
+        ctes.append(f"{name} AS MATERIALIZED (SELECT * FROM {last})")
     else:
         ctes.append(
-            f"{name} AS (SELECT seed, id, hop FROM (SELECT *, row_number() OVER "
+            f"{name} AS MATERIALIZED (SELECT seed, id, hop FROM (SELECT *, row_number() OVER "
             f"(PARTITION BY seed ORDER BY hop, id) AS rn FROM {last}) WHERE rn <= {cap})")
     return ",\n".join(ctes)
 
 
 def level_edges(name: str = "levels", relationship: str | None = None) -> str:
     rel = f"WHERE e.relationship = '{relationship}'" if relationship else ""
-    return (f"SELECT x.seed, e.source, e.target, e.relationship FROM edges e JOIN {name} x ON x.id = e.source "
-            f"JOIN {name} y ON y.id = e.target AND y.seed = x.seed AND abs(x.hop - y.hop) = 1 {rel}")
+    return (f"SELECT seed, source, target, relationship FROM (SELECT x.seed, x.hop, e.source, e.target, e.relationship FROM edges e "
+            f"JOIN {name} x ON x.id = e.source {rel}) JOIN (SELECT seed, id AS target, hop AS th FROM {name}) USING (seed, target) "
+            "WHERE abs(hop - th) = 1")
 
 
 def ppr(seeds: list[str], rounds: int = 10, alpha: float = 0.85) -> str:

@@ -37,7 +37,10 @@ def proposal_stream(c: Context):
 @query("approved_once", """SELECT DISTINCT user_id::varchar AS id, CASE WHEN user_id % 3 = 0 THEN 'no_action' ELSE 'completed' END AS outcome
 FROM events WHERE event_type = 'view'""")
 def approved_once(c: Context):
-    actions = _stream(c, "events").select(
+    source = work_path(c.spark, "events")
+    c.table("events").repartition(4).write.parquet(source)  # one micro-batch a file: approvals repeat across batches
+    events = c.spark.readStream.schema(c.table("events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    actions = events.select(
         F.col("user_id").cast("string").alias("id"),
         F.when(F.col("event_type") == "view", F.lit("approve")).otherwise(F.lit("other")).alias("action"))
     folder = work_path(c.spark, "outcomes")
@@ -47,7 +50,7 @@ def approved_once(c: Context):
                                .otherwise(F.lit("completed")).alias("outcome"))
 
     proposals.handle_approved(actions, handler, folder, work_path(c.spark, "stream")).awaitTermination()
-    return c.spark.read.parquet(folder).select("id", "outcome").distinct()
+    return c.spark.read.parquet(folder).select("id", "outcome")
 
 
 @query("snippet_stream", """WITH lined AS (SELECT doc_id, len(string_split(text, chr(10))) AS total FROM documents

@@ -295,7 +295,7 @@ def reindex_status(c: Context):
 
 
 @query("embed_text", """SELECT doc_id, sha256('File: ' || source || '/' || doc_id || '.lua' || chr(10) || 'Language: lua' || chr(10)
-  || 'Function: f' || doc_id || chr(10) || text[1:3000]) AS hash FROM documents""")
+  || 'Function: f' || doc_id || chr(10) || text) AS hash FROM documents""")
 def embed_text(c: Context):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".lua"))
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
@@ -375,7 +375,7 @@ def json_merge(c: Context):
         F.json_array_length(jsonprops.prop(F.col("p"), "tags")).alias("tags"))
 
 
-@query("markdown_blocks", """SELECT doc_id, sha256(('# ' || trim(source || lang) || chr(10) || trim(text))[1:8000]) AS hash FROM documents
+@query("markdown_blocks", """SELECT doc_id, sha256('# ' || trim(source || lang) || chr(10) || trim(text)) AS hash FROM documents
 WHERE trim(text) <> ''""")
 def markdown_blocks(c: Context):
     """Documents as a heading block and a text block, rendered to Markdown."""

@@ -11,7 +11,6 @@ from graphloom.schema import HOT_ARRAY_PROPERTIES, HOT_STRING_PROPERTIES
 BLOCK_PREFIX = {3: "# ", 4: "## ", 5: "### ", 6: "#### ", 12: "- ", 13: "1. ", 14: "> ", 15: "```\n"}
 BLOCK_FIELDS = ["page", "heading1", "heading2", "heading3", "heading4", "text", "bullet",
                 "ordered", "quote", "code"]
-MARKDOWN_CHARS = 8000
 # -----------------------------------------------------------------------------
 
 _RUNS = "struct<elements:array<struct<text_run:struct<content:string>>>>"
@@ -65,8 +64,8 @@ def unwrap_tool_result(result: Column) -> Column:
     return F.when(F.size(texts) > 0, F.get(texts, F.lit(0))["text"]).otherwise(content)
 
 
-def blocks_to_markdown(items: Column) -> Column:
-    """A JSON array of document blocks as Markdown, at most 8000 characters."""
+def blocks_to_markdown(items: Column, limit: int | None = None) -> Column:
+    """A JSON array of document blocks as Markdown; ``limit`` cuts it to so many characters."""
     blocks = F.from_json(items, BLOCKS_SCHEMA)
     prefixes = F.create_map(*[F.lit(x) for pair in BLOCK_PREFIX.items() for x in pair])
 
@@ -77,4 +76,5 @@ def blocks_to_markdown(items: Column) -> Column:
         return F.when(text != "", F.concat(prefix, text))
 
     lines = F.filter(F.transform(blocks, line), lambda v: v.isNotNull())
-    return F.substring(F.array_join(lines, "\n"), 1, MARKDOWN_CHARS)
+    text = F.array_join(lines, "\n")
+    return text if limit is None else F.substring(text, 1, limit)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 INDEX_TOKEN = r"[\p{L}\p{N}]{2,}"
 LEXICAL_SPLIT = r"[^\p{L}\p{N}_]+"
 DEV_ALIAS = r"^[A-Za-z][A-Za-z0-9_./:-]*$"
-EMBED_CODE_CHARS = 3000
 LANGUAGE_BY_SUFFIX = {"py": "python", "cs": "csharp", "lua": "lua", "js": "javascript",
                       "ts": "typescript", "java": "java", "cpp": "cpp", "c": "c"}
 # -----------------------------------------------------------------------------
@@ -79,14 +78,14 @@ def content_hash(text: Column) -> Column:
 
 
 def embed_text(path: Column, language: Column, symbol_type: Column, symbol_name: Column,
-               code: Column) -> Column:
-    """The text handed to the embedding model for one code chunk."""
+               code: Column, limit: int | None = None) -> Column:
+    """The text handed to the embedding model for one code chunk; ``limit`` cuts the code to so many characters."""
     return F.concat_ws(
         "\n",
         F.concat(F.lit("File: "), path),
         F.concat(F.lit("Language: "), language),
         F.concat(F.initcap(symbol_type), F.lit(": "), symbol_name),
-        F.substring(code, 1, EMBED_CODE_CHARS))
+        code if limit is None else F.substring(code, 1, limit))
 
 
 def question_id(question: Column, created_at: Column, ordinal: Column) -> Column:

@@ -23,9 +23,9 @@ MAX_BUCKETS = 100_000
 
 @dataclass(frozen=True)
 class Links:
-    """Symmetric link table ``(a, salt, b, relationship, degree, b_infra)``, bucketed by node.
+    """Symmetric link table ``(a, salt, b, relationship, forward, degree, b_infra)``, bucketed by node.
 
-    Both directions of every edge are present, parallel edges are kept and a
+    Both directions of every edge are present (``forward`` where a is the source), parallel edges are kept and a
     self-loop appears twice. ``hot`` lists the nodes split over several buckets
     (``a, splits``), at most ``HOT_FRACTION`` rows; the table is then bucketed
     by ``(a, salt)``. It is None when no node is that large, and the buckets
@@ -69,10 +69,10 @@ class PropertyGraph:
         self.spark: SparkSession = nodes.sparkSession
 
     def symmetric_edges(self) -> DataFrame:
-        """Every edge seen from both ends: ``(a, b, relationship)`` from one scan."""
+        """Every edge seen from both ends: ``(a, b, relationship, forward)`` from one scan."""
         return self.edges.select(F.inline(F.array(
-            F.struct(F.col("source").alias("a"), F.col("target").alias("b"), "relationship"),
-            F.struct(F.col("target").alias("a"), F.col("source").alias("b"), "relationship"))))
+            F.struct(F.col("source").alias("a"), F.col("target").alias("b"), "relationship", F.lit(True).alias("forward")),
+            F.struct(F.col("target").alias("a"), F.col("source").alias("b"), "relationship", F.lit(False).alias("forward")))))
 
     @cached_property
     def links(self) -> Links:
@@ -95,7 +95,7 @@ class PropertyGraph:
                                                  F.coalesce(F.col("splits"), F.lit(1))).cast("int")))
         else:
             linked = linked.withColumn("salt", F.lit(0))
-        rows = linked.select("a", "salt", "b", "relationship", "degree",
+        rows = linked.select("a", "salt", "b", "relationship", "forward", "degree",
                              F.coalesce("b_infra", F.lit(False)).alias("b_infra"))
 
         context = self.spark.sparkContext

@@ -65,19 +65,18 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def level_edges(edges: DataFrame, levels: DataFrame, relationship: str | None = None) -> DataFrame:
+def level_edges(graph: PropertyGraph, levels: DataFrame, relationship: str | None = None) -> DataFrame:
     """Edges that join two successive levels of the same seed: ``(seed, source, target, relationship)``.
 
     Edges inside one level, self-loops and edges to nodes outside are left out;
-    parallel edges are kept.
+    parallel edges are kept. The bucketed links are read, so only the levels move.
     """
+    links = graph.links.follow(levels.select("seed", F.col("id").alias("a"), F.col("hop").alias("sh"))).filter("forward")
     if relationship:
-        edges = edges.filter(F.col("relationship") == relationship)
-    src = levels.select("seed", F.col("id").alias("source"), F.col("hop").alias("sh"))
-    dst = levels.select("seed", F.col("id").alias("target"), F.col("hop").alias("th"))
-    return (edges.join(src, "source").join(dst, ["seed", "target"])
-            .filter(F.abs(F.col("sh") - F.col("th")) == 1)
-            .select("seed", "source", "target", "relationship"))
+        links = links.filter(F.col("relationship") == relationship)
+    dst = levels.select("seed", F.col("id").alias("b"), F.col("hop").alias("th"))
+    return (links.join(dst, ["seed", "b"]).filter(F.abs(F.col("sh") - F.col("th")) == 1)
+            .select("seed", F.col("a").alias("source"), F.col("b").alias("target"), "relationship"))
 
 
 def neighbors(graph: PropertyGraph, node_id: str, max_hops: int = 2, relationship: str | None = None,
@@ -85,7 +84,7 @@ def neighbors(graph: PropertyGraph, node_id: str, max_hops: int = 2, relationshi
     """Nodes (with ``hop``) and edges of one node's neighbourhood."""
     levels = neighborhood_levels(graph, [node_id], max_hops, relationship, skip_infra, max_size)
     nodes = levels.drop("seed").join(graph.nodes, "id")
-    edges = level_edges(graph.edges.select("source", "target", "relationship"), levels, relationship)
+    edges = level_edges(graph, levels, relationship)
     return nodes, edges.drop("seed")
 
 
@@ -111,7 +110,7 @@ def subgraph(graph: PropertyGraph, seeds: Sequence[str], max_hops: int = 2,
     kept = (levels.groupBy("id").agg(F.min("hop").alias("hop"))
             .orderBy(rank, "hop", "id").limit(max_nodes))
     kept = materialize(kept, "kept")
-    edges = level_edges(graph.edges.select("source", "target", "relationship"), levels)
+    edges = level_edges(graph, levels)
     ids = kept.select("id")
     edges = (edges.select("source", "target", "relationship").distinct()
              .join(ids.select(F.col("id").alias("source")), "source", "left_semi")
@@ -131,19 +130,17 @@ def traverse(graph: PropertyGraph, start: str, edge_types: Sequence[str], direct
     """
     if direction not in ("OUT", "IN", "BOTH"):
         raise ValueError(f"direction must be OUT, IN or BOTH, not {direction!r}")
-    edges = graph.edges.filter(F.col("relationship").isin(*edge_types)).select(
-        "source", "target", "relationship")
-    forward = edges.withColumn("a", F.col("source")).withColumn("b", F.col("target"))
-    backward = edges.withColumn("a", F.col("target")).withColumn("b", F.col("source"))
-    steps = {"OUT": forward, "IN": backward, "BOTH": forward.unionAll(backward)}[direction]
+    ahead = {"OUT": F.col("forward"), "IN": ~F.col("forward"), "BOTH": F.lit(True)}[direction]
+    followed = F.col("relationship").isin(*edge_types) & ahead
+    source, target = F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")), F.when(F.col("forward"), F.col("b")).otherwise(F.col("a"))
 
     visited = materialize(graph.spark.createDataFrame([(start, 0)], "id string, hop int"), "layer")
     layers, layer_edges, taken = [visited], [], 1
     for hop in range(1, max_hops + 1):
         frontier = layers[-1].select(F.col("id").alias("a"))
         seen = _union([layer.select(F.col("id").alias("b")) for layer in layers])
-        into = (steps.join(frontier, "a").join(seen, "b", "left_anti")
-                .select("source", "target", "relationship", "b"))
+        into = (graph.links.follow(frontier, unique=True).filter(followed).join(seen, "b", "left_anti")
+                .select(source.alias("source"), target.alias("target"), "relationship", "b"))
         reached = into.select(F.col("b").alias("id")).distinct()
         if max_results is not None:
             reached = reached.orderBy("id").limit(max(0, max_results - taken))
@@ -156,5 +153,5 @@ def traverse(graph: PropertyGraph, start: str, edge_types: Sequence[str], direct
                            .select(F.lit(hop).alias("hop"), "source", "target", "relationship").distinct())
         layers.append(layer)
     nodes = _union(layers[1:]) if len(layers) > 1 else visited.limit(0)
-    no_edges = edges.limit(0).select(F.lit(0).alias("hop"), "source", "target", "relationship")
+    no_edges = graph.edges.limit(0).select(F.lit(0).alias("hop"), "source", "target", "relationship")
     return nodes.select("hop", "id"), _union(layer_edges) if layer_edges else no_edges

@@ -83,13 +83,19 @@ def search_nodes(graph: PropertyGraph, keyword: str, limit: int = 20) -> DataFra
 
 
 def label_page(graph: PropertyGraph, label: str, value_column: Column | None = None,
-               contains: str = "", limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """One page of a label in id order, and the one-row total of matching nodes."""
-    limit, offset = max(1, min(200, limit)), max(0, min(10_000, offset))
+               contains: str = "", limit: int = 50, offset: int = 0,
+               after: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One page of a label in id order, and the one-row total of matching nodes.
+
+    ``after``, the last id of the page before, reaches any page without
+    counting through the earlier ones.
+    """
+    limit, offset = max(1, min(200, limit)), max(0, offset)
     rows = nodes_by_label(graph, label)
     if value_column is not None and contains:
         rows = rows.filter(F.contains(F.lower(value_column), F.lit(contains.lower())))
-    return (rows.orderBy("id").offset(offset).limit(limit),
+    page = rows if after is None else rows.filter(F.col("id") > after)
+    return (page.orderBy("id").offset(offset).limit(limit),
             rows.agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -128,9 +134,9 @@ def visible_subgraph(nodes: DataFrame, edges: DataFrame, labels: Sequence[str])
 
 def merge_views(nodes: DataFrame, more_nodes: DataFrame, edges: DataFrame,
                 more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Union of two result graphs, one row per node id and per (source, target)."""
+    """Union of two result graphs, one row per node id and per (source, target, relationship)."""
     return (nodes.unionByName(more_nodes).dropDuplicates(["id"]),
-            edges.unionByName(more_edges).dropDuplicates(["source", "target"]))
+            edges.unionByName(more_edges).dropDuplicates(["source", "target", "relationship"]))
 
 
 # --- counts and schema -------------------------------------------------------

@@ -15,7 +15,7 @@ from graphloom.session import materialize
 
 def _order(seed: int, *columns: str) -> Column:
     """A random order that depends on row keys only, so reruns of a task agree."""
-    return F.xxhash64(F.lit(seed), *columns)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *columns).cast("binary"))
 
 
 def random_nodes(graph: PropertyGraph, limit: int = 50, labels: Sequence[str] = (), seed: int = 0) -> DataFrame:

@@ -15,7 +15,7 @@ from graphloom.operators.neighborhood import neighborhood_levels
 from graphloom.operators.relations import community_support
 from graphloom.plans.retrieve import Retriever
 from graphloom.schema import CODE_LABEL, ENTITY_LABEL, TERM_LABEL
-from graphloom.session import materialize, pin_top, together
+from graphloom.session import materialize, together
 
 # --- fixed values ------------------------------------------------------------
 MAX_FILES = 8
@@ -38,8 +38,6 @@ INTENT_SYNONYMS = {
     "卡池": ["抽卡", "招募", "up招募", "tavern", "神秘屋", "stargazer", "gacha"],
 }
 EXPANSION_PRIORITY = ["tavern", "招募", "卡池", "stargazer", "gacha", "抽卡"]
-# hit lists and capped neighbourhoods together stay far below this
-CANDIDATE_BOUND = 10_000
 STRATEGIES = ("adaptive_guard", "baseline_hybrid", "advanced_rerank")
 # -----------------------------------------------------------------------------
 
@@ -171,7 +169,7 @@ def search(retriever: Retriever, query: str, options: CodeOptions = CodeOptions(
     if hits.isEmpty() and best:
         hits = _community_hits(retriever, [r["id"] for r in best][:FALLBACK_TERMS - 1], FALLBACK_SIZE)
 
-    items = pin_top(_candidates(hits), CANDIDATE_BOUND)
+    items = materialize(_candidates(hits), "candidates")
     baseline = items
     tokens = expanded_tokens(query, terms, options.synonyms)
     confidence, asked, community_used = 0.0, [], False
@@ -183,10 +181,10 @@ def search(retriever: Retriever, query: str, options: CodeOptions = CodeOptions(
                 word, max(options.max_files * 3, 30), label_filter=CODE_LABEL) for word in asked]) if asked else []
             for extra in found:
                 items = _merge(items, _candidates(extra, EXPANSION_SCALE))
-            items = pin_top(items, CANDIDATE_BOUND)
+            items = materialize(items, "candidates")
             if options.community_fallback:
                 nearby = _community_hits(retriever, [r["id"] for r in best][:FALLBACK_TERMS], SUPPORT_SIZE)
-                grown = pin_top(_merge(items, _candidates(nearby, COMMUNITY_SCALE)), CANDIDATE_BOUND)
+                grown = materialize(_merge(items, _candidates(nearby, COMMUNITY_SCALE)), "candidates")
                 community_used = grown.count() > items.count()
                 items = grown
     scored = score_files(retriever, query, items, baseline, support, tokens, options, vector)

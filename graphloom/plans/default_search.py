@@ -147,7 +147,7 @@ def snapshots(retriever: Retriever, centers: Sequence[str], depth: int = 0) -> S
     nodes = materialize(listed.filter(F.col("label") != QUESTION_LABEL), "shown")
     ids = nodes.select("seed", "id")
     edges = materialize(
-        level_edges(graph.edges.select("source", "target", "relationship"), levels)
+        level_edges(graph, levels)
         .join(ids.withColumnRenamed("id", "source"), ["seed", "source"], "left_semi")
         .join(ids.withColumnRenamed("id", "target"), ["seed", "target"], "left_semi"), "shown-edges")
     connected = edges.select("seed", F.explode(F.array("source", "target")).alias("id")).distinct()

@@ -13,20 +13,24 @@ INDEXED_SUFFIX = r"(?i)\.(lua|cs)$"
 # -----------------------------------------------------------------------------
 
 
-def scan_directory(spark: SparkSession, folder: str, max_files: int = 50) -> DataFrame:
+def scan_directory(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """``(file_id, path, code)`` of the code files under ``folder``: C# first, then Python, then Lua.
 
-    The listing and the cut read names only; contents are read for the kept files.
+    ``max_files`` keeps the first files of that order; that cut reads names only.
     """
+    contents = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", "*.{cs,py,lua}").load(folder).select("path", "content"))
+    if max_files is not None:
+        contents = contents.join(_first_files(spark, folder, max_files), "path")
+    return contents.select(F.col("path").alias("file_id"), "path", _text(F.col("content")).alias("code"))
+
+
+def _first_files(spark: SparkSession, folder: str, count: int) -> DataFrame:
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
               .select("path", "length").withColumn("suffix", F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
               .filter(F.col("suffix").isin(*SCAN_ORDER)))
     place = F.array_position(F.array(*[F.lit(s) for s in SCAN_ORDER]), F.col("suffix"))
-    chosen = listed.orderBy(place, "path").limit(max_files).select("path")
-    contents = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", "*.{cs,py,lua}").load(folder).select("path", "content"))
-    return (contents.join(F.broadcast(chosen), "path")  # at most max_files rows
-            .select(F.col("path").alias("file_id"), "path", _text(F.col("content")).alias("code")))
+    return listed.orderBy(place, "path").limit(count).select("path")
 
 
 def _text(content: Column) -> Column:

@@ -89,13 +89,17 @@ def handle_approved(actions: DataFrame, handler: Callable[[DataFrame], DataFrame
                     checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Run ``handler`` once over each micro-batch of approved proposals and keep its outcome rows.
 
-    The handler gets distinct proposals and returns ``(id, outcome, ...)``. With
-    ``interval`` the stream polls (10 seconds is usual); without, it drains what
+    The handler gets distinct proposals that no earlier batch has handled, and
+    returns ``(id, outcome, ...)``; the written outcomes are the memory of what
+    is done, so a restarted or repeated batch finds the same. With ``interval`` the stream polls (10 seconds is usual); without, it drains what
     is there and stops.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         approved = batch.filter(F.col("action") == "approve").dropDuplicates(["id"])
+        if batch_id > 0:
+            earlier = batch.sparkSession.read.parquet(folder).filter(F.col("batch") < batch_id)
+            approved = approved.join(earlier.select("id"), "id", "left_anti")
         handler(approved).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     writer: Any = actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)

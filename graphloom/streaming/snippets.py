@@ -21,6 +21,9 @@ from graphloom.sources.graph_tables import last_write_wins
 
 FILES = "codefile_node_id string, file_path string, code string"
 
+#: Columns that tell which version of a file is newer.
+ORDER_COLUMNS = ("sequence", "modified_at")
+
 
 class SnippetStore:
     def __init__(self, spark: SparkSession, folder: str):
@@ -46,8 +49,14 @@ class SnippetStore:
 
     def apply(self, files: DataFrame, generation: int, embedder: Embedder | None = None,
               version: str = INDEX_VERSION) -> None:
-        """Index the new, changed and outdated files of one batch as ``generation``."""
-        one_each = files.dropDuplicates(["codefile_node_id"])
+        """Index the new, changed and outdated files of one batch as ``generation``.
+
+        Versions of one file are ordered by ``sequence`` and ``modified_at``, as
+        far as the batch has them, then by their text.
+        """
+        # a file that comes twice in a batch counts as its newest version
+        order = [c for c in ORDER_COLUMNS if c in files.columns] + ["code"]
+        one_each = files.groupBy("codefile_node_id").agg(F.max_by(F.struct(*files.columns), F.struct(*order)).alias("f")).select("f.*")
         work = classify_files(one_each, self.status, version).filter(F.col("change") != "current")
         path = f"{self.folder}/snippets/generation={generation}"
         build_snippets(work, embedder).write.mode("overwrite").parquet(path)
