@@ -93,7 +93,7 @@ def _partial_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             column = (drawn % np.uint64(SKETCH)).astype(np.int64)[owner]
             sign = 1.0 - 2.0 * ((drawn >> np.uint64(32)) & np.uint64(1)).astype(np.float64)[owner]
             sums += np.bincount(features * width + column, sign, FEATURES * width).astype(np.float32)
-            pairs = np.sort((owner * FEATURES + features).astype(np.int32))
+            pairs = np.sort(owner * FEATURES + features)
             seen = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] & (FEATURES - 1)
             sums.reshape(FEATURES, width)[:, SKETCH] += np.bincount(seen, minlength=FEATURES)
     rows = []
