@@ -212,9 +212,11 @@ def test_composed_searches(retriever):
 def test_toolkit_texts(retriever):
     tools = Toolkit(retriever)
     assert "Guild" in tools.query_default("guild war", 3, 2, vector=[1.0, 0.0])
-    assert tools.term_lookup("1").startswith("# Guild War") and "[HAS_ENTITY] Guild" in tools.term_lookup("1")
-    assert "similar terms" in tools.term_lookup("logi") and "not found" in tools.term_lookup("zzz")
-    assert "3 nodes" in tools.neighbors_text("entity:1") and "**Nodes:** 7" in tools.stats_text()
+    looked = tools.term_lookup("1").collect()
+    assert [r["name"] for r in looked if r["kind"] == "term"] == ["Guild War"]
+    assert ("HAS_ENTITY", "Guild") in {(r["relationship"], r["name"]) for r in looked if r["kind"] == "related"}
+    assert {r["kind"] for r in tools.term_lookup("logi").collect()} == {"similar"} and tools.term_lookup("zzz").isEmpty()
+    assert tools.neighbors_view("entity:1")[0].count() == 3 and "**Nodes:** 7" in tools.stats_text()
     custom = tools.lab_custom("", ["bt:1", "q:1", "nope"])
     assert custom.centers == ["bt:1"] and custom.nodes.filter("label = 'Question'").isEmpty()
     found = tools.query_custom("guild war", top_k=3, vector=[1.0, 0.0])
