@@ -303,6 +303,33 @@ def embed_text(c: Context):
         path, F.lit("lua"), F.lit("function"), name, F.col("text"))).alias("hash"))
 
 
+def _covered_lines(c: Context, suffix: str, before: list[str], after: list[str], prefix: str):
+    """Filled lines of files made of fixed code around every document's lines that lie in some chunk."""
+    body = F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit(prefix), line))
+    lines = F.concat(F.array(*[F.lit(x) for x in before]), body, F.array(*[F.lit(x) for x in after]))
+    files = c.table("documents").select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"),
+                                        F.array_join(lines, "\n").alias("code"))
+    taken = F.explode(F.sequence("start_line", "end_line"))
+    covered = chunking.chunk_files(files).select("file_id", taken.alias("no")).distinct()
+    filled = files.select("file_id", F.posexplode(F.split("code", "\n")).alias("p", "line")).where(F.col("line").rlike(r"\S"))
+    return (filled.select("file_id", (F.col("p") + 1).alias("no")).join(covered, ["file_id", "no"], "left_semi")
+            .groupBy(F.col("file_id").cast("long").alias("doc_id")).agg(F.count("*").alias("lines")))
+
+
+@query("chunk_lines_covered", "SELECT doc_id, CAST(69 + len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents")
+def chunk_lines_covered(c: Context):
+    """Lua files with code before, between and after two functions."""
+    body = ["  local y = 1"] * 31
+    return _covered_lines(c, ".lua", ["local a = 1", "", "function one()", *body, "end", "local between = 2", "function two()"], [*body, "end", "return a"], "-- ")
+
+
+@query("class_lines_covered", "SELECT doc_id, CAST(269 + len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents")
+def class_lines_covered(c: Context):
+    """C# files with members between the methods of a long class and code around it."""
+    method = ["  int One(int a) {", *["    a++;"] * 128, "  }"]
+    return _covered_lines(c, ".cs", ["using System;", "class Big {", "", "  int field;", *method, "  int between;"], [*method, "  int last;", "}", "// end", "class Small { }", "// end"], "// ")
+
+
 # --- links and names ---------------------------------------------------------
 
 _REC = "'record/' || replace(n.path[15:], '\\', '/')"

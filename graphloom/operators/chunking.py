@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.codelines import line_rows, with_depth
+from graphloom.operators.codelines import line_rows, with_block_ends, with_depth
 
 # --- fixed values ------------------------------------------------------------
 MIN_LINES = 50
@@ -52,27 +52,50 @@ def _lines_of(chunk: Column) -> Column:
     return chunk["end_line"] - chunk["start_line"] + 1
 
 
-def _joined(left: Column, right: Column) -> Column:
-    return F.struct(left["symbol_type"].alias("symbol_type"),
-                    F.concat(left["symbol_name"], F.lit("+"), right["symbol_name"]).alias("symbol_name"),
-                    left["start_line"].alias("start_line"), right["end_line"].alias("end_line"))
-
-
 def fold_small(chunks: Column, minimum: int = MIN_LINES) -> Column:
-    """Join neighbours left to right while the running chunk is short; a short rest joins its predecessor."""
-    empty = F.array().cast(CHUNK)
+    """Join neighbours left to right while the running chunk is short; a short rest joins its predecessor.
 
-    def step(done: Column, chunk: Column) -> Column:
-        last = F.element_at(done, -1)
-        grow = (F.size(done) > 0) & (_lines_of(F.try_element_at(done, F.lit(-1))) < minimum)
-        return F.when(grow, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_joined(last, chunk)))).otherwise(
-            F.concat(done, F.array(chunk)))
-
-    folded = F.aggregate(chunks, empty, step)
-    size = F.size(folded)
-    short = (size > 1) & (_lines_of(F.try_element_at(folded, F.lit(-1))) < minimum)
-    rest = F.array(_joined(F.element_at(folded, -2), F.element_at(folded, -1)))
-    return F.when(short, F.concat(F.slice(folded, 1, size - 2), rest)).otherwise(folded)
+    One pass settles which chunks begin a new run; runs are then cut out, so no
+    array is copied for each chunk.
+    """
+    state = "struct<starts:array<int>,first:int,last:int>"
+    at = F.transform(chunks, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+
+    def step(s: Column, x: Column) -> Column:
+        # a run of lines first..last goes on while it is short
+        grow = (s["first"] > 0) & (s["last"] - s["first"] + 1 < minimum)
+        return F.when(grow, F.struct(s["starts"].alias("starts"), s["first"].alias("first"), x["c"]["end_line"].alias("last"))).otherwise(
+            F.struct(F.concat(s["starts"], F.array(x["i"])).alias("starts"), x["c"]["start_line"].alias("first"), x["c"]["end_line"].alias("last")))
+
+    empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("first"), F.lit(0).alias("last")).cast(state)
+    done = F.aggregate(at, empty, step)
+    short = (F.size(done["starts"]) > 1) & (done["last"] - done["first"] + 1 < minimum)
+    starts = F.when(short, F.slice(done["starts"], 1, F.size(done["starts"]) - 1)).otherwise(done["starts"])
+
+    def run(pair: Column) -> Column:
+        members = F.slice(chunks, pair["a"] + 1, pair["b"] - pair["a"])
+        return F.struct(F.get(members, F.lit(0))["symbol_type"].alias("symbol_type"),
+                        F.array_join(F.transform(members, lambda m: m["symbol_name"]), "+").alias("symbol_name"),
+                        F.get(members, F.lit(0))["start_line"].alias("start_line"), F.element_at(members, -1)["end_line"].alias("end_line"))
+
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(chunks)))
+    return F.transform(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), run)
+
+
+def with_gaps(chunks: Column, lines: Column, base: Column) -> Column:
+    """Ordered, disjoint chunks with one more for every stretch of lines between them that is not blank."""
+    count = F.size(chunks)
+    places = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(
+        i.alias("i"), F.when(i == 0, F.lit(1)).otherwise(F.get(chunks, i - 1)["end_line"] + 1).alias("a"),
+        F.when(i == count, F.size(lines)).otherwise(F.get(chunks, i)["start_line"] - 1).alias("b")))
+    filled = F.filter(places, lambda p: (p["b"] >= p["a"]) & F.exists(
+        F.slice(lines, p["a"], F.greatest(p["b"] - p["a"] + 1, F.lit(0))), lambda line: line.rlike(r"\S")))
+    name = lambda p: F.when(p["i"] == 0, F.lit(":__header")).when(p["i"] == count, F.lit(":__tail")).otherwise(F.concat(F.lit(":__between_"), p["i"].cast("string")))
+    gaps = F.transform(filled, lambda p: F.struct(
+        F.lit("file_header").alias("symbol_type"), F.concat(base, name(p)).alias("symbol_name"),
+        p["a"].cast("int").alias("start_line"), p["b"].cast("int").alias("end_line")))
+    keyed = F.transform(F.concat(chunks, gaps.cast(CHUNK)), lambda c: F.struct(c["start_line"].alias("o"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda k: k["c"])
 
 
 def chunk_files(files: DataFrame, minimum: int = MIN_LINES, size: int = WINDOW_LINES,
@@ -81,9 +104,13 @@ def chunk_files(files: DataFrame, minimum: int = MIN_LINES, size: int = WINDOW_L
     end_line, line_count, code_text)``. Blank files give nothing, short ones a single chunk."""
     filled = with_language(files.filter(F.trim(F.regexp_replace("code", r"\s+", " ")) != ""))
     sized = filled.withColumn("total", F.size(F.split("code", "\n")))
-    structural = sized.filter((F.col("total") >= minimum) & F.col("lang").isNotNull())
-    found = _structure(structural)
-    planned = sized.join(found, "file_id", "left").withColumn(
+    # only structural files meet their structure; the texts of all others stay where they are
+    is_structural = (F.col("total") >= minimum) & F.col("lang").isNotNull()
+    structural = sized.filter(is_structural)
+    found = structural.join(_structure(structural), "file_id", "left").withColumn(
+        "chunks", with_gaps(F.col("chunks"), F.split("code", "\n"), stem(F.col("path"))))
+    plain = sized.filter(~F.coalesce(is_structural, F.lit(False))).withColumn("chunks", F.lit(None).cast(CHUNK))
+    planned = found.unionByName(plain).withColumn(
         "plan", F.when(F.col("total") < minimum, F.array(F.struct(
             F.lit("file_chunk").alias("symbol_type"), stem(F.col("path")).alias("symbol_name"),
             F.lit(1).alias("start_line"), F.col("total").alias("end_line"))))
@@ -99,11 +126,11 @@ def chunk_files(files: DataFrame, minimum: int = MIN_LINES, size: int = WINDOW_L
 
 
 def _structure(files: DataFrame) -> DataFrame:
-    """``(file_id, chunks)`` of the files with functions (Lua) or classes (C#); others get no row.
+    """``(file_id, chunks)``: functions of Lua files, classes and methods of C# files, in line order.
 
     A Lua file without functions and a C# file without classes is one whole chunk.
     """
-    lines = with_depth(line_rows(files))
+    lines = with_block_ends(with_depth(line_rows(files)))
     parts = _lua_parts(lines).unionByName(_class_parts(lines))
     whole = files.select("file_id", F.lit("file_chunk").alias("symbol_type"), stem(F.col("path")).alias("symbol_name"),
                          F.lit(1).alias("start_line"), F.col("total").alias("end_line")).join(
@@ -115,58 +142,39 @@ def _structure(files: DataFrame) -> DataFrame:
             .select("file_id", F.transform("k", lambda v: v["c"]).cast(CHUNK).alias("chunks")))
 
 
-def _block_ends(starts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds ``end_line``: the first closing line at or after the start that returns to its depth."""
-    closing = lines.filter(F.col("closes") > 0).select("file_id", F.col("no").alias("end_no"),
-                                                       F.col("after").alias("end_depth"))
-    return (starts.join(closing, "file_id")
-            .filter((F.col("end_no") >= F.col("start_line")) & (F.col("end_depth") <= F.col("depth")))
-            .groupBy("file_id", "path", "name", "start_line", "depth").agg(F.min("end_no").alias("end_line")))
-
-
 def _lua_parts(lines: DataFrame) -> DataFrame:
-    """Header before the first top-level function, the functions, and the rest after the last."""
-    lua = lines.filter(F.col("lang") == "lua")
+    """The top-level functions."""
     name = F.regexp_extract("line", LUA_FUNCTION, 1)
-    starts = lua.filter((F.col("before") == 0) & (name != "")).select(
-        "file_id", "path", name.alias("name"), F.col("no").alias("start_line"), F.col("before").alias("depth"))
-    functions = _block_ends(starts, lua)
-    kind = F.when(F.col("name").rlike("[.:]"), F.lit("method")).otherwise(F.lit("function"))
-    edges = functions.groupBy("file_id").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"))
-    outside = (lua.join(edges, "file_id").withColumn(
-        "part", F.when(F.col("no") < F.col("first"), F.lit("__header")).when(F.col("no") > F.col("last"), F.lit("__tail")))
-        .filter(F.col("part").isNotNull()).groupBy("file_id", "path", "part")
-        .agg(F.min("no").alias("start_line"), F.max("no").alias("end_line"),
-             F.max(F.trim("line") != "").alias("filled")).filter("filled"))
-    return functions.select("file_id", kind.alias("symbol_type"), F.col("name").alias("symbol_name"),
-                            "start_line", "end_line").unionByName(
-        outside.select("file_id", F.lit("file_header").alias("symbol_type"),
-                       F.concat(stem(F.col("path")), F.lit(":"), "part").alias("symbol_name"),
-                       "start_line", "end_line"))
+    functions = lines.filter((F.col("lang") == "lua") & (F.col("before") == 0) & (name != "") & F.col("end_line").isNotNull())
+    kind = F.when(name.rlike("[.:]"), F.lit("method")).otherwise(F.lit("function"))
+    return functions.select("file_id", kind.alias("symbol_type"), name.alias("symbol_name"), F.col("no").alias("start_line"), "end_line")
 
 
 def _class_parts(lines: DataFrame) -> DataFrame:
-    """Outermost classes whole, or their methods when a class is long; other members are not kept."""
+    """Outermost classes whole, or the methods of a class that is long.
+
+    The class a line lies in is the last outermost one that began before it, so
+    one running value in line order tells it.
+    """
     cs = lines.filter(F.col("lang") == "csharp")
-    name = F.regexp_extract("line", CS_CLASS, 1)
-    starts = cs.filter(name != "").select("file_id", "path", name.alias("name"), F.col("no").alias("start_line"),
-                                          F.col("before").alias("depth"))
-    ranges = _block_ends(starts, cs)
-    earlier = (Window.partitionBy("file_id").orderBy("start_line")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    outer = (ranges.withColumn("covered", F.coalesce(F.max("end_line").over(earlier), F.lit(0)))
-             .filter(F.col("start_line") > F.col("covered")).drop("covered"))
-    length = F.col("end_line") - F.col("start_line") + 1
-    whole = outer.filter(length <= MAX_CLASS_LINES).select(
-        "file_id", F.lit("class").alias("symbol_type"), F.col("name").alias("symbol_name"), "start_line", "end_line")
-    long = outer.filter(length > MAX_CLASS_LINES).select(
-        "file_id", F.col("name").alias("owner"), F.col("start_line").alias("from"), F.col("end_line").alias("to"),
-        (F.col("depth") + 1).alias("level"))
+    name = F.when(F.col("end_line").isNotNull(), F.nullif(F.regexp_extract("line", CS_CLASS, 1), F.lit("")))
+    named = cs.withColumn("class_name", name)
+    before = Window.partitionBy("file_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("class_name").isNotNull(), F.col("end_line"))).over(before), F.lit(0))
+    outer = named.withColumn("outermost", F.col("class_name").isNotNull() & (F.col("no") > covered))
+    head = F.when(F.col("outermost"), F.struct(
+        "class_name", F.col("no").alias("from"), F.col("end_line").alias("to"), (F.col("before") + 1).alias("level")))
+    within = outer.withColumn("own", F.last(head, ignorenulls=True).over(before))
+    long = F.col("end_line") - F.col("no") + 1 > MAX_CLASS_LINES
+    whole = outer.filter("outermost").filter(~long).select(
+        "file_id", F.lit("class").alias("symbol_type"), F.col("class_name").alias("symbol_name"), F.col("no").alias("start_line"), "end_line")
     method = F.regexp_extract("line", CS_METHOD, 1)
-    members = (cs.filter((method != "") & ~F.col("line").rlike(CS_STATEMENT)).join(long, "file_id")
-               .filter((F.col("no") > F.col("from")) & (F.col("no") <= F.col("to")) & (F.col("before") == F.col("level")))
-               .select("file_id", "path", F.concat("owner", F.lit("."), method).alias("name"),
-                       F.col("no").alias("start_line"), F.col("before").alias("depth")))
-    methods = _block_ends(members, cs).select(
-        "file_id", F.lit("method").alias("symbol_type"), F.col("name").alias("symbol_name"), "start_line", "end_line")
+    members = within.filter((method != "") & ~F.col("line").rlike(CS_STATEMENT) & F.col("end_line").isNotNull() & ~F.col("outermost")
+                            & (F.col("own.to") - F.col("own.from") + 1 > MAX_CLASS_LINES)
+                            & (F.col("no") <= F.col("own.to")) & (F.col("before") == F.col("own.level")))
+    # methods of one class stand one after the other; what an earlier one covers is no method of its own
+    open_end = F.coalesce(F.max("end_line").over(Window.partitionBy("file_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    methods = members.withColumn("open_end", open_end).filter(F.col("no") > F.col("open_end")).select(
+        "file_id", F.lit("method").alias("symbol_type"), F.concat("own.class_name", F.lit("."), method).alias("symbol_name"),
+        F.col("no").alias("start_line"), "end_line")
     return whole.unionByName(methods)

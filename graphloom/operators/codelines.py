@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# --- fixed values ------------------------------------------------------------
+# --- fixed values: what counts as text or comment, and as a block ------------
 LUA_OPENERS = r"\b(function|if|do|repeat)\b"
 LUA_CLOSERS = r"\b(end|until)\b"
+LUA_TEXT = r"(?s)--\[(=*)\[.*?\]\1\]|--[^\n]*|\[(=*)\[.*?\]\2\]|" + "|".join(
+    rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'")
+CS_TEXT = (r"(?s)/\*.*?\*/|//[^\n]*|\$?@\$?" + r'"[^"]*+(?:""[^"]*+)*+"' + r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'(?:\\.|[^'\\\n])[^'\n]{0,8}'")
 # -----------------------------------------------------------------------------
+#: Block depth up to which ends are looked for: classes and their methods stand far above it.
+DEEPEST = 16
+
+
+def blanked(code: Column, pattern: str) -> Column:
+    """The code with every match of ``pattern`` replaced by the line feeds it holds, so line numbers stay."""
+    inside = F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"[^\n]+", ""))
+    return F.array_join(F.zip_with(F.split(code, pattern), F.concat(inside, F.array(F.lit(""))), lambda o, i: F.concat(o, i)), "")
 
 
 def line_rows(files: DataFrame) -> DataFrame:
-    """``files (file_id, path, lang, code)`` as ``(file_id, path, lang, no, line)``, numbered from 1."""
-    return files.select("file_id", "path", "lang", F.posexplode(F.split("code", "\n")).alias("p", "line")).select(
-        "file_id", "path", "lang", (F.col("p") + 1).alias("no"), "line")
+    """``files (file_id, path, lang, code)`` as ``(file_id, path, lang, no, line, bare)``, numbered from 1.
+
+    ``bare`` is the line without strings and comments, also those that span lines.
+    """
+    bare = (F.when(F.col("lang") == "lua", blanked(F.col("code"), LUA_TEXT))
+            .when(F.col("lang") == "csharp", blanked(F.col("code"), CS_TEXT)).otherwise(F.col("code")))
+    rows = F.arrays_zip(F.split("code", "\n").alias("line"), F.split(bare, "\n").alias("bare"))
+    return files.select("file_id", "path", "lang", F.posexplode(rows).alias("p", "r")).select(
+        "file_id", "path", "lang", (F.col("p") + 1).alias("no"), "r.line", "r.bare")
 
 
 def in_file() -> "Window":
@@ -29,26 +46,26 @@ def brace_delta(line: Column) -> Column:
     return _count(line, r"\{") - _count(line, r"\}")
 
 
-def without_lua_text(line: Column) -> Column:
-    """A Lua line without its strings and trailing comment."""
-    return F.regexp_replace(F.regexp_replace(line, r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'", "''"), r"--.*$", "")
-
-
-def without_brace_text(line: Column) -> Column:
-    """A C# line without its strings, characters and trailing comment."""
-    return F.regexp_replace(F.regexp_replace(line, r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])'", "''"), r"//.*$", "")
-
-
 def with_depth(lines: DataFrame) -> DataFrame:
     """Adds ``before`` and ``after``: open blocks around each line, never below zero, and ``closes``."""
-    lua, cs = without_lua_text(F.col("line")), without_brace_text(F.col("line"))
-    is_lua = F.col("lang") == "lua"
-    opens = F.when(is_lua, _count(lua, LUA_OPENERS)).otherwise(_count(cs, r"\{"))
-    closes = F.when(is_lua, _count(lua, LUA_CLOSERS)).otherwise(_count(cs, r"\}"))
+    is_lua, bare = F.col("lang") == "lua", F.col("bare")
+    opens = F.when(is_lua, _count(bare, LUA_OPENERS)).otherwise(_count(bare, r"\{"))
+    closes = F.when(is_lua, _count(bare, LUA_CLOSERS)).otherwise(_count(bare, r"\}"))
     running = lines.withColumn("closes", closes).withColumn("delta", opens - closes)
     return clamped_depth(running, "delta").withColumn("before", F.col("after") - F.col("delta"))
 
 
+def with_block_ends(lines: DataFrame) -> DataFrame:
+    """Adds ``end_line``: the first closing line at or after each line that returns to the depth before it.
+
+    One ordered pass from the end of the file keeps, for each depth up to
+    ``DEEPEST``, the next such line; deeper lines get none.
+    """
+    later = Window.partitionBy("file_id").orderBy(F.desc("no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    next_at = [F.min(F.when((F.col("closes") > 0) & (F.col("after") <= d), F.col("no"))).over(later) for d in range(DEEPEST + 1)]
+    return lines.withColumn("end_line", F.get(F.array(*next_at), F.col("before").cast("int")))
+
+
 def clamped_depth(lines: DataFrame, delta: str) -> DataFrame:
     """Adds ``after``: the running sum of ``delta`` held at or above zero."""
     upto = in_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -126,7 +126,28 @@ def test_csharp_classes_and_methods(spark):
     big = "namespace N\n{\n  public class Big : Base\n  {\n    int field;\n" + "".join(method(i, 70) for i in range(3)) + "  }\n"
     small = "  class Small\n  {\n" + method(9, 60) + "  }\n}\n"
     assert _chunks(spark, "Big.cs", big + small) == [
-        ("method", "Big.M0", 6, 78), ("method", "Big.M1", 79, 151), ("method", "Big.M2", 152, 224), ("class", "Small", 226, 291)]
+        ("file_header", "Big:__header+Big.M0", 1, 78), ("method", "Big.M1", 79, 151), ("method", "Big.M2", 152, 224),
+        ("file_header", "Big:__between_3+Small+Big:__tail", 225, 293)]
+
+
+def test_text_and_comments_open_no_blocks(spark):
+    filler = "\n".join(f"  x = {i}" for i in range(60))
+    code = f"function a()\n  local s = [[ if do\n function ]] .. 'end'\n--[==[ end\nend ]==]\n{filler}\nend\nlocal between = 1\nfunction b()\n{filler}\nend"
+    assert _chunks(spark, "m.lua", code) == [("function", "a", 1, 66), ("file_header", "m:__between_1+b", 67, 129)]
+    body = "\n".join("    x++;" for _ in range(60))
+    cs = f"class A {{\n  string s = @\"{{ \"\" {{\n{{\";\n /* }} \n }} */ char c = '{{';\n{body}\n}}\nclass B {{ // {{\n{body}\n}}"
+    assert _chunks(spark, "m.cs", cs) == [("class", "A", 1, 66), ("class", "B", 67, 128)]
+
+
+def test_every_filled_line_is_in_a_chunk(spark):
+    import random
+
+    rng = random.Random(4)
+    for path in ("f.lua", "f.cs", "f.txt"):
+        for _ in range(4):
+            lines = [rng.choice(["function m.f()", "end", "local x = 1", "", "class A {", "}", "  int M(int a) {", "if a then", "repeat", "until x"]) for _ in range(rng.randint(1, 300))]
+            covered = {n for _, _, a, b in _chunks(spark, path, "\n".join(lines)) for n in range(a, b + 1)}
+            assert {n for n, line in enumerate(lines, 1) if line.strip()} <= covered
 
 
 def test_outlines(spark):
