@@ -44,6 +44,8 @@ FITTED_ROWS = 20_000
 THRESHOLD = 0.3
 _BITS, _START, _END = 12, 1, 2
 _STEP = 500
+#: Words whose n-grams are formed together, and words whose ratios a task remembers.
+_WORDS, _REMEMBERED = 20_000, 250_000
 #: Bits of an n-gram that are multiplied, and the factor.
 MULTIPLIED, FACTOR = (1 << 40) - 1, 6_700_417
 
@@ -75,6 +77,12 @@ def plain_words(tokens: list[str]) -> list[str]:
     return [t.lower().strip(string.punctuation).replace("\x01", "\x03").replace("\x02", "\x03") for t in tokens]
 
 
+def _summed(grams: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams and the sums of each of their counts."""
+    unique, at = np.unique(grams, return_inverse=True)
+    return unique, [np.bincount(at, n, len(unique)) for n in counts]
+
+
 def count_grams(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(gram, one count for each of ``kinds``): 5-gram counts of ``docs`` (text, kind: a number among ``kinds``)."""
     schema = "gram long, " + ", ".join(f"{k} long" for k in kinds)
@@ -83,14 +91,16 @@ def count_grams(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         counters = [Counter() for _ in kinds]
 
         def leave() -> pa.RecordBatch:
-            words = list(set().union(*counters))
-            grams, owner = word_codes(plain_words(words))
-            unique, at = np.unique(grams, return_inverse=True)
-            counts = [np.fromiter((c[w] for w in words), np.float64, len(words)) for c in counters]
-            sums = [np.bincount(at, n[owner], len(unique)).astype(np.int64) for n in counts]
+            words, parts = list(set().union(*counters)), []
+            for at in range(0, max(1, len(words)), _WORDS):
+                some = words[at : at + _WORDS]
+                grams, owner = word_codes(plain_words(some))
+                counts = [np.fromiter((c[w] for w in some), np.float64, len(some))[owner] for c in counters]
+                parts.append(_summed(grams, counts))
             for c in counters:
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *map(pa.array, sums)], ["gram", *kinds])
+            unique, sums = _summed(np.concatenate([p[0] for p in parts]), [np.concatenate(x) for x in zip(*(p[1] for p in parts))])
+            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in sums]], ["gram", *kinds])
 
         for batch in batches:
             for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist()):
@@ -215,30 +225,29 @@ def score_features(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with mean_ratio (per character), peak_ratio (mean of the most toxic words) and n_tokens for each row."""
     names = ("mean_ratio", "peak_ratio", "n_tokens")
     docs = without(docs, *names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        known: dict[str, complex] = {}  # ratio and number of characters
         for whole in batches:
             for at in range(0, whole.num_rows, _STEP):
                 batch = whole.slice(at, _STEP)
                 cut = [t.split() if t else [] for t in batch.column("text").to_pylist()]
                 wanted = set().union(*cut)
                 missing = [w for w in wanted if w not in known]
-                if len(known) + len(missing) > CACHE_ENTRIES:
+                if len(known) + len(missing) > _REMEMBERED:
                     known, missing = {}, list(wanted)
-                for k in range(0, len(missing), 50_000):
-                    some = missing[k : k + 50_000]
-                    known.update(zip(some, zip(*(x.tolist() for x in model.ratios(plain_words(some))))))
+                for k in range(0, len(missing), _WORDS):
+                    some = missing[k : k + _WORDS]
+                    ratios, lengths = model.ratios(plain_words(some))
+                    known.update(zip(some, (ratios + 1j * lengths).tolist()))
                 rows = []
                 for tokens in cut:
                     if not tokens:
                         rows.append((0.0, 0.0, 0))
                         continue
-                    values = np.array(list(map(known.__getitem__, tokens)))
-                    ratio = values[:, 0]
+                    values = np.fromiter(map(known.__getitem__, tokens), np.complex128, len(tokens))
+                    ratio = values.real
                     top = np.partition(ratio, -PEAK_WORDS)[-PEAK_WORDS:] if len(ratio) > PEAK_WORDS else np.r_[ratio, np.zeros(PEAK_WORDS - len(ratio))]
-                    rows.append((float(ratio.sum() / values[:, 1].sum()), float(top.mean()), len(tokens)))
+                    rows.append((float(ratio.sum() / values.imag.sum()), float(top.mean()), len(tokens)))
                 out = batch
                 for name, kind, values in zip(names, (pa.float64(), pa.float64(), pa.int64()), zip(*rows)):
                     out = out.append_column(name, pa.array(values, kind))
