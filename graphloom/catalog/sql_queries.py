@@ -99,3 +99,21 @@ def sql_dates(c: Context):
 UNION ALL SELECT 2, 'name', 'string' UNION ALL SELECT 3, 'properties', 'string'""")
 def sql_table_info(c: Context):
     return _surface(c).query("PRAGMA table_info(nodes)").select("cid", "name", "type")
+
+
+_register("dialect", """SELECT label, total(n) AS total_edges, cast(count(*) FILTER (WHERE id GLOB '*:1?') AS bigint) AS teens FROM
+(SELECT n.id, n.label, count(e.target) AS n FROM nodes n LEFT JOIN edges e ON e.source = n.id GROUP BY n.id, n.label) t GROUP BY label""",
+          oracle="""SELECT label, sum(n)::double AS total_edges, count(*) FILTER (WHERE id GLOB '*:1?') AS teens FROM
+(SELECT n.id, n.label, count(e.target) AS n FROM nodes n LEFT JOIN edges e ON e.source = n.id GROUP BY n.id, n.label) t GROUP BY label""")
+
+
+@query("sql_limit_bites", f"WITH {GRAPH} SELECT least(count(*), 500) AS shown FROM edges")
+def sql_limit_bites(c: Context):
+    """The surface shows 500 rows of a longer answer."""
+    return _surface(c).query("SELECT source, target FROM edges").agg(F.count("*").alias("shown"))
+
+
+@query("sql_explain", f"WITH {GRAPH} SELECT count(*) > 0 AS explained FROM nodes")
+def sql_explain(c: Context):
+    plan = _surface(c).query("EXPLAIN SELECT label, count(*) AS n FROM nodes GROUP BY label")
+    return plan.agg(F.max(F.contains("plan", F.lit("HashAggregate"))).alias("explained"))

@@ -2,7 +2,10 @@
 
 A statement is run as the inside of ``SELECT * FROM ( ... )``: anything that is
 not a query fails to parse there, whatever its first word, and the row limit
-holds even when the text has a LIMIT of its own.
+holds even when the text has a LIMIT of its own. Every relation it names has to
+be a view of the chosen database or one of its own CTEs; files and other tables
+of the catalog are refused. A few spellings of the dialect that users of the
+surface write are turned into Spark's, outside of string literals.
 """
 
 from __future__ import annotations
@@ -21,8 +24,18 @@ ROW_LIMIT = 500
 DATABASES = {"main": ["nodes", "edges"], "snippets": ["snippets", "file_index_status"]}
 COMPATIBILITY = {
     "json_extract": "(doc STRING, path STRING) RETURNS STRING RETURN get_json_object(doc, path)",
+    "strftime": "(form STRING, at TIMESTAMP) RETURNS STRING RETURN date_format(at, replace(replace(replace(replace(replace(replace(form, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'))",
+    "datetime": "(at TIMESTAMP) RETURNS STRING RETURN date_format(at, 'yyyy-MM-dd HH:mm:ss')",
     "julianday": "(day TIMESTAMP) RETURNS DOUBLE RETURN unix_micros(day) / 86400000000.0D + 2440587.5D",
 }
+# name or qualified name, and a literal (kept as L0, L1, ... while spellings are changed)
+_NAME, _LITERAL = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?", r"\x00\d+\x00"
+SPELLINGS = [
+    (rf"(?i)\bgroup_concat\(\s*({_NAME})\s*\)", r"listagg(CAST(\1 AS STRING), ',')"),
+    (rf"(?i)\bgroup_concat\(\s*({_NAME})\s*,\s*({_LITERAL})\s*\)", r"listagg(CAST(\1 AS STRING), \2)"),
+    (rf"(?i)\btotal\(\s*({_NAME})\s*\)", r"coalesce(sum(CAST(\1 AS DOUBLE)), 0.0D)"),
+    (rf"({_NAME})\s*->>?\s*({_LITERAL})", r"get_json_object(\1, \2)"),
+]
 # -----------------------------------------------------------------------------
 
 
@@ -46,6 +59,7 @@ class SqlSurface:
                  file_index_status: DataFrame | None = None):
         self.spark = spark
         self.views = {"nodes": nodes, "edges": edges, "snippets": snippets, "file_index_status": file_index_status}
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")  # no statement names a file
         for name, signature in COMPATIBILITY.items():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{signature}")
 
@@ -62,14 +76,30 @@ class SqlSurface:
             return self._table_info(pragma.group(1), db)
         explain = re.match(r"(?is)explain(?:\s+query\s+plan)?\s+", text)
         if explain:
-            return self._run("EXPLAIN ", text[explain.end():])
-        return self._run("", text).limit(ROW_LIMIT)
+            return self._run("EXPLAIN ", text[explain.end():], db)
+        return self._run("", text, db).limit(ROW_LIMIT)
 
-    def _run(self, prefix: str, text: str) -> DataFrame:
+    def _run(self, prefix: str, text: str, db: str) -> DataFrame:
+        text = spark_spelling(text)
         try:
+            plan = self.spark.sql(f"EXPLAIN EXTENDED SELECT * FROM (\n{text}\n)").first()[0]
+            self._check_relations(plan, db)
             return self.spark.sql(f"{prefix}SELECT * FROM (\n{text}\n)")
         except PySparkException as error:
-            raise Refused(str(error).splitlines()[0]) from error
+            lines = [x for x in str(error).splitlines() if x.strip()]
+            raise Refused(lines[0] if lines else "the statement could not be read") from error
+
+    def _check_relations(self, plan: str, db: str) -> None:
+        """Refuse a plan whose parsed form names anything but the database's views and its own CTEs."""
+        parsed = plan.partition("== Analyzed Logical Plan ==")[0]
+        for names in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
+            parts = [p.strip() for p in names.split(",")]
+            if parts[0] in DATABASES[db] and len(parts) == 1:
+                continue
+            if len(parts) > 1 or self.spark.catalog.tableExists(parts[0]):
+                raise Refused(f"no table {'.'.join(parts)!r} in {db}")
+        if "== Analyzed Logical Plan ==" not in plan:
+            raise Refused("the statement could not be read")
 
     def _table_info(self, table: str, db: str) -> DataFrame:
         view = self.views.get(table) if table in DATABASES[db] else None
@@ -85,6 +115,26 @@ class SqlSurface:
         return SqlAnswer(df.columns, rows, len(rows), int((time.time() - started) * 1000), db)
 
 
+def spark_spelling(text: str) -> str:
+    """The statement with other dialects' spellings of a few functions and operators replaced, literals untouched."""
+    literals: list[str] = []
+
+    def keep(match: re.Match) -> str:
+        literals.append(match[0])
+        return f"\x00{len(literals) - 1}\x00"
+
+    def glob(match: re.Match) -> str:
+        pattern = literals[int(match[1])][1:-1]
+        body = "".join({"*": "[\\s\\S]*", "?": "[\\s\\S]"}.get(c, c if c in "[]" else re.escape(c)) for c in pattern)
+        return " RLIKE r'^" + body + "$'"
+
+    out = re.sub(r"'(?:[^']|'')*'", keep, text)
+    for pattern, replacement in SPELLINGS:
+        out = re.sub(pattern, replacement, out)
+    out = re.sub(r"(?i)\s+GLOB\s+\x00(\d+)\x00", glob, out)
+    return re.sub(r"\x00(\d+)\x00", lambda m: literals[int(m[1])], out)
+
+
 def readable(nodes: DataFrame) -> DataFrame:
     """The stored node columns plus the name, as the SQL surface shows them."""
     return nodes.select("id", "label", F.col("name"), "properties")

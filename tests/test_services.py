@@ -99,6 +99,24 @@ def test_sql_guard(spark, editor):
     assert spark.table("nodes").count() == 3
 
 
+def test_sql_names_only_its_own_tables(spark, editor, tmp_path):
+    graph = editor.graph
+    spark.range(3).write.parquet(str(tmp_path / "f"))
+    spark.range(3).createOrReplaceTempView("other_view")
+    surface = SqlSurface(spark, graph.nodes, graph.edges)
+    for bad in (f"SELECT * FROM parquet.`{tmp_path}/f`", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM other_view", "SELECT (SELECT max(id) FROM other_view) AS m",
+                "WITH other_view AS (SELECT * FROM other_view) SELECT * FROM other_view", "SELECT id FROM nodes WHERE EXISTS (SELECT 1 FROM other_view)", "SELECT * FROM snippets"):
+        with pytest.raises(Refused):
+            surface.query(bad).collect()
+    with pytest.raises(Refused) as refused:
+        surface.query("SELEC id FROM nodes")
+    assert str(refused.value)
+    ids = [r["id"] for r in graph.nodes.orderBy("id").collect()]
+    got = surface.query("SELECT group_concat(id, '; total(x)') AS g, total(1e0) AS t, strftime('%Y/%m', TIMESTAMP '2024-03-05 01:02:03') AS s, "
+                        "datetime(TIMESTAMP '2024-03-05 01:02:03') AS d FROM nodes WHERE id GLOB '*'".replace("total(1e0)", "total(one)").replace("FROM nodes", "FROM (SELECT *, 1 AS one FROM nodes) n")).first()
+    assert sorted(got.g.split("; total(x)")) == ids and (got.t, got.s, got.d) == (float(len(ids)), "2024/03", "2024-03-05 01:02:03")
+
+
 def test_settings(spark):
     spark.conf.set("spark.graphloom.embedding_batch", "8")
     got = Settings.load(spark, {"nodes_path": "n", "embedding": {"batch": 64}, "require_confirm_token": "yes"})
