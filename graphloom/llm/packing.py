@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphloom.llm.tokens import spaced_encoder
+from graphloom.llm.tokens import spaced_encoder, text_steps
 
 WINDOW = 4096
 #: Tokens in open windows beyond which they are joined, so that memory is bounded.
 OPEN_TOKENS = 4_000_000
-#: Documents encoded together.
-STEP = 1_000
 
 Piece = tuple[object, int, bytes, int]  # doc_id, start, ids, tokens of the document
 
@@ -153,8 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
                                               ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                some = batch.slice(at, STEP)
+            for some in text_steps(batch):
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
                     packer.add(doc, ids + end)
                 yield leave()

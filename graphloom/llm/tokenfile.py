@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.tokens import spaced_encoder
+from graphloom.llm.tokens import spaced_encoder, text_steps
 from graphloom.session import materialize
 
 LIMIT, STRIDE = 20, 256
 #: Ids after which a block is closed, ids of a part.
 BLOCK_IDS, PART_IDS = 1 << 16, 8_000_000
+#: Documents whose bits are formed together.
 STEP = 1_000
 
 
@@ -123,8 +124,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = spaced_encoder(tokenizer, blank_belongs=True), array("I", [end_id]).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                some = batch.slice(at, STEP)
+            for some in text_steps(batch):
                 ids = [np.frombuffer(x + end, np.uint32).astype(np.uint16).tobytes() for x in encoder.encode(some.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

@@ -1,53 +1,43 @@
-"""Whole texts to token ids, remembering the ids of each stretch between spaces."""
+"""Whole texts to token ids, each distinct stretch between spaces encoded once for many texts."""
 
 from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches a worker remembers in each of two generations, so that its memory does not follow the vocabulary.
-REMEMBERED = 300_000
+#: UTF-8 bytes of texts that are encoded together; a longer text is encoded by itself.
+STEP_BYTES = 10_000_000
 #: White space other than a blank or a line feed; texts with any of it are left to the tokenizer as they are.
 _RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 #: Letters whose lower case depends on more than the letter.
 _CASED = "\u03a3\u0130"
-#: Letters below this need no normalisation.
-_PLAIN_LETTERS = "\u0250"
+#: Letters that need no normalisation, in both cases and in lower case only.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LOWER = "a-z\u00df-\u00f6\u00f8-\u00ff"
 
 
 @lru_cache(maxsize=4)
 def spaced_encoder(path: str, blank_belongs: bool) -> SpacedEncoder:
-    """This worker's encoder; what it remembers serves later tasks as well."""
+    """This worker's encoder for a vocabulary; it keeps nothing of the texts."""
     return SpacedEncoder(path, blank_belongs)
 
 
-class _Known(dict):
-    """Number of each stretch seen; one not seen lately is noted for encoding."""
-
-    def __init__(self):
-        self.ids: list[bytes] = []
-        self.new: list[str] = []
-        self.old: tuple[dict[str, int], list[bytes]] = {}, []
-
-    def __missing__(self, stretch: str) -> int:
-        number = self[stretch] = len(self.ids)
-        before = self.old[0].get(stretch)
-        if before is None:
-            self.new.append(stretch)
-        self.ids.append(b"" if before is None else self.old[1][before])
-        return number
-
-    def age(self) -> None:
-        if len(self.ids) > REMEMBERED:
-            self.old = dict(self), self.ids
-            self.ids = []
-            self.clear()
+def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``most`` bytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 class SpacedEncoder:
@@ -55,12 +45,12 @@ class SpacedEncoder:
 
     Pre-tokens end before every blank or line feed that follows something else,
     so where white space comes one at a time a text's ids are those of its
-    stretches, one after the other. A stretch is encoded once while it is
-    remembered. Stretches of letters are one pre-token each and go to the
-    tokenizer's model as words of one text, which their ids tell apart; a comma
-    or point after letters is a pre-token of its own. Other stretches go to the
-    tokenizer with a lone tilde between them, or with the line feed they begin
-    with, whose id parts them; what holds a tilde goes alone.
+    stretches, one after the other. Arrow finds the distinct stretches of many
+    texts, and each is encoded once. Stretches of letters are one pre-token each
+    and go to the tokenizer's model as words of one text, which their ids tell
+    apart; a comma or point after letters is a pre-token of its own. Other
+    stretches go to the tokenizer with a lone tilde between them, or with the
+    line feed they begin with, whose id parts them; what holds a tilde goes alone.
     ``blank_belongs`` says that a blank is part of the stretch it opens and a
     line feed a token (byte-level vocabularies); otherwise white space has no ids
     and the tokenizer lower-cases letters.
@@ -74,10 +64,12 @@ class SpacedEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.blank_belongs, self.known = blank_belongs, _Known()
-        (self.mark_id,) = self.tokenizer.encode(" ~", add_special_tokens=False).ids
-        self.line_ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.points = {mark: self._alone(mark) for mark in ",."}
+        self.blank_belongs = blank_belongs
+        letters = _LETTERS if blank_belongs else _LOWER
+        self.word, self.parted = f"^[{letters}]+$", f"^[{letters}]+[,.]$"
+        (self.mark_id,) = self._ids(" ~")
+        self.line_id = self._ids("\n")[0] if blank_belongs else -1
+        self.point_ids = {mark: self._ids(mark)[0] for mark in ",."}
         # byte-level vocabularies write each byte as a printable character
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.printable = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128) if b != 32}
@@ -93,66 +85,77 @@ class SpacedEncoder:
         for token, number in vocabulary.items():
             self.opens[number] = token.startswith(self.blank) if blank_belongs else token.endswith("</w>")
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _alone(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self._ids(text)).tobytes()
+
+    @staticmethod
+    def _steps(items: list[str], count: int = 4_000) -> Iterator[list[str]]:
+        return (items[at : at + count] for at in range(0, len(items), count))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of plain letters, one after the other, and how many each has."""
+        found = []
+        for some in self._steps(words):
+            text = (" " + " ".join(some)).encode().decode("latin-1").translate(self.printable)
+            if self.blank_belongs:
+                text = text.replace(" ", " " + self.blank)
+            found.append(np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4"))
+        ids = np.concatenate([np.empty(0, "<u4"), *found])
+        at = np.flatnonzero(self.opens[ids])
+        sizes = np.diff(np.r_[at, len(ids)]) if self.blank_belongs else np.diff(np.r_[-1, at])
+        return ids, self._agreed(sizes, words)
 
-    def _put(self, stretches: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if not len(starts) == len(ends) == len(stretches):
+    @staticmethod
+    def _agreed(sizes: np.ndarray, stretches: list[str]) -> np.ndarray:
+        if len(sizes) != len(stretches):
             raise RuntimeError("stretches and ids do not agree")
-        data, known = ids.tobytes(), self.known
-        for stretch, start, end in zip(stretches, (4 * starts).tolist(), (4 * ends).tolist()):
-            known.ids[known[stretch]] = data[start:end]
-
-    def _put_words(self, words: list[str]) -> None:
-        """Stretches of plain letters."""
-        text = (" " + " ".join(words)).encode().decode("latin-1").translate(self.printable)
-        if self.blank_belongs:
-            text = text.replace(" ", " " + self.blank)
-        ids = np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.opens[ids])
-        if self.blank_belongs:
-            self._put(words, ids, at, np.r_[at[1:], len(ids)])
-        else:
-            self._put(words, ids, np.r_[0, at[:-1] + 1], at + 1)
-
-    def _put_marked(self, stretches: list[str]) -> None:
-        """Stretches after a blank."""
-        ids = np.array(self.tokenizer.encode("".join([f" {x} ~" for x in stretches]), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark_id)
-        self._put(stretches, ids, np.r_[0, ends[:-1] + 1], ends)
-
-    def _put_lines(self, stretches: list[str]) -> None:
-        """Stretches that begin with a line feed."""
-        ids = np.array(self.tokenizer.encode("".join(stretches), add_special_tokens=False).ids, "<u4")
-        starts = np.flatnonzero(ids == self.line_ids[0])
-        self._put(stretches, ids, starts, np.r_[starts[1:], len(ids)])
-
-    def _is_word(self, stretch: str) -> bool:
-        return stretch.isalpha() and (stretch.isascii() or max(stretch) < _PLAIN_LETTERS) and (self.blank_belongs or stretch == stretch.lower())
-
-    def _learn(self) -> None:
-        """Encode the stretches noted as new."""
-        known, is_word = self.known, self._is_word
-        words, parted, marked, lines = [], [], [], []
-        for x in known.new:
-            if is_word(x):
-                words.append(x)
-            elif x[-1:] in (",", ".") and is_word(x[:-1]):
-                parted.append(x)
-            elif "~" in x or len(x) < 1 + (x[:1] == "\n"):
-                known.ids[known[x]] = self._alone(x if x[:1] == "\n" else " " + x)
-            else:
-                (lines if x[0] == "\n" else marked).append(x)
-        known.new = []
-        for x in parted:
-            known[x[:-1]]  # noted where new
-        words += known.new
-        known.new = []
-        for step, some in ((self._put_words, words), (self._put_marked, marked), (self._put_lines, lines)):
-            for at in range(0, len(some), 2_000):
-                step(some[at : at + 2_000])
-        for x in parted:
-            known.ids[known[x]] = known.ids[known[x[:-1]]] + self.points[x[-1]]
+        return sizes
+
+    def _marked(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of other stretches after a blank; their ids are followed by the mark's, which counts to none of them."""
+        ids = np.concatenate([np.empty(0, "<u4"), *[np.array(self._ids("".join([f" {x} ~" for x in some])), "<u4") for some in self._steps(stretches)]])
+        marks = ids == self.mark_id
+        sizes = np.diff(np.r_[-1, np.flatnonzero(marks)]) - 1
+        return ids[~marks], self._agreed(sizes, stretches)
+
+    def _lines(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of stretches that begin with a line feed."""
+        ids = np.concatenate([np.empty(0, "<u4"), *[np.array(self._ids("".join(some)), "<u4") for some in self._steps(stretches)]])
+        return ids, self._agreed(np.diff(np.r_[np.flatnonzero(ids == self.line_id), len(ids)]), stretches)
+
+    def _distinct(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids; and of each stretch its start in the pool, its number of ids there, and the id of its last point or comma, if it is set apart."""
+        n = len(stretches)
+        starts, sizes, points = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        word, parted = (pc.match_substring_regex(stretches, p).to_numpy(zero_copy_only=False) for p in (self.word, self.parted))
+        at_word, at_parted = np.flatnonzero(word), np.flatnonzero(parted)
+        ended = stretches.take(pa.array(at_parted))
+        bodies = pa.concat_arrays([stretches.take(pa.array(at_word)), pc.utf8_slice_codeunits(ended, 0, -1)]).dictionary_encode()
+        of = bodies.indices.to_numpy()
+        pool = [self._words(bodies.dictionary.to_pylist())]
+        where = np.cumsum(pool[0][1]) - pool[0][1]
+        both = np.r_[at_word, at_parted]
+        starts[both], sizes[both] = where[of], pool[0][1][of]
+        comma = pc.ends_with(ended, ",").to_numpy(zero_copy_only=False)
+        points[at_parted] = np.where(comma, self.point_ids[","], self.point_ids["."]) + 1  # 0: none
+        others = np.flatnonzero(~(word | parted))
+        listed = stretches.take(pa.array(others)).to_pylist()
+        kinds = np.array([0 if "~" in x or len(x) < 1 + (x[:1] == "\n") else 2 if x[0] == "\n" else 1 for x in listed], np.int64)
+        used = len(pool[0][0])
+        for kind, encode in enumerate((self._singles, self._marked, self._lines)):
+            mine = np.flatnonzero(kinds == kind)
+            ids, own = encode([listed[k] for k in mine])
+            starts[others[mine]], sizes[others[mine]] = used + np.cumsum(own) - own, own
+            pool.append((ids, own))
+            used += len(ids)
+        return np.concatenate([*[p[0] for p in pool], np.zeros(1, "<u4")]), starts, sizes, points
+
+    def _singles(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.frombuffer(self._alone(x if x[:1] == "\n" else " " + x), "<u4") for x in stretches]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
 
     def _spaced(self, text: str) -> str:
         """The text with one blank before every stretch but the first."""
@@ -165,28 +168,20 @@ class SpacedEncoder:
         return any(c in text for c in _RARE_SPACES) or (self.blank_belongs and (text[0] in "\n " or any(r in text for r in _RUNS)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a null text has none.
-
-        Texts are cut and their distinct stretches found by Arrow, so that a
-        stretch is looked up once for all ``texts``.
-        """
-        known = self.known
-        known.age()
+        """Ids of each text; a null text has none."""
         apart = {k: self._alone(t) for k, t in enumerate(texts) if t and self._whole(t)}
         cut = pc.split_pattern(pa.array([None if not t or k in apart else self._spaced(t) for k, t in enumerate(texts)], pa.large_string()), " ")
         found = cut.flatten().dictionary_encode()
-        numbers = list(map(known.__getitem__, found.dictionary.to_pylist()))
-        if known.new:
-            self._learn()
-        pieces = list(map(known.ids.__getitem__, numbers))
-        ids = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        starts = np.cumsum(sizes) - sizes
+        pool, starts, sizes, points = self._distinct(found.dictionary)
         at = found.indices.to_numpy()
-        sizes = sizes[at]
-        ends = np.cumsum(sizes)
-        data = ids[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        stretches = np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy())
+        own, last = (sizes + (points > 0))[at], points[at]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        data = pool[np.repeat(starts[at] - ends + own, own) + np.arange(total)]
+        marked = np.flatnonzero(last)
+        data[ends[marked] - 1] = last[marked] - 1
+        data = data.tobytes()
+        stretches = np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         bounds = np.r_[0, 4 * np.r_[0, ends][stretches]].tolist()
         first = 4 * self.blank_belongs  # the line feed put before the text
         return [apart[k] if k in apart else data[bounds[k] + first : bounds[k + 1]] if t else b"" for k, t in enumerate(texts)]
