@@ -195,12 +195,12 @@ def test_spaced_encoding_is_the_tokenizers(path, blank):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
-def test_encoder_forgets_and_goes_on(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 20)
-    encoder, plain = tokens.SpacedEncoder(BYTES, True), Tokenizer.from_file(BYTES)
-    for k in range(0, 200, 10):
-        text = " ".join(f"thing{j} other{j % 3}" for j in range(k, k + 15))
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == plain.encode(text).ids
+def test_steps_cover_a_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 30, None, "", "b" * 5, "c" * 200, "d"])], ["text"])
+    steps = list(tokens.text_steps(batch, most=40))
+    assert [x for s in steps for x in s.column("text").to_pylist()] == batch.column("text").to_pylist() and [len(s) for s in steps] == [4, 1, 1]
 
 
 @pytest.mark.parametrize("limit", [6, 9, 20])
