@@ -153,12 +153,6 @@ def code_terms(c: Context):
     return rows.select("id", "label", "degree", F.round("importance", 6).alias("importance"))
 
 
-@query("code_rerank")
-def code_rerank(c: Context):
-    answer = code_search.search(c.retriever, GRAPH_QUERY, code_search.CodeOptions(), c.vector(0))
-    return answer.files.select("rank", "id", "path", "confidence", F.round("score", 6).alias("score"))
-
-
 _ADV = f"""{_shared()}, {_hits('code_h', 120, 'CodeFile')},
 q AS (SELECT list_filter(regexp_split_to_array(lower('{GRAPH_QUERY}'), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS t),
 items AS (SELECT h.id, n.name, 'record/' || replace(n.path[15:], '\\', '/') AS key, h.score AS raw FROM code_h h JOIN nodes n USING (id)
@@ -223,6 +217,23 @@ def code_advanced(c: Context):
     return answer.files.select("rank", "id", "path", "confidence", F.round("score", 6).alias("score"))
 
 
+_GUARDED = _FULL.replace("w_d AS (", _POOL160, 1)
+_GUARDED = _GUARDED[:_GUARDED.index("adv AS (")] + """adv AS (SELECT *, least(1.0::double, 0.82::double * semantic + (1.0::double - 0.82::double) * lexical + intent + community) AS advanced,
+  row_number() OVER (ORDER BY raw DESC, name, id) = 1 AS pinned FROM scored),
+guarded AS (SELECT *, greatest(advanced, 0.35::double * baseline + (1.0::double - 0.35::double) * advanced) AS guard FROM adv),
+fin AS (SELECT *, round(CASE WHEN pinned THEN greatest(guard, baseline) ELSE guard END, 9) AS score FROM guarded),
+placed AS (SELECT *, row_number() OVER (ORDER BY pinned DESC, score DESC, baseline DESC, raw DESC, name, id) AS place FROM fin)
+SELECT cast(place as int) AS rank, id, key AS path, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
+  round(score, 6) AS score FROM placed WHERE place <= 8"""
+
+
+@query("code_rerank", _GUARDED)
+def code_rerank(c: Context):
+    """The default strategy: the full score held above a share of the baseline, its best file pinned."""
+    answer = code_search.search(c.retriever, GRAPH_QUERY, code_search.CodeOptions(), c.vector(0))
+    return answer.files.select("rank", "id", "path", "confidence", F.round("score", 6).alias("score"))
+
+
 @query("index_only", f"""{_shared()}, {_hits('ix', 50)},
 conf AS (SELECT ix.id, n.name, ix.label AS node_type, ix.score, least(1.0::double, ix.score / (SELECT max(score) FROM ix)) AS confidence,
   CASE WHEN n.label = 'CodeFile' THEN 'record/' || replace(n.path[15:], '\\', '/') WHEN n.label = 'Folder' THEN 'record/' || n.id[5:] ELSE n.id END AS asset_link
@@ -272,7 +283,21 @@ def deep_retrieve_neighbors(c: Context):
     return result.neighbors.select("id", "label", "name")
 
 
-@query("deep_retrieve_ranked")
+def _ppr_from_seeds(rounds: int = 10, alpha: float = 0.85) -> str:
+    """CTEs ending in ``ppr_<rounds>(id, score)`` for the ids of the CTE ``seeds``."""
+    ctes = ["deg AS MATERIALIZED (SELECT a, count(*)::double AS d FROM sym GROUP BY a)", "many AS (SELECT count(*)::double AS n FROM seeds)",
+            "ppr_0 AS MATERIALIZED (SELECT id, 1.0::double / n AS score FROM seeds, many)"]
+    for k in range(1, rounds + 1):
+        ctes.append(f"ppr_{k} AS MATERIALIZED (SELECT id, sum(score) AS score FROM (SELECT s.b AS id, {alpha}::double * x.score / d.d AS score FROM ppr_{k - 1} x "
+                    f"JOIN sym s ON s.a = x.id JOIN deg d ON d.a = x.id UNION ALL SELECT id, (1 - {alpha}::double) / n FROM seeds, many) GROUP BY id)")
+    return ",\n".join(ctes)
+
+
+@query("deep_retrieve_ranked", f"""{_DEEP}, {_ppr_from_seeds()},
+best AS (SELECT id, score FROM ppr_10 ORDER BY round(score, 9) DESC, id LIMIT 40),
+found AS (SELECT b.id, n.label, b.score FROM best b JOIN nodes n USING (id) WHERE b.id NOT IN (SELECT id FROM seeds) AND coalesce(n.infra_layer, '') <> 'L1'
+  ORDER BY round(b.score, 9) DESC, b.id LIMIT 10)
+SELECT id, label, round(score, 6) AS score FROM found WHERE id NOT IN (SELECT id FROM around) ORDER BY round(found.score, 9) DESC, id LIMIT 8""")
 def deep_retrieve_ranked(c: Context):
     result = c.retriever.deep_retrieve(GRAPH_QUERY, 5, vector=c.vector(0))
     return materialize(result.ranked, "ranked").select("id", "label", F.round("score", 6).alias("score"))
