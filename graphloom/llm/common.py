@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +18,62 @@ from pyspark.sql import types as T
 
 from graphloom.session import materialize
 
-#: Entries a task remembers before it starts afresh, so that memory does not follow the vocabulary.
-CACHE_ENTRIES = 400_000
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered within a task up to ``CACHE_ENTRIES`` words."""
+#: UTF-8 bytes of texts whose words are found together; a longer text is handled by itself.
+STEP_BYTES = 8_000_000
+
+
+def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about ``most`` bytes together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space (0x20, 0x09-0x0D), the number of each word of the texts in turn, and each text's bounds among these.
+
+    A null text has no words. Nothing is kept between calls, so memory follows the step and not the vocabulary.
+    """
+    cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    found = cut.flatten().dictionary_encode()
+    numbers = found.indices.to_numpy()
+    ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False), dtype=np.int64)
+    real = pc.not_equal(found.dictionary, "").to_numpy(zero_copy_only=False)
+    if not real.all():  # white space at either end of a text
+        kept = real[numbers]
+        ends = np.r_[0, np.cumsum(kept)][ends]
+        numbers = numbers[kept]
+    return found.dictionary, numbers, np.r_[0, ends]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word's UTF-8."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def tidy(run: Callable) -> Callable:
+    """Let a task over Arrow batches give its free memory back to the machine when it ends: its worker lives on."""
+
+    def leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                with contextlib.suppress(OSError, AttributeError):  # another C library
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return leaving
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -41,12 +83,6 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def utf8_texts(column: pa.Array) -> Iterator[bytes]:
-    """The texts of an Arrow column as UTF-8, a null text as an empty one."""
-    for value in column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()):
-        yield value.as_py() or b""
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut batches that come sorted by ``keys`` into one table a key; only one group is held at a time."""
     held: list[pa.Table] = []
@@ -100,7 +136,7 @@ def arrow_cells(rows: DataFrame, keys: list[str], step: Callable[[pa.Table], pa.
             if out is not None and out.num_rows:
                 yield out
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

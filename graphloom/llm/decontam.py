@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, arrow_cells, mixed
+from graphloom.llm.common import arrow_cells, distinct_words, mixed, text_steps, tidy
 from graphloom.session import materialize
 
 #: Hash buckets for words, columns of the sketch, latent dimensions: together they bound what the driver holds.
@@ -44,25 +45,17 @@ VERBATIM, PARAPHRASE, ANSWERED = 0.7, 0.6, 0.8
 ITEM_BLOCK = 4_000
 #: Rows of the feature table that one row of a partial sketch holds.
 ROWS = 256
-#: Documents handled together.
-_STEP, _SKETCH_STEP = 200, 1_000
+#: Documents searched together.
+_STEP = 200
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\`~^"
 
 
-class WordIds(dict):
-    """64-bit id of a lower-cased word, punctuation around it left out; 0 where nothing remains."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        bare = word.strip(_EDGES)
-        value = self[word] = (xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) | 1) if bare else 0
-        return value
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        ids = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return ids[ids != 0]
+def word_ids(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the 64-bit ids of its lower-cased words, punctuation around them left out; a null text has none."""
+    words, numbers, bounds = distinct_words(pc.utf8_lower(texts))
+    bare = [w.strip(_EDGES) for w in words.to_pylist()]
+    ids = np.fromiter(((xxhash.xxh3_64_intdigest(w.encode()) | 1) if w else 0 for w in bare), np.uint64, len(bare))[numbers]
+    return [found[found != 0] for found in np.split(ids, bounds[1:-1])] if len(texts) else []
 
 
 def _features(ids: np.ndarray) -> np.ndarray:
@@ -71,13 +64,12 @@ def _features(ids: np.ndarray) -> np.ndarray:
 
 def _partial_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block of ``ROWS`` features: the sums' positions and values, document frequencies in one more column."""
-    words, width = WordIds(), SKETCH + 1
+    width = SKETCH + 1
     sums, passages = np.zeros(FEATURES * width, np.float32), 0
     for whole in batches:
-        for at in range(0, whole.num_rows, _SKETCH_STEP):
+        for batch in text_steps(whole):
             ids, owner, base = [], [], 0
-            for text in whole.column("text").slice(at, _SKETCH_STEP).to_pylist():
-                found = words.of(text)
+            for found in word_ids(batch.column("text")):
                 if len(found):
                     ids.append(found)
                     owner.append(base + np.arange(len(found)) // PASSAGE)
@@ -118,7 +110,7 @@ def _add_sketches(cell: pa.Table) -> pa.RecordBatch:
 
 def fit_latent(docs: DataFrame) -> np.ndarray:
     """(FEATURES, LATENT): what a word of each feature adds to the latent coordinates of its passage."""
-    partial = docs.select("text").mapInArrow(_partial_sketch, "block int, at binary, values binary")
+    partial = docs.select("text").mapInArrow(tidy(_partial_sketch), "block int, at binary, values binary")
     sketch, passages = np.zeros((FEATURES // ROWS, ROWS * (SKETCH + 1)), np.float32), 1.0
     for row in arrow_cells(partial, ["block"], _add_sketches, "block int, total binary").collect():  # FEATURES / ROWS rows of fixed size
         total = np.frombuffer(bytes(row["total"]), np.float32)
@@ -158,14 +150,13 @@ class Items:
     """Benchmark items ready to be searched for: words, answers, latent vectors and window lengths."""
 
     def __init__(self, rows: list[tuple[int, str]], latent: np.ndarray):
-        words = WordIds()
         self.ids, self.sizes, self.masks, self.answers, vectors, held, self.scales = [], [], [], [], [], [], {}
         for item, text in rows:
-            found = words.of(text)
+            sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if s.strip()]
+            found, answer = word_ids(pa.array([text, sentences[-1] if sentences else text]))
             if not len(found):
                 continue
-            sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if s.strip()]
-            answer = words.of(sentences[-1] if sentences else text).tolist()
+            answer = answer.tolist()
             scale = max(0, round(np.log(len(found) / SHORTEST) / np.log(RATIO)))
             self.scales.setdefault(max(1, round(SHORTEST * RATIO**scale / BLOCK)), []).append(len(self.ids))
             self.ids.append(item)
@@ -245,16 +236,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_B
         items = Items([(r["item_id"], r["text"]) for r in rows], latent)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            words = WordIds()
             for whole in batches:
-                for at in range(0, whole.num_rows, _STEP):
-                    batch = whole.slice(at, _STEP)
-                    found = items.matches([words.of(text) for text in batch.column("text").to_pylist()])
-                    ids = batch.column("doc_id").take(pa.array([m[0] for m in found], pa.int64()))
-                    columns = list(zip(*found))[1:] or [()] * 6
-                    kinds = [pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds)]], [f.split()[0] for f in schema.split(", ")])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+                for step in text_steps(whole):
+                    ids = word_ids(step.column("text"))
+                    for at in range(0, step.num_rows, _STEP):
+                        found = items.matches(ids[at : at + _STEP])
+                        docs = step.column("doc_id").take(pa.array([at + m[0] for m in found], pa.int64()))
+                        columns = list(zip(*found))[1:] or [()] * 6
+                        kinds = [pa.int64(), *[pa.float64()] * 3, pa.int64(), pa.int64()]
+                        yield pa.RecordBatch.from_arrays([docs, *[pa.array(c, k) for c, k in zip(columns, kinds)]], [f.split()[0] for f in schema.split(", ")])
+
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else materialize(out, "contaminated")

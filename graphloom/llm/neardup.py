@@ -25,10 +25,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHashes, arrow_cells, block_cells, connected_components, mixed, utf8_texts
+from graphloom.llm.common import arrow_cells, block_cells, connected_components, distinct_words, mixed, text_steps, tidy, word_hashes
 from graphloom.session import materialize
 
 SHINGLE, PERCENT = 5, 85
@@ -45,21 +46,26 @@ _PLACES = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _KEPT = [list(kept) for kept in combinations(range(SLOTS_A_CHUNK), SLOTS_A_CHUNK - ERRORS)]
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; a text of fewer words is one shingle, one without words none."""
-    words = text.lower().split()  # of bytes: A-Z only, and exactly the white space 0x20, 0x09-0x0D
-    if not words:
+def shingle_set(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text, given its words' hashes; fewer words are one shingle, none are none."""
+    if not len(values):
         return np.empty(0, np.uint64)
-    values = hashes.of(words)
-    if len(words) < SHINGLE:
-        return mixed(np.array([np.sum(values * _PLACES[: len(words)], dtype=np.uint64) + np.uint64(len(words))], np.uint64))
-    n = len(words) - SHINGLE + 1
+    if len(values) < SHINGLE:
+        return mixed(np.array([np.sum(values * _PLACES[: len(values)], dtype=np.uint64) + np.uint64(len(values))], np.uint64))
+    n = len(values) - SHINGLE + 1
     total = values[:n] * _PLACES[0]
     for k in range(1, SHINGLE):
         total += values[k : k + n] * _PLACES[k]
     return np.unique(mixed(total))
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle set of each text; only A-Z are lower-cased."""
+    words, numbers, bounds = distinct_words(pc.ascii_lower(texts))
+    values = word_hashes(words)[numbers]
+    return (shingle_set(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """For each slot the low 16 bits of the smallest of the shingles' hashes under that slot's function."""
     out = np.empty(SLOTS, np.uint64)
@@ -69,17 +75,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        counts, ids, signatures = [], [], []
-        for text in utf8_texts(batch.column("text")):
-            shingles = shingle_set(text, hashes)
-            counts.append(len(shingles))
-            ids.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-            signatures.append(signature(shingles).tobytes() if len(shingles) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())],
-            ["doc_id", "n_shingles", "set_id", "signature"])
+    for whole in batches:
+        for batch in text_steps(whole):
+            counts, ids, signatures = [], [], []
+            for shingles in shingle_sets(batch.column("text")):
+                counts.append(len(shingles))
+                ids.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
+                signatures.append(signature(shingles).tobytes() if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "signature"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -139,13 +144,12 @@ def _similar_signatures(cell: pa.Table) -> pa.RecordBatch | None:
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full set of each document that stands for its class; other rows of the same id are left out by their set's id."""
-    hashes = WordHashes()
     for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch, rows = whole.slice(at, 500), []
-            for text, wanted in zip(utf8_texts(batch.column("text")), batch.column("set_id").to_pylist()):
-                shingles = shingle_set(text, hashes).tobytes()
-                rows.append(shingles if hashlib.blake2b(shingles, digest_size=16).digest() == wanted else None)
+        for batch in text_steps(whole, most=2_000_000):
+            rows = []
+            for shingles, wanted in zip(shingle_sets(batch.column("text")), batch.column("set_id").to_pylist()):
+                data = shingles.tobytes()
+                rows.append(data if hashlib.blake2b(data, digest_size=16).digest() == wanted else None)
             table = batch.drop_columns(["text", "set_id"]).append_column("shingles", pa.array(rows, pa.binary()))
             yield table.filter(table.column("shingles").is_valid())
 
@@ -184,13 +188,13 @@ def near_duplicates(docs: DataFrame, key_block: int = KEY_BLOCK, region_block: i
     doc_id takes part but is never the smallest. Columns beyond doc_id and text
     are not read, so their names do not matter.
     """
-    described = docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, set_id binary, signature binary")
+    described = docs.select("doc_id", "text").mapInArrow(tidy(_describe), "doc_id long, n_shingles long, set_id binary, signature binary")
     rows = materialize(described.withColumn("uid", F.monotonically_increasing_id()), "shingle-sets")
     classes = materialize(rows.where("n_shingles > 0").groupBy("set_id").agg(
         F.min("uid").alias("node"), F.min("doc_id").alias("first_doc"),
         F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")), "set-classes")
 
-    keys = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
+    keys = classes.select("node", "signature").mapInArrow(tidy(_keys), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("members") / key_block))
     cells = block_cells(keys.join(shared, "key"), "key", "node", "blocks").select("key", "cell_low", "cell_high", "node")
@@ -203,7 +207,7 @@ def near_duplicates(docs: DataFrame, key_block: int = KEY_BLOCK, region_block: i
     wanted = sized.join(blocks, "root").select("root", "node", "blocks", "signature", "set_id", F.col("first_doc").alias("wanted"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")))
     full = texts.select("root", "node", "blocks", "signature", "set_id", "text").mapInArrow(
-        _shingles, "root long, node long, blocks long, signature binary, shingles binary")
+        tidy(_shingles), "root long, node long, blocks long, signature binary, shingles binary")
     links = arrow_cells(block_cells(full, "root", "node", "blocks"), ["root", "cell_low", "cell_high"], _true_links, "a long, b long")
     linked = connected_components(links)
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphloom.llm.tokens import spaced_encoder, text_steps
+from graphloom.llm.common import text_steps, tidy
+from graphloom.llm.tokens import spaced_encoder
 
 WINDOW = 4096
 #: Tokens in open windows beyond which they are joined, so that memory is bounded.
@@ -159,4 +160,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
         yield leave()
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import tidy
+
 # --- fixed values: patterns that results must agree on -----------------------------
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -124,7 +126,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end", "novelty"), s)) for s in spans_of(t, novelty)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:double>>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:double>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([o if t == s else len(t) for o, t, s in zip(old, texts, same)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def listed(spans: Column, base_only: bool = False) -> Column:

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.tokens import spaced_encoder, text_steps
+from graphloom.llm.common import text_steps, tidy
+from graphloom.llm.tokens import spaced_encoder
 from graphloom.session import materialize
 
 LIMIT, STRIDE = 20, 256
@@ -128,7 +129,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
                 ids = [np.frombuffer(x + end, np.uint32).astype(np.uint16).tobytes() for x in encoder.encode(some.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     """
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer, end_id), "token-ids")
-    counted = tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    counted = tokens.select("ids").mapInArrow(tidy(_count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(1 << 16, np.int64)
     counts[counted["id"].to_numpy(int)] = counted["n"].to_numpy(np.int64)
     lengths = code_lengths(counts)
@@ -205,9 +206,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts[: parts - 1]]).cast("array<long>")
     part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("int")
     coded = tokens.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).mapInArrow(
-        _encoder(lengths), "part int, doc_id long, n_tokens long, bits binary, checkpoints binary")
+        tidy(_encoder(lengths)), "part int, doc_id long, n_tokens long, bits binary, checkpoints binary")
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "bits")
-    ordered.mapInArrow(_blocks, "part int, start long, doc_ids array<long>, counts array<long>, bits binary, checkpoints array<long>").write.option(
+    ordered.mapInArrow(tidy(_blocks), "part int, start long, doc_ids array<long>, counts array<long>, bits binary, checkpoints array<long>").write.option(
         "compression", "none").parquet(f"{path}/blocks")
 
 
@@ -244,7 +245,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     sums = blocks.groupBy("part").agg(F.max(F.col("start") + F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
     before = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    out = blocks.mapInArrow(run, "part int, start long, doc_id long, n_tokens long, ids binary")
+    out = blocks.mapInArrow(tidy(run), "part int, start long, doc_id long, n_tokens long, ids binary")
     return out.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 

@@ -11,8 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: UTF-8 bytes of texts that are encoded together; a longer text is encoded by itself.
-STEP_BYTES = 10_000_000
 #: White space other than a blank or a line feed; texts with any of it are left to the tokenizer as they are.
 _RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
@@ -29,17 +27,6 @@ def spaced_encoder(path: str, blank_belongs: bool) -> SpacedEncoder:
     return SpacedEncoder(path, blank_belongs)
 
 
-def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about ``most`` bytes together."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < batch.num_rows:
-        before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 class SpacedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 import pickle
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import CACHE_ENTRIES, without
+from graphloom.llm.common import distinct_words, text_steps, tidy, without
 from graphloom.session import materialize
 
 ORDER = 5
@@ -43,9 +42,8 @@ PEAK_WORDS = 3
 FITTED_ROWS = 20_000
 THRESHOLD = 0.3
 _BITS, _START, _END = 12, 1, 2
-_STEP = 500
-#: Words whose n-grams are formed together, and words whose ratios a task remembers.
-_WORDS, _REMEMBERED = 20_000, 250_000
+#: Words whose n-grams are formed together, and distinct n-grams that a task holds before it sends them on.
+_WORDS, _HELD = 20_000, 1_000_000
 #: Bits of an n-gram that are multiplied, and the factor.
 MULTIPLIED, FACTOR = (1 << 40) - 1, 6_700_417
 
@@ -88,29 +86,30 @@ def count_grams(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     schema = "gram long, " + ", ".join(f"{k} long" for k in kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = [Counter() for _ in kinds]
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
 
         def leave() -> pa.RecordBatch:
-            words, parts = list(set().union(*counters)), []
-            for at in range(0, max(1, len(words)), _WORDS):
-                some = words[at : at + _WORDS]
-                grams, owner = word_codes(plain_words(some))
-                counts = [np.fromiter((c[w] for w in some), np.float64, len(some))[owner] for c in counters]
-                parts.append(_summed(grams, counts))
-            for c in counters:
-                c.clear()
-            unique, sums = _summed(np.concatenate([p[0] for p in parts]), [np.concatenate(x) for x in zip(*(p[1] for p in parts))])
+            unique, sums = _summed(np.concatenate([h[0] for h in held]), [np.concatenate(x) for x in zip(*(h[1] for h in held))])
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in sums]], ["gram", *kinds])
 
-        for batch in batches:
-            for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist()):
-                if text:
-                    counters[kind].update(text.split())
-            if sum(map(len, counters)) > CACHE_ENTRIES:
-                yield leave()
-        yield leave()
-
-    return docs.select("text", "kind").mapInArrow(run, schema).groupBy("gram").agg(*[F.sum(k).alias(k) for k in kinds])
+        for whole in batches:
+            for batch in text_steps(whole):
+                words, numbers, bounds = distinct_words(batch.column("text"))
+                kind = np.repeat(batch.column("kind").to_numpy(), np.diff(bounds))
+                counts = [np.bincount(numbers[kind == k], minlength=len(words)) for k in range(len(kinds))]
+                words = words.to_pylist()
+                for at in range(0, len(words), _WORDS):
+                    grams, owner = word_codes(plain_words(words[at : at + _WORDS]))
+                    held.append(_summed(grams, [c[at : at + _WORDS][owner] for c in counts]))
+                if held:
+                    held[:] = [_summed(np.concatenate([h[0] for h in held]), [np.concatenate(x) for x in zip(*(h[1] for h in held))])]
+                if held and len(held[0][0]) > _HELD:
+                    yield leave()
+        if held:
+            yield leave()
+
+    return docs.select("text", "kind").mapInArrow(tidy(run), schema).groupBy("gram").agg(*[F.sum(k).alias(k) for k in kinds])
 
 
 def _bucket_of(grams: np.ndarray, order: int) -> np.ndarray:
@@ -226,35 +225,30 @@ def score_features(docs: DataFrame, model: Model) -> DataFrame:
     names = ("mean_ratio", "peak_ratio", "n_tokens")
     docs = without(docs, *names)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, complex] = {}  # ratio and number of characters
         for whole in batches:
-            for at in range(0, whole.num_rows, _STEP):
-                batch = whole.slice(at, _STEP)
-                cut = [t.split() if t else [] for t in batch.column("text").to_pylist()]
-                wanted = set().union(*cut)
-                missing = [w for w in wanted if w not in known]
-                if len(known) + len(missing) > _REMEMBERED:
-                    known, missing = {}, list(wanted)
-                for k in range(0, len(missing), _WORDS):
-                    some = missing[k : k + _WORDS]
-                    ratios, lengths = model.ratios(plain_words(some))
-                    known.update(zip(some, (ratios + 1j * lengths).tolist()))
+            for batch in text_steps(whole):
+                words, numbers, bounds = distinct_words(batch.column("text"))
+                words, ratios, lengths = words.to_pylist(), [np.empty(0)], [np.empty(0)]
+                for at in range(0, len(words), _WORDS):
+                    ratio, length = model.ratios(plain_words(words[at : at + _WORDS]))
+                    ratios.append(ratio)
+                    lengths.append(length)
+                ratios, lengths = np.concatenate(ratios)[numbers], np.concatenate(lengths)[numbers]
                 rows = []
-                for tokens in cut:
-                    if not tokens:
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if a == b:
                         rows.append((0.0, 0.0, 0))
                         continue
-                    values = np.fromiter(map(known.__getitem__, tokens), np.complex128, len(tokens))
-                    ratio = values.real
+                    ratio = ratios[a:b]
                     top = np.partition(ratio, -PEAK_WORDS)[-PEAK_WORDS:] if len(ratio) > PEAK_WORDS else np.r_[ratio, np.zeros(PEAK_WORDS - len(ratio))]
-                    rows.append((float(ratio.sum() / values.imag.sum()), float(top.mean()), len(tokens)))
+                    rows.append((float(ratio.sum() / lengths[a:b].sum()), float(top.mean()), b - a))
                 out = batch
                 for name, kind, values in zip(names, (pa.float64(), pa.float64(), pa.int64()), zip(*rows)):
                     out = out.append_column(name, pa.array(values, kind))
                 yield out
 
     out = T.StructType([*docs.schema.fields, T.StructField("mean_ratio", T.DoubleType()), T.StructField("peak_ratio", T.DoubleType()), T.StructField("n_tokens", T.LongType())])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def _inputs(mean: np.ndarray, peak: np.ndarray, tokens: np.ndarray) -> np.ndarray:
