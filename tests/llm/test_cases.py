@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import chatformat, decontam, licenses, neardup, packing, quality, secretscan, sharding, tokenfile, tokens, toxicity
+from graphloom.llm import chatformat, common, decontam, licenses, neardup, packing, quality, secretscan, sharding, tokenfile, tokens, toxicity
 from graphloom.session import work_path
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -195,11 +195,20 @@ def test_spaced_encoding_is_the_tokenizers(path, blank):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_words_are_what_python_splits():
+    import pyarrow as pa
+
+    texts = ["a b a", None, "", "  x\ty\n", "\x0b\x0cz\r q", "é\xa0ü  w", "   "]
+    words, numbers, bounds = common.distinct_words(pa.array(texts))
+    got = [[words[int(k)].as_py() for k in numbers[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [[w.decode() for w in (t or "").encode().split()] for t in texts]
+
+
 def test_steps_cover_a_batch():
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 30, None, "", "b" * 5, "c" * 200, "d"])], ["text"])
-    steps = list(tokens.text_steps(batch, most=40))
+    steps = list(common.text_steps(batch, most=40))
     assert [x for s in steps for x in s.column("text").to_pylist()] == batch.column("text").to_pylist() and [len(s) for s in steps] == [4, 1, 1]
 
 
