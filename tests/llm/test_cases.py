@@ -135,7 +135,7 @@ def test_chat_parts(session):
         UNION ALL SELECT 1L, 1L, 'assistant', CAST(null AS array<{chatformat.PART}>)""")
     row = chatformat.format_chats(turns).first()
     assert row.formatted == "<turn user>see \\lthis><image 1 448><audio 2 50><document 3 1536></turn>\n<turn assistant></turn>\n"
-    assert [(a.index, a.ref, a.tokens) for a in row.attachments] == [(1, "s3://a.png", 448), (2, "b.wav", 50), (3, "c.pdf", 1536)]
+    assert [(a["index"], a["ref"], a["tokens"]) for a in row.attachments] == [(1, "s3://a.png", 448), (2, "b.wav", 50), (3, "c.pdf", 1536)]
     assert row.attachment_tokens == 448 + 50 + 1536
 
 
