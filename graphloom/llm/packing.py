@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from graphloom.llm.common import text_steps, tidy
-from graphloom.llm.tokens import spaced_encoder
+from graphloom.llm.tokens import STEP_BYTES, spaced_encoder
 
 WINDOW = 4096
 #: Tokens in open windows beyond which they are joined, so that memory is bounded.
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
                                               ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for some in text_steps(batch):
+            for some in text_steps(batch, most=STEP_BYTES):
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
                     packer.add(doc, ids + end)
                 yield leave()

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import text_steps, tidy
-from graphloom.llm.tokens import spaced_encoder
+from graphloom.llm.tokens import STEP_BYTES, spaced_encoder
 from graphloom.session import materialize
 
 LIMIT, STRIDE = 20, 256
@@ -125,7 +125,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = spaced_encoder(tokenizer, blank_belongs=True), array("I", [end_id]).tobytes()
         for batch in batches:
-            for some in text_steps(batch):
+            for some in text_steps(batch, most=STEP_BYTES):
                 ids = [np.frombuffer(x + end, np.uint32).astype(np.uint16).tobytes() for x in encoder.encode(some.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: UTF-8 bytes of texts whose stretches are told apart together, and stretches whose ids are gathered together.
+STEP_BYTES, _GATHERED = 32_000_000, 500_000
 #: White space other than a blank or a line feed; texts with any of it are left to the tokenizer as they are.
 _RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = ("  ", " \n", "\n ", "\n\n")
@@ -161,14 +163,20 @@ class SpacedEncoder:
         found = cut.flatten().dictionary_encode()
         pool, starts, sizes, points = self._distinct(found.dictionary)
         at = found.indices.to_numpy()
-        own, last = (sizes + (points > 0))[at], points[at]
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ends) else 0
-        data = pool[np.repeat(starts[at] - ends + own, own) + np.arange(total)]
-        marked = np.flatnonzero(last)
-        data[ends[marked] - 1] = last[marked] - 1
-        data = data.tobytes()
-        stretches = np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        bounds = np.r_[0, 4 * np.r_[0, ends][stretches]].tolist()
-        first = 4 * self.blank_belongs  # the line feed put before the text
-        return [apart[k] if k in apart else data[bounds[k] + first : bounds[k + 1]] if t else b"" for k, t in enumerate(texts)]
+        sizes = sizes + (points > 0)
+        counts = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False)
+        bounds, first, out, k = np.r_[0, np.cumsum(counts, dtype=np.int64)], int(self.blank_belongs), [], 0
+        while k < len(texts):  # ids are gathered for some texts at a time
+            stop = max(k + 1, int(np.searchsorted(bounds, bounds[k] + _GATHERED, side="right")) - 1)
+            some = at[bounds[k] : bounds[stop]]
+            own, last = sizes[some], points[some]
+            ends = np.cumsum(own)
+            data = pool[np.repeat(starts[some] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            marked = np.flatnonzero(last)
+            data[ends[marked] - 1] = last[marked] - 1
+            data = data.tobytes()
+            cuts = (4 * np.r_[0, ends][bounds[k : stop + 1] - bounds[k]]).tolist()
+            for j in range(k, stop):  # less the line feed put before the text
+                out.append(apart[j] if j in apart else data[cuts[j - k] + 4 * first : cuts[j - k + 1]] if texts[j] else b"")
+            k = stop
+        return out
