@@ -175,17 +175,18 @@ def random_nodes(c: Context):
     return sampling.random_nodes(c.graph, 50, ["Customer", "Supplier"], seed=7).select("id", "label")
 
 
-def _snowball(limit: int, seed: int, rounds: int = 14) -> str:
-    """CTEs ending in ``grown(id)``: unrolled rounds in which every sampled node offers one neighbour."""
+def _snowball(limit: int, seed: int) -> str:
+    """CTEs ending in ``grown(id)``: unrolled rounds in which every sampled node offers one neighbour, or one more node is drawn."""
     ctes = [f"g0 AS MATERIALIZED (SELECT id FROM nodes ORDER BY md5('{seed}:' || id), id LIMIT 1)"]
-    for k in range(1, rounds + 1):
+    for k in range(1, limit + 1):  # a round adds a node at least
         ctes.append(
             f"o{k} AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT a, arg_min(b, md5('{seed + k}:' || a || ':' || b)) AS id FROM sym "
             f"WHERE a IN (SELECT id FROM g{k - 1}) AND b NOT IN (SELECT id FROM g{k - 1}) AND b IN (SELECT id FROM nodes) GROUP BY a))")
         ctes.append(
             f"g{k} AS MATERIALIZED (SELECT id FROM g{k - 1} UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('{seed + k}:' || id), id) AS place "
-            f"FROM o{k}) WHERE place <= {limit} - (SELECT count(*) FROM g{k - 1}))")
-    return ",\n".join([*ctes, f"grown AS (SELECT id FROM g{rounds})"])
+            f"FROM o{k}) WHERE place <= {limit} - (SELECT count(*) FROM g{k - 1}) UNION ALL SELECT id FROM (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM g{k - 1}) "
+            f"ORDER BY md5('{seed + k}:' || id), id LIMIT 1) WHERE (SELECT count(*) FROM o{k}) = 0 AND (SELECT count(*) FROM g{k - 1}) < {limit})")
+    return ",\n".join([*ctes, f"grown AS (SELECT id FROM g{limit})"])
 
 
 @query("random_subgraph", f"WITH {GRAPH_SYM}, {_snowball(40, 11)} SELECT id, label, name FROM nodes WHERE id IN (SELECT id FROM grown)")
