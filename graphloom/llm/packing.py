@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
                                               ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for some in text_steps(batch, most=STEP_BYTES):
+            for some in text_steps(batch, most=STEP_BYTES // 2):  # its windows take room as well
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
                     packer.add(doc, ids + end)
                 yield leave()

@@ -29,8 +29,8 @@ from graphloom.session import materialize
 LIMIT, STRIDE = 20, 256
 #: Ids after which a block is closed, ids of a part.
 BLOCK_IDS, PART_IDS = 1 << 16, 8_000_000
-#: Documents whose bits are formed together.
-STEP = 1_000
+#: Documents whose bits are formed together, and blocks that are decoded together.
+STEP, DECODED = 500, 48
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -73,19 +73,23 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The ids' code bits in whole bytes, and the bit offset of every ``STRIDE``-th id."""
+def encode_bits(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Code bits of documents of ``counts`` ids, each in whole bytes; the documents' sizes in bytes, and the bit offset of every id in its document."""
     bits = lengths[ids].astype(np.int64)
-    ends = np.cumsum(bits)
-    starts = ends - bits
+    ends, last = np.cumsum(bits), np.cumsum(counts)
+    before = np.r_[0, ends[last - 1]]  # every document has an id
+    sizes = (np.diff(before) + 7) // 8
+    begins = 8 * (np.cumsum(sizes) - sizes)
+    within = ends - bits - np.repeat(before[:-1], counts)
+    starts = within + np.repeat(begins, counts)
     room = np.uint64(64) - (starts & 31).astype(np.uint64) - bits.astype(np.uint64)
     placed = codes[ids].astype(np.uint64) << room  # within the 64 bits from the 32-bit word of its start
     word = starts >> 5
-    out = np.zeros(int(ends[-1] >> 5) + 2, np.uint64)
+    out = np.zeros(int(sizes.sum()) // 4 + 3, np.uint64)
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     for half, shift in ((placed >> np.uint64(32), 0), (placed & np.uint64(0xFFFFFFFF), 1)):
         out[word[first] + shift] += np.add.reduceat(half, first)  # disjoint bits: a sum is an or
-    return out.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8], starts[::STRIDE].astype(np.int32)
+    return out.astype(">u4").tobytes(), sizes, within
 
 
 def decode_bits(data: bytes, starts: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -145,12 +149,14 @@ def _encoder(lengths: np.ndarray):
         codes = canonical_codes(lengths)
         for whole in batches:
             for at in range(0, whole.num_rows, STEP):
-                batch, rows = whole.slice(at, STEP), []
-                for ids in batch.column("ids").to_pylist():
-                    ids = np.frombuffer(ids, np.uint16)
-                    bits, checkpoints = encode_bits(ids, codes, lengths)
-                    rows.append((len(ids), bits, checkpoints.tobytes()))
-                counts, bits, checkpoints = zip(*rows)
+                batch = whole.slice(at, STEP)
+                listed = batch.column("ids").to_pylist()
+                counts = np.fromiter(map(len, listed), np.int64, len(listed)) // 2
+                data, sizes, within = encode_bits(np.frombuffer(b"".join(listed), np.uint16), counts, codes, lengths)
+                ends, places = np.cumsum(sizes).tolist(), np.cumsum(counts).tolist()
+                within = within.astype(np.int32)
+                bits = [data[e - n : e] for e, n in zip(ends, sizes.tolist())]
+                checkpoints = [within[e - n : e : STRIDE].tobytes() for e, n in zip(places, counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("part"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(checkpoints, pa.binary())],
                     ["part", "doc_id", "n_tokens", "bits", "checkpoints"])
@@ -221,8 +227,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoding = decode_table(lengths)
         for whole in batches:
-            for at in range(0, whole.num_rows, 16):
-                batch = whole.slice(at, 16)
+            for at in range(0, whole.num_rows, DECODED):
+                batch = whole.slice(at, DECODED)
                 data, shift, starts, lanes = [], 0, [], []
                 for bits, marks, counts in zip(*(batch.column(c).to_pylist() for c in ("bits", "checkpoints", "counts"))):
                     starts.append(np.array(marks) + 8 * shift)

@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 #: UTF-8 bytes of texts whose stretches are told apart together, and stretches whose ids are gathered together.
 STEP_BYTES, _GATHERED = 32_000_000, 500_000
 #: White space other than a blank or a line feed; texts with any of it are left to the tokenizer as they are.
-_RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+_RARE_SPACES = r"[\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUNS = r"[ \n][ \n]|\A[ \n]"
 #: Letters whose lower case depends on more than the letter.
 _CASED = "\u03a3\u0130"
 #: Letters that need no normalisation, in both cases and in lower case only.
@@ -56,6 +56,7 @@ class SpacedEncoder:
         self.blank_belongs = blank_belongs
         letters = _LETTERS if blank_belongs else _LOWER
         self.word, self.parted = f"^[{letters}]+$", f"^[{letters}]+[,.]$"
+        self.whole = f"{_RARE_SPACES}|{_RUNS}" if blank_belongs else _RARE_SPACES
         (self.mark_id,) = self._ids(" ~")
         self.line_id = self._ids("\n")[0] if blank_belongs else -1
         self.point_ids = {mark: self._ids(mark)[0] for mark in ",."}
@@ -153,12 +154,10 @@ class SpacedEncoder:
         text = text.replace("\n", " ")
         return text if any(c in text for c in _CASED) else text.lower()
 
-    def _whole(self, text: str) -> bool:
-        return any(c in text for c in _RARE_SPACES) or (self.blank_belongs and (text[0] in "\n " or any(r in text for r in _RUNS)))
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        apart = {k: self._alone(t) for k, t in enumerate(texts) if t and self._whole(t)}
+        left = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.whole)
+        apart = {k: self._alone(texts[k]) for k in np.flatnonzero(pc.fill_null(left, False).to_numpy(zero_copy_only=False)).tolist()}
         cut = pc.split_pattern(pa.array([None if not t or k in apart else self._spaced(t) for k, t in enumerate(texts)], pa.large_string()), " ")
         found = cut.flatten().dictionary_encode()
         pool, starts, sizes, points = self._distinct(found.dictionary)
