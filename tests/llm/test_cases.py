@@ -223,11 +223,15 @@ def test_huffman_lengths_and_bits(limit):
     written = [format(int(codes[k]), "b").zfill(int(lengths[k])) for k in np.flatnonzero(lengths)]
     assert not any(a != b and b.startswith(a) for a in written for b in written)
     ids = np.random.default_rng(limit).integers(5, 55, 1_000).astype(np.uint16)
-    bits, marks = tokenfile.encode_bits(ids, codes, lengths)
-    assert "".join(format(b, "08b") for b in bits).startswith("".join(written[k - 5] for k in ids))
-    lanes = np.full(len(marks), tokenfile.STRIDE)
-    lanes[-1] = len(ids) - tokenfile.STRIDE * (len(marks) - 1)
-    assert tokenfile.decode_bits(bits, marks, lanes, tokenfile.decode_table(lengths)).tolist() == ids.tolist()
+    data, sizes, within = tokenfile.encode_bits(ids, np.array([1, 699, 300]), codes, lengths)
+    at = 0
+    for doc, start, size in ((ids[:1], 0, sizes[0]), (ids[1:700], 1, sizes[1]), (ids[700:], 700, sizes[2])):
+        bits, at = data[at : at + size], at + size
+        assert "".join(format(b, "08b") for b in bits).startswith("".join(written[k - 5] for k in doc))
+        marks = within[start : start + len(doc) : tokenfile.STRIDE]
+        lanes = np.full(len(marks), tokenfile.STRIDE)
+        lanes[-1] = len(doc) - tokenfile.STRIDE * (len(marks) - 1)
+        assert tokenfile.decode_bits(bits, marks, lanes, tokenfile.decode_table(lengths)).tolist() == doc.tolist()
 
 
 def test_huffman_of_few_ids():
