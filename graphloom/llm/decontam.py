@@ -14,6 +14,12 @@ close, windows with too few of the item's words go; the rest is checked word by
 word: the longest common subsequence with the item must cover
 ``VERBATIM`` of it, or ``PARAPHRASE`` of it if the answer, the item's last
 sentence, is there as well. Nothing is shuffled but the partial sketches.
+
+The cosine alone would miss copies that it does not bring close. So an exact way
+in stands beside it: a copy lacks at most ``1 - PARAPHRASE`` of an item's words,
+hence holds all but so many of its rarest. Every place with that many of them
+within ``SPAN`` times the item's length is checked, and no stretch of that length
+that the checks accept is passed over.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ BLOCK, SHORTEST, RATIO = 4, 8, 1.5
 CLOSE, HELD = 0.5, 0.4
 #: Least shares of an item's words in order, without and with its answer; least share of the answer.
 VERBATIM, PARAPHRASE, ANSWERED = 0.7, 0.6, 0.8
+#: Words of a stretch that may hold an item, as a multiple of the item's; share of an item's words, the rarest, that are looked up.
+SPAN, RAREST = 3, 0.6
 #: Items searched for in one pass over the documents.
 ITEM_BLOCK = 4_000
 #: Rows of the feature table that one row of a partial sketch holds.
@@ -170,6 +178,85 @@ class Items:
         self.held = np.array(held, bool).reshape(len(held), FEATURES + 1)
         self.latent = np.r_[latent, np.zeros((1, latent.shape[1]), np.float32)]  # the last row is no word
         self.gap = BLOCK * max(self.scales, default=1)
+        self._index_rare_words()
+
+    def _index_rare_words(self) -> None:
+        """Which items have a word among their rarest, and how many of those every accepted stretch holds."""
+        weight = np.linalg.norm(self.latent, axis=1)  # any order of the words gives the same results, a rare one first is fastest
+        words, members, self.needed = [], [], []
+        for item, (masks, size) in enumerate(zip(self.masks, self.sizes)):
+            order = np.fromiter(masks, np.uint64, len(masks))
+            order = order[np.argsort(-weight[_features(order)], kind="stable")]
+            least = next(c for c in range(size + 1) if c / size >= PARAPHRASE)
+            places = np.cumsum([masks[w].bit_count() for w in order.tolist()])
+            last = int(np.searchsorted(places, max(size - least + 1, RAREST * size)))
+            words.append(order[: last + 1])
+            members.append(np.full(last + 1, item))
+            self.needed.append(int(places[last]) - (size - least))
+        words, members = np.concatenate([np.empty(0, np.uint64), *words]), np.concatenate([np.empty(0, np.int64), *members])
+        order = np.argsort(words, kind="stable")
+        self.rare, starts = np.unique(words[order], return_index=True)
+        self.rare_items, self.rare_starts = members[order], np.r_[starts, len(words)]
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[self._slot(self.rare)] = True
+        self.needed, self.spans = np.array(self.needed, np.int64), SPAN * np.array(self.sizes, np.int64)
+
+    @staticmethod
+    def _slot(ids: np.ndarray) -> np.ndarray:
+        return (ids >> np.uint64(8)).astype(np.int64) & 0xFFFF
+
+    def dense(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first, last word) of every place with enough of an item's rarest words; places that overlap are one."""
+        gap = 2 * int(self.spans.max(initial=0)) + 1
+        lengths = np.array([len(d) for d in docs], np.int64)
+        begins = np.cumsum(lengths + gap) - (lengths + gap)
+        words = np.concatenate([np.empty(0, np.uint64), *docs])
+        at = np.flatnonzero(self.sieve[self._slot(words)])
+        number = np.minimum(np.searchsorted(self.rare, words[at]), max(0, len(self.rare) - 1))
+        known = self.rare[number] == words[at] if len(self.rare) else np.zeros(len(at), bool)
+        at, number = at[known], number[known]
+        owner = np.repeat(np.arange(len(docs)), lengths)[at]
+        place, total = at + gap * owner, int((lengths + gap).sum()) + 1
+        many = self.rare_starts[number + 1] - self.rare_starts[number]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        keys = np.sort(self.rare_items[np.repeat(self.rare_starts[number], many) + within] * total + np.repeat(place, many))
+        item = keys // total
+        # the key that completes the needed number, if it lies within the span
+        end = np.arange(len(keys)) + self.needed[item] - 1
+        enough = (end < len(keys)) & (keys[np.minimum(end, len(keys) - 1)] - keys < self.spans[item])
+        keys, item = keys[enough], item[enough]
+        if not len(keys):
+            return
+        new = np.r_[True, (np.diff(keys) > 2 * self.spans[item[1:]]) | (np.diff(item) > 0)]
+        heads = np.flatnonzero(new)
+        tails = np.r_[heads[1:], len(keys)] - 1
+        item, low, high = item[heads], keys[heads] % total, keys[tails] % total
+        doc = np.searchsorted(begins, low, side="right") - 1
+        low, high = low - begins[doc] - self.spans[item] + 1, high - begins[doc] + self.spans[item] - 1
+        yield from zip(doc.tolist(), item.tolist(), np.maximum(low, 0).tolist(), np.minimum(high, lengths[doc] - 1).tolist())
+
+    def held_whole(self, item: int, words: list[int], first: int, last: int) -> Iterator[tuple[float, float, int, int]]:
+        """(share, answer's share, first, last word) of stretches of ``SPAN`` times the item's words that the checks accept."""
+        masks, size, (answer, n) = self.masks[item], self.sizes[item], self.answers[item]
+        least = PARAPHRASE * size
+        if common_words(masks, size, words[first : last + 1]) / size < PARAPHRASE:
+            return
+        at = first
+        while at <= last:
+            if words[at] not in masks:  # a stretch that begins at the item's next word holds no less
+                at += 1
+                continue
+            end = min(last + 1, at + int(self.spans[item]))
+            found = common_words(masks, size, words[at:end])
+            if found / size >= PARAPHRASE:
+                answered = common_words(answer, n, words[at:end]) / n if n else 0.0
+                if found / size >= VERBATIM or answered >= ANSWERED:
+                    yield found / size, answered, at, end - 1
+            at += max(1, int(least - found))  # a step adds one word to a stretch at most
+
+    def cosine(self, item: int, words: np.ndarray) -> float:
+        vector = self.latent[_features(words)].sum(0)
+        return float(vector @ self.vectors[item] / max(float(np.linalg.norm(vector)), 1e-3))
 
     def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, item, first, last word, cosine) of windows close to an item; documents lie apart by an empty window."""
@@ -214,6 +301,14 @@ class Items:
             if share >= VERBATIM or answered >= ANSWERED:
                 row = (share, cosine, answered, first, last)
                 found[doc, item] = max(found.get((doc, item), row), row)
+        for doc, item, first, last in self.dense(docs):
+            if doc not in listed:
+                listed[doc] = docs[doc].tolist()
+            best = max(self.held_whole(item, listed[doc], first, last), default=None)
+            if best:
+                share, answered, first, last = best
+                row = (share, self.cosine(item, docs[doc][first : last + 1]), answered, first, last)
+                found[doc, item] = max(found.get((doc, item), row), row)
         return [(doc, self.ids[i], cosine, share, answered, first, last) for (doc, i), (share, cosine, answered, first, last) in found.items()]
 
 

@@ -194,3 +194,52 @@ def test_pipeline(session, texts):
         kept = out
     pieces = corpus_pipeline.run(session, FOLDER).toPandas()
     assert set(pieces.doc_id) == {r.doc_id for r in kept.collect()}
+
+
+def test_every_copy_that_the_checks_accept_is_found(session, texts):
+    """Copies with words put in, replaced and left out, against the longest common subsequence with every stretch of a document."""
+    from graphloom.llm import decontam
+
+    draw = np.random.default_rng(7)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet' ORDER BY 1").fetchall()
+    filler = [t.split() for t in texts.values() if len(t.split()) > 60]
+    other = [w for t in filler for w in t[:20]]
+    drawn = lambda n: [other[k] for k in draw.integers(len(other), size=n)]
+    rows = []
+    for put_in, replaced, left_out in ((0, 0, 0), (0.5, 0, 0), (1, 0, 0), (1.8, 0, 0), (0, 0.25, 0), (0.6, 0.25, 0), (1.2, 0, 0.3), (0, 0.3, 0)):
+        for item, text in items[::4]:
+            copy = []
+            for word in text.split():
+                chance = draw.random()
+                copy += [] if chance < left_out else drawn(1) if chance < replaced else [word]
+                copy += drawn(int(put_in + draw.random()))
+            around = filler[draw.integers(len(filler))][:60]
+            at = int(draw.integers(len(around)))
+            rows.append((len(rows), " ".join([*around[:at], *copy, *around[at:]]), item, put_in + replaced + left_out == 0))
+    docs = session.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, session.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(before[k] + 1 if x == y else max(row[-1], before[k + 1]))
+        return row[-1]
+
+    bare = lambda t: [x for w in t.lower().split() if (x := w.strip(decontam._EDGES))]
+    want = set()
+    for doc, text, item, whole in rows:
+        words, planted = bare(text), bare(items[item][1])
+        answer = bare([s for s in re.split(r"(?<=[.!?])\s+|\n", items[item][1]) if s.strip()][-1])
+        if common(planted, words) < decontam.PARAPHRASE * len(planted):
+            continue
+        for at in [k for k, w in enumerate(words) if w in planted]:
+            part = words[at : at + 3 * len(planted)]
+            share = common(planted, part) / len(planted)
+            if share >= decontam.VERBATIM or share >= decontam.PARAPHRASE and common(answer, part) >= decontam.ANSWERED * len(answer):
+                want.add((doc, item))
+                break
+    assert len(want) > 0.6 * len(rows) and {(d, i) for d, _, i, whole in rows if whole} <= want
+    assert want <= got, (len(want & got), len(want))
