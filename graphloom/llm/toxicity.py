@@ -11,9 +11,10 @@ most toxic words; a logistic curve, fitted on labelled documents that its models
 have not seen, gives the score.
 
 Counting, continuation counts and context sums are Spark aggregations of the
-n-gram table, which grows with the corpus. What reaches the driver are sums over
-hash buckets, ``BUCKETS`` at most for an order, and a bounded sample of scored
-labelled rows for the curve.
+n-gram table. Each n-gram keeps its own exact count, none is merged with another:
+a model holds the distinct n-grams of words, which grow with the vocabulary and
+far slower than the texts, and reaches driver and workers in 12 bytes each.
+The curve is fitted on a bounded sample of scored labelled rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from graphloom.llm.common import distinct_words, text_steps, tidy, without
 from graphloom.session import materialize
 
 ORDER = 5
-#: Hash buckets for n-grams of each length; a model's size does not depend on the corpus.
+#: Hash buckets for n-grams of each length, of ``_bucket_of`` and ``_hash_bucket``; models do not use them, their counts are exact.
 BUCKETS = {5: 1 << 21, 4: 1 << 20, 3: 1 << 18, 2: 1 << 16, 1: 1 << 12}
 DISCOUNT = 0.75
 #: Words whose log-likelihood ratios count as a document's peak.
@@ -122,66 +123,60 @@ def _bucket_of(grams: np.ndarray, order: int) -> np.ndarray:
 
 Counts = tuple[np.ndarray, np.ndarray]
 Contexts = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: n-grams in order, discounted counts; contexts in order, sums, backoff weights.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _level(order: int, grams: Counts, contexts: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Discounted counts by n-gram bucket; sums and backoff weights by bucket of the context."""
-    (at, n), (where, total, kinds) = grams, contexts
-    count = np.zeros(BUCKETS[order], np.float32)
-    sums, weight = np.zeros(BUCKETS[order - 1] if order > 1 else 1, np.float32), np.ones(BUCKETS[order - 1] if order > 1 else 1, np.float32)
-    count[at] = np.maximum(n - DISCOUNT, 0)
-    seen = total > 0
-    sums[where[seen]] = total[seen]
-    weight[where[seen]] = np.minimum(1, DISCOUNT * kinds[seen] / total[seen])
-    return count, sums, weight
+def _level(grams: Counts, contexts: Contexts) -> Level:
+    """Discounted counts of n-grams that occur; sums and backoff weights of their contexts."""
+    (own, n), (above, total, kinds) = grams, contexts
+    used, seen = np.flatnonzero(n > 0), np.flatnonzero(total > 0)
+    used, seen = used[np.argsort(own[used])], seen[np.argsort(above[seen])]
+    weight = np.minimum(1, DISCOUNT * kinds[seen] / total[seen])
+    return own[used].astype(np.uint64), np.maximum(n[used] - DISCOUNT, 0).astype(np.float32), above[seen].astype(np.uint64), total[seen].astype(np.float32), weight.astype(np.float32)
 
 
-def _chance(level: tuple, at: np.ndarray, where: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Discounted share of an n-gram among what follows its context, and the backoff; an n-gram counts no more than its context."""
-    count, sums, weight = level
-    total = sums[where]
-    return np.minimum(count[at], total) / np.maximum(total, 1) + weight[where] * below
-
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """The values of the wanted keys, ``default`` where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), default, np.float32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], np.float32(default))
 
-def _packed(values: np.ndarray, default: float) -> tuple[int, float, np.ndarray, np.ndarray]:
-    at = np.flatnonzero(values != default).astype(np.uint32)
-    return len(values), default, at, values[at]
 
-
-def _unpacked(packed: tuple[int, float, np.ndarray, np.ndarray]) -> np.ndarray:
-    size, default, at, found = packed
-    values = np.full(size, default, np.float32)
-    values[at] = found
-    return values
+def _chance(level: Level, own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Discounted share of an n-gram among what follows its context, and the backoff; an n-gram counts no more than its context."""
+    grams, count, contexts, sums, weight = level
+    above = own >> np.uint64(_BITS)
+    total = _found(contexts, sums, above, 0)
+    return np.minimum(_found(grams, count, own, 0), total) / np.maximum(total, 1) + _found(contexts, weight, above, 1) * below
 
 
 class Model:
-    """Bucketed counts of the shared orders and of both classes; scores words."""
+    """Exact counts of the shared orders and of both classes; scores words."""
 
-    def __init__(self, shared: dict[int, tuple], classes: tuple[tuple, tuple]):
+    def __init__(self, shared: dict[int, tuple], classes: tuple[Level, Level]):
         self.shared, self.classes = shared, classes
 
     def __getstate__(self) -> bytes:
-        """Only buckets in use, since models travel to every worker."""
-        packed = lambda level: [_packed(a, default) for a, default in zip(level, (0, 0, 1))]
+        """Keys as differences, which are small, since models travel to every worker."""
+        packed = lambda v: (np.diff(v[0], prepend=np.uint64(0)), v[1], np.diff(v[2], prepend=np.uint64(0)), *v[3:])
         return zlib.compress(pickle.dumps(({k: packed(v) for k, v in self.shared.items()}, [packed(v) for v in self.classes])), 1)
 
     def __setstate__(self, state: bytes) -> None:
         shared, classes = pickle.loads(zlib.decompress(state))
-        self.shared = {k: tuple(map(_unpacked, v)) for k, v in shared.items()}
-        self.classes = tuple(tuple(map(_unpacked, v)) for v in classes)
+        unpacked = lambda v: (np.cumsum(v[0], dtype=np.uint64), v[1], np.cumsum(v[2], dtype=np.uint64), *v[3:])
+        self.shared, self.classes = {k: unpacked(v) for k, v in shared.items()}, tuple(map(unpacked, classes))
 
     def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood ratio (toxic to ordinary) and number of predicted characters of each word."""
-        grams, owner = word_codes(words)
-        chance = np.full(len(grams), 1 / BUCKETS[1], np.float32)
+        windows, owner = word_codes(words)
+        grams, at = np.unique(windows, return_inverse=True)
+        chance = np.full(len(grams), 1 / (1 << _BITS), np.float32)
         for order in range(1, ORDER + 1):
-            own = grams & np.uint64((1 << _BITS * order) - 1)
-            at = _bucket_of(own, order)
-            where = _bucket_of(own >> np.uint64(_BITS), order - 1) if order > 1 else np.zeros(len(own), np.int64)
-            chance = _chance(self.shared[order], at, where, chance)
-        toxic, plain = (_chance(level, at, where, chance) for level in self.classes)
-        return np.bincount(owner, np.log(toxic) - np.log(plain), len(words)), np.bincount(owner, minlength=len(words))
+            chance = _chance(self.shared[order], grams & np.uint64((1 << _BITS * order) - 1), chance)
+        toxic, plain = (_chance(level, grams, chance) for level in self.classes)
+        return np.bincount(owner, (np.log(toxic) - np.log(plain))[at], len(words)), np.bincount(owner, minlength=len(words))
 
 
 def _hash_bucket(gram: Column, order: int) -> Column:
@@ -192,20 +187,19 @@ def _hash_bucket(gram: Column, order: int) -> Column:
     return x.bitwiseXOR(F.shiftrightunsigned(x, 29)).bitwiseAND(F.lit(BUCKETS[order] - 1))
 
 
-def _bucket_sums(table: DataFrame, order: int, columns: list[str]) -> list[tuple[Counts, Contexts]]:
-    """For each column of an n-gram table: its sums by n-gram bucket, and by context bucket with the number of followers."""
-    own = table.groupBy(_hash_bucket(F.col("gram"), order).alias("b")).agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    context = _hash_bucket(F.shiftright("gram", _BITS), order - 1) if order > 1 else F.lit(0).cast("long")
-    above = table.groupBy(context.alias("b")).agg(
+def _sums(table: DataFrame, columns: list[str]) -> list[tuple[Counts, Contexts]]:
+    """For each column of a table of distinct n-grams: its values by n-gram, and its sums by context with the number of followers."""
+    own = table.select("gram", *columns).toPandas()
+    above = table.groupBy(F.shiftright("gram", _BITS).alias("above")).agg(
         *[F.sum(c).alias(c) for c in columns], *[F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in columns]).toPandas()
-    return [((own["b"].to_numpy(), own[c].to_numpy(float)), (above["b"].to_numpy(), above[c].to_numpy(float), above[f"kinds_{c}"].to_numpy(float))) for c in columns]
+    return [((own["gram"].to_numpy(), own[c].to_numpy(float)), (above["above"].to_numpy(), above[c].to_numpy(float), above[f"kinds_{c}"].to_numpy(float))) for c in columns]
 
 
 def shared_levels(grams: DataFrame) -> dict[int, tuple]:
     """Kneser-Ney levels of all orders from the 5-gram counts (gram, n) of all documents."""
     table, levels = grams, {}
     for order in range(ORDER, 0, -1):
-        levels[order] = _level(order, *_bucket_sums(table, order, ["n"])[0])
+        levels[order] = _level(*_sums(table, ["n"])[0])
         # continuation counts; an n-gram that begins a word has no left neighbour and keeps its count
         rest = F.col("gram").bitwiseAND(F.lit((1 << _BITS * (order - 1)) - 1))
         begins = F.shiftright(rest, _BITS * max(order - 2, 0)) == _START
@@ -217,7 +211,7 @@ def class_levels(grams: DataFrame, toxic: tuple[str, ...], plain: tuple[str, ...
     """Highest-order levels of both classes, whose counts are the sums of the named columns."""
     total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
     table = grams.select("gram", total(toxic).alias("t"), total(plain).alias("o")).where("t > 0 or o > 0")
-    return tuple(_level(ORDER, *sums) for sums in _bucket_sums(table, ORDER, ["t", "o"]))
+    return tuple(_level(*sums) for sums in _sums(table, ["t", "o"]))
 
 
 def score_features(docs: DataFrame, model: Model) -> DataFrame:

@@ -243,3 +243,15 @@ def test_every_copy_that_the_checks_accept_is_found(session, texts):
                 break
     assert len(want) > 0.6 * len(rows) and {(d, i) for d, _, i, whole in rows if whole} <= want
     assert want <= got, (len(want & got), len(want))
+
+
+def test_toxicity_merges_no_counts(session, monkeypatch):
+    """Scores do not depend on a number of hash buckets."""
+    from graphloom.llm import toxicity
+
+    docs, labels = (session.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    scores = lambda: {r.doc_id: r.score for r in toxicity.toxicity(docs.select("doc_id", "text"), labels).collect()}
+    want = scores()
+    monkeypatch.setattr(toxicity, "BUCKETS", {k: 1 << 6 for k in toxicity.BUCKETS})
+    got = scores()
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
