@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from graphloom.llm import chatformat, secretscan, sqltext
 from graphloom.llm.common import read_table
 from graphloom.llm.decontam import contaminated
+from graphloom.llm.hardnegatives import hard_negatives
 from graphloom.llm.licenses import license_report
 from graphloom.llm.neardup import near_duplicates
 from graphloom.llm.packing import pack
+from graphloom.llm.phrases import collocations
 from graphloom.llm.quality import quality
 from graphloom.llm.sharding import shard
+from graphloom.llm.tokencount import token_counts
 from graphloom.llm.tokenfile import read_tokens, write_tokens
 from graphloom.llm.toxicity import toxicity
 from graphloom.session import work_path
@@ -127,3 +130,25 @@ def op8_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op11_double_array_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(read_table(spark, folder, "documents"))
+
+
+ORACLES["op11_double_array_collocations"] = sqltext.COLLOCATIONS
+
+
+@query
+def op12_resynchronised_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op13_windowed_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+ORACLES["op13_windowed_hard_negatives"] = sqltext.HARD_NEGATIVES

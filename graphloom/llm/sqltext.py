@@ -19,6 +19,49 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+        SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+spelled AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+sizes AS (SELECT lang, sum(len(words)) AS n FROM spelled GROUP BY lang),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM spelled),
+grams AS (
+    SELECT lang, words[i:i + k - 1] AS words, count(*) AS a FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words)
+    GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT *, unnest(range(1, len(words))) AS k FROM grams),
+scored AS (
+    SELECT c.lang, c.words, c.a, h.a AS l, t.a AS r, n, k,
+        CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score
+    FROM cuts c JOIN grams h ON h.lang = c.lang AND h.words = c.words[1:k] JOIN grams t ON t.lang = c.lang AND t.words = c.words[k + 1:] JOIN sizes s ON s.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+spans AS (SELECT lang, a, words, unnest(range(1, len(words))) AS i FROM grams WHERE len(words) > 2),
+held AS (
+    SELECT lang, part, max(a) AS within FROM (
+        SELECT lang, a, words[i:j] AS part FROM spans, (SELECT unnest(range(2, 6)) AS j) WHERE j > i AND j <= len(words) AND j - i + 1 < len(words))
+    GROUP BY ALL),
+placed AS (
+    SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.part = b.words WHERE within IS NULL OR within < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank, phrase, a, l, r, n, score
+FROM placed QUALIFY rank <= 2000
+"""
+
+HARD_NEGATIVES = """
+WITH rows AS (
+    SELECT row_number() OVER () AS nr, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.nr, a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+    FROM rows a, rows r WHERE a.vec_id % 50 = 0 AND a.nr <> r.nr),
+positives AS (SELECT * FROM scores WHERE alike QUALIFY row_number() OVER (PARTITION BY nr ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.nr, p.id, p.score ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+    s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.nr = p.nr AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 
 def licenses() -> str:
     rows = []
