@@ -1,15 +1,18 @@
 """Secrets in texts: fixed patterns, and strings that compression cannot explain in a sensitive context.
 
-The fixed patterns are exact. Beyond them, every longer run of key characters
-shortly after a sensitive word is a candidate. Its novelty is what it adds to
-the zstandard-compressed size of the text around it, where the compressor is
-primed with a dictionary of identifiers: words, names and repeats of what stands
-near cost next to nothing, key material costs most of its length.
+The fixed patterns are exact. Beyond them, every run of key characters shortly
+after a sensitive word is a candidate. Its novelty is what it adds to the
+zstandard-compressed size of the text around it, where the compressor is primed
+with a dictionary of identifiers: words, names and repeats of what stands near
+cost next to nothing, key material costs most of its length. Sensitive words,
+runs and spans are each listed once in order and merged by position, so the time
+grows with the text and the runs, whatever they hold.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +32,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Words after which a string may be a secret, how far after them it may begin, and its least length.
 CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "bearer", "signing key")
-REACH, SHORTEST = 48, 12
-#: Text on either side that the compressor sees, and the least added bytes a character of a reported string.
-AROUND, NOVEL_SHARE, NOVEL_BYTES = 600, 0.5, 9
+REACH, SHORTEST = 48, 8
+#: Text on either side that the compressor sees, and the least added bytes of a reported string: in all, a character of one
+#: that mixes digits or cases, and a character of one that might be an unknown word.
+AROUND, NOVEL_BYTES, NOVEL_SHARE, WORD_SHARE = 600, 9, 0.5, 0.75
 #: Identifiers and code words that prime the compressor.
 IDENTIFIERS = " ".join((
     "abstract assert async await boolean break case catch class const continue def default delete do double elif else enum except export extends false final finally float for from function global if implements import in include instanceof int interface lambda let long namespace new none null object override package pass private protected public raise return self short static string struct super switch template this throw throws true try type typedef union unsigned using var virtual void while with yield",
@@ -45,7 +49,8 @@ _HEX_LONG = b"h" * LEAST["hex"]
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _CONTEXT_WORDS = tuple(w.encode() for w in CONTEXT)
 _CONTEXT = re.compile("|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else re.escape(c) for c in w) for w in CONTEXT))
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{SHORTEST},}}")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=.\-]{{{SHORTEST},}}")
+_MIXED = re.compile("[0-9]|[a-z][A-Z]|[A-Z][A-Z]+[a-z]")
 
 Span = tuple[str, int, int, float | None]
 
@@ -74,25 +79,41 @@ def base_spans(text: str, data: bytes, low: bytes) -> list[Span]:
     return found
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of key characters that a sensitive word precedes by at most ``REACH``, or from the last such word in them that leaves enough."""
+    ends = [m.end() for m in _CONTEXT.finditer(text)]
+    found = []
+    for run in _RUN.finditer(text) if ends else ():
+        start, end = run.span()
+        inside = bisect_right(ends, end - SHORTEST)
+        if inside and ends[inside - 1] > start:
+            found.append((ends[inside - 1], end))
+        elif (before := bisect_right(ends, start)) and start - ends[before - 1] <= REACH:
+            found.append((start, end))
+    return found
+
+
 def novel_spans(text: str, low: bytes, taken: list[Span], novelty: Novelty) -> list[Span]:
-    """Candidates after sensitive words whose novelty is high and that no other span touches."""
+    """Candidates whose novelty is high and that no other span touches."""
     if not any(w in low for w in _CONTEXT_WORDS):
         return []
-    found, seen = [], set()
-    for word in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end()):
-            start, end = m.span()
-            if start - word.end() > REACH:
-                break
-            if start in seen or any(s < end and start < e for _, s, e, _ in taken):
-                continue
-            seen.add(start)
-            string = m[0].strip("=.-_/")
-            if len(string) < SHORTEST or not any(c.isdigit() for c in string):
-                continue
-            added = novelty.added(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND])
-            if added >= NOVEL_BYTES and added >= NOVEL_SHARE * len(m[0]):
-                found.append(("novel", start, end, added / len(m[0])))
+    joined: list[tuple[int, int]] = []  # other spans, overlapping ones as one
+    for _, start, end, _ in sorted(taken, key=lambda s: s[1]):
+        if joined and start < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((start, end))
+    starts, found = [s for s, _ in joined], []
+    for start, end in candidates(text):
+        before = bisect_left(starts, end) - 1
+        if before >= 0 and joined[before][1] > start:
+            continue
+        string = text[start:end].strip("=.-_/")
+        if len(string) < SHORTEST:
+            continue
+        added = novelty.added(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+        if added >= NOVEL_BYTES and added >= (NOVEL_SHARE if _MIXED.search(string) else WORD_SHARE) * (end - start):
+            found.append(("novel", start, end, added / (end - start)))
     return found
 
 
@@ -117,7 +138,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     A span is (kind, start, end, novelty) in code points, end exclusive; novelty
     is set for kind ``novel``. Spans are in order of start, then kind. Null and
     empty texts have none; repeated rows each get a row; an empty table gives
-    none. Other columns are not read, so their names do not matter.
+    none. Time grows with the length of a text, whatever it holds. Other columns
+    are not read, so their names do not matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +152,12 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by ``<secret:KIND>`` and n_chars, where there is one, counted again; no row is lost."""
+    """``docs`` with every span replaced by ``<secret:KIND>`` and n_chars, where there is one, counted again; no row is lost.
+
+    Null and empty texts stay as they are, repeated rows are handled each, an
+    empty table stays empty, very long texts are read once from end to end; all
+    columns keep their name, type and place, whatever they are called.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

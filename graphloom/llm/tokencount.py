@@ -24,12 +24,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import text_steps, tidy
+from graphloom.llm.tokens import spaced_encoder
 from graphloom.session import materialize
 
 #: Characters of a chunk, characters it shares with the next one, characters of a cell with at most one mark.
 CHUNK, OVERLAP, CELL = 1 << 15, 1 << 10, 256
-#: UTF-8 bytes of texts that are encoded together.
-STEP = 1_000_000
+#: UTF-8 bytes of chunks that are encoded together, and of whole texts whose distinct stretches are.
+STEP, STRETCHES = 1_000_000, 16_000_000
 
 #: The last character before a place where the byte-level pattern always parts. No alternative of the pattern runs on from
 #: another character into white space, from a letter into an ASCII mark, from a digit into an ASCII mark or letter, or from an
@@ -75,14 +76,17 @@ def marks(text: str, first: int, ends: np.ndarray, cell: int) -> tuple[list[int]
 
 
 def _whole(tokenizer: str):
-    """(doc_id, n_bytes, n_tokens) of texts that are encoded in one piece."""
+    """(doc_id, n_bytes, n_tokens) of texts that are encoded in one piece, equal stretches of many texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _library(tokenizer)[0]
+        library, encoder = _library(tokenizer)[0], spaced_encoder(tokenizer, blank_belongs=True)
+        special = [t.content for t in library.get_added_tokens_decoder().values()]
         for batch in batches:
-            for some in text_steps(batch, most=STEP):
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                counts = [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+            for some in text_steps(batch, most=STRETCHES):
+                texts = some.column("text").to_pylist()
+                counts = encoder.counts(texts)  # takes special strings for ordinary text
+                for k in [k for k, t in enumerate(texts) if t and any(s in t for s in special)]:
+                    counts[k] = len(library.encode(texts[k], add_special_tokens=False))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run

@@ -154,11 +154,29 @@ class SpacedEncoder:
         text = text.replace("\n", " ")
         return text if any(c in text for c in _CASED) else text.lower()
 
+    def _cut(self, texts: list[str | None]) -> tuple[dict[int, str], pa.Array]:
+        """Texts that are left to the tokenizer, by place, and the stretches of all others."""
+        left = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.whole)
+        apart = {k: texts[k] for k in np.flatnonzero(pc.fill_null(left, False).to_numpy(zero_copy_only=False)).tolist()}
+        return apart, pc.split_pattern(pa.array([None if not t or k in apart else self._spaced(t) for k, t in enumerate(texts)], pa.large_string()), " ")
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        apart, cut = self._cut(texts)
+        found = cut.flatten().dictionary_encode()
+        _, _, sizes, points = self._distinct(found.dictionary)
+        ends = np.r_[0, np.cumsum((sizes + (points > 0))[found.indices.to_numpy()])]
+        stretches = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False)
+        bounds = np.r_[0, np.cumsum(stretches, dtype=np.int64)]
+        out = ends[bounds[1:]] - ends[bounds[:-1]] - int(self.blank_belongs) * (stretches > 0)  # less the line feed put before the text
+        for k, text in apart.items():
+            out[k] = len(self._ids(text))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        left = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.whole)
-        apart = {k: self._alone(texts[k]) for k in np.flatnonzero(pc.fill_null(left, False).to_numpy(zero_copy_only=False)).tolist()}
-        cut = pc.split_pattern(pa.array([None if not t or k in apart else self._spaced(t) for k, t in enumerate(texts)], pa.large_string()), " ")
+        left, cut = self._cut(texts)
+        apart = {k: self._alone(t) for k, t in left.items()}
         found = cut.flatten().dictionary_encode()
         pool, starts, sizes, points = self._distinct(found.dictionary)
         at = found.indices.to_numpy()

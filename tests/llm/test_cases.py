@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names; and the parts that need no Spark."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -276,6 +277,51 @@ def test_novelty_tells_keys_from_words():
     assert re.match(secretscan.ASSIGN, "Api_KEY : x")
 
 
+def test_novel_spans_equal_a_plain_search():
+    """Each run is looked at once; the plain search looks at every word for every run."""
+    import random
+
+    novelty, source = secretscan.Novelty(), random.Random(4)
+    signs = "abcXYZ0189+/_-=."
+    bits = [*secretscan.CONTEXT, " ", ": ", " is ", "\n", " the words go on and on ", "configuration", "password = 'hunter22'", "deadbeef" * 4]
+    for _ in range(150):
+        text = "".join(source.choice(bits) if source.random() < 0.7 else "".join(source.choice(signs) for _ in range(source.randint(5, 40))) for _ in range(25))
+        taken = secretscan.base_spans(text, text.encode(), text.encode().lower())
+        want = []
+        for run in re.finditer(r"[A-Za-z0-9+/_=.\-]+", text):
+            words = [m.end() for m in secretscan._CONTEXT.finditer(text)]
+            inside = [w for w in words if run.start() < w <= run.end() - secretscan.SHORTEST]
+            near = [w for w in words if w <= run.start()][-1:]
+            start = inside[-1] if inside else run.start() if near and run.start() - near[0] <= secretscan.REACH else None
+            if start is None or run.end() - run.start() < secretscan.SHORTEST or any(s < run.end() and start < e for _, s, e, _ in taken):
+                continue
+            string = text[start : run.end()]
+            if len(string.strip("=.-_/")) < secretscan.SHORTEST:
+                continue
+            added = novelty.added(text[max(0, start - secretscan.AROUND) : start], string, text[run.end() : run.end() + secretscan.AROUND])
+            mixed = secretscan._MIXED.search(string.strip("=.-_/"))
+            if added >= max(secretscan.NOVEL_BYTES, (secretscan.NOVEL_SHARE if mixed else secretscan.WORD_SHARE) * len(string)):
+                want.append((start, run.end()))
+        assert [s[1:3] for s in secretscan.novel_spans(text, text.encode().lower(), taken, novelty)] == want
+
+
+def test_secret_scan_takes_time_with_the_length_only():
+    import time
+
+    novelty, began = secretscan.Novelty(), time.monotonic()
+    assert secretscan.spans_of("secret " * 300_000, novelty) == []
+    assert len(secretscan.spans_of("token = abcdef1234 " * 100_000, novelty)) == 100_000
+    secretscan.spans_of("secret" * 100_000, novelty)
+    assert time.monotonic() - began < 60
+
+
+def test_keys_without_digits_and_unknown_words():
+    novelty = secretscan.Novelty()
+    found = lambda t: [s[:3] for s in secretscan.spans_of(t, novelty)]
+    assert found("passphrase: QwErTyZxCvBnMkLpOi") == [("novel", 12, 30)]
+    assert not found("your secret is authentication-related, the bearer of configuration management")
+
+
 def test_window_codes_and_buckets(session):
     grams, owner = toxicity.word_codes(["ab", "", "c"])
     assert owner.tolist() == [0, 0, 0, 1, 2, 2]
@@ -292,3 +338,29 @@ def test_estimated_accuracies_follow_agreement(session):
     patterns = session.createDataFrame(rows, "vote_a int, vote_b int, vote_c int, n long")
     got = quality.estimate(patterns, ["a", "b", "c"])
     assert got["a"] > 0.9 and got["b"] > 0.9 and got["c"] == quality.START_ACCURACY
+
+
+def _rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_pipeline_stages_with_odd_rows(session, odd, empty):
+    """No stage touches a column, whatever it is called, and rows without ids or with equal ids are told apart."""
+    import corpus_pipeline
+
+    source = odd.withColumnsRenamed({"words": "n.words", "score": "Predicted_"}).withColumn("score", F.lit("x")).withColumn("row", F.lit(1.5)).withColumn("doc", F.lit(2))
+    docs = source.select("text", *[f"`{c}`" for c in source.columns if c != "text"])
+    stages = dict(corpus_pipeline.STAGES)
+    before = _rows(docs)
+    for name in ("toxicity", "near duplicates", "decontamination", "secrets"):
+        out = stages[name](session, docs, FOLDER)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and not _rows(out) - before, name
+        none = stages[name](session, docs.where("doc_id = -1"), FOLDER)
+        assert none.columns == docs.columns and none.count() == 0, name
+    ids = Counter(r.doc_id for r in stages["near duplicates"](session, docs, FOLDER).collect())
+    assert ids == Counter([1, 3, 4, 5, 7, None, 8, 9, 10, 11])  # prose: 1 of 1, 2, 6 and one without id; "short text": one of 7, 7 and 12
+    bad = session.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    mixed = session.createDataFrame([(1, bad), (1, "a clean text"), (None, bad), (None, "another clean text")], "doc_id long, text string")
+    kept = stages["decontamination"](session, mixed, FOLDER)
+    assert sorted(r.text for r in kept.collect()) == ["a clean text", "another clean text"]
+    assert stages["packing"](session, docs, FOLDER).count() >= docs.count() and stages["packing"](session, empty, FOLDER).count() == 0
