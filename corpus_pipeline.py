@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import read_table
 from graphloom.llm.decontam import contaminated
@@ -23,40 +24,77 @@ from graphloom.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``; rows without a doc_id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _columns(docs: DataFrame) -> list:
+    """The columns by name, also names with a dot in them."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): the documents as written rows with a number each, whatever their ids and their columns' names are."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*_columns(docs)).alias("doc")), "numbered")
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` whose number is not in ``gone``."""
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not call toxic; null and empty texts are scored like any other."""
+    """Documents that the toxicity models do not call toxic, each with its columns as they were.
+
+    Null and empty texts are scored like any other, repeated rows each by
+    themselves; very long texts are read whole; an empty table stays empty.
+    """
     ship_package(spark)
-    return toxicity(docs, read_table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    scored = toxicity(docs.select("doc_id", "text", F.struct(*_columns(docs.drop("text")), F.lit(0).alias("text")).alias("doc")), read_table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(*["text" if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; wordless documents are no duplicates.
+    """One document of each group: the row with the smallest doc_id, without ids or with equal ones any of them.
 
-    Rows that repeat a doc_id count as one document and go or stay together.
+    Wordless and null texts are no duplicates and stay. Rows are told apart by
+    number, so repeated and missing ids do not matter; very long texts are
+    compared whole; an empty table stays empty; columns stay as they were.
     """
     ship_package(spark)
-    return _without(docs, near_duplicates(docs).where("not kept and doc_id is not null"))
+    rows = _numbered(docs)
+    found = materialize(near_duplicates(_as_documents(rows)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"), "kept"), "groups")
+    members = found.join(found.where("not kept").select("group").distinct(), "group")
+    named = members.join(rows.select("row", F.col("doc.doc_id").alias("doc_id")), "row")
+    stays = named.groupBy("group").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
+    return _without(rows, members.join(stays.select("row"), "row", "left_anti").select("row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows are told apart by number, so a clean row stays whatever shares its id.
+
+    Null and wordless texts hold none; very long texts are searched whole; an
+    empty table, or an empty benchmark, takes nothing away; columns stay as they
+    were.
+    """
     ship_package(spark)
-    return _without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    rows = _numbered(docs)
+    return _without(rows, contaminated(_as_documents(rows), read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
+    """All documents, secrets in their texts replaced; null and empty texts, repeated rows and other columns stay as they are."""
     ship_package(spark)
     return redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens; a null text is packed as an empty one."""
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    A null text is packed as an empty one, repeated rows are packed each, a long
+    text goes into several sequences, an empty table gives no pieces; columns
+    other than doc_id and text are not read.
+    """
     ship_package(spark)
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
