@@ -32,7 +32,8 @@ def _register(name: str, text: str, db: str = "main", oracle: str | None = None)
     """The same statement on both sides unless the dialects differ."""
     sources = GRAPH if db == "main" else _SNIPPETS
     body = oracle or text
-    sql = f"WITH {sources}, {body[5:]}" if body.startswith("WITH ") else f"WITH {sources} {body}"
+    head = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") and oracle is None else "WITH "
+    sql = f"{head}{sources}, {body[len(head):]}" if body.startswith("WITH ") else f"WITH {sources} {body}"
 
     @query(f"sql_{name}", sql)
     def run(c: Context):
@@ -117,3 +118,21 @@ def sql_limit_bites(c: Context):
 def sql_explain(c: Context):
     plan = _surface(c).query("EXPLAIN SELECT label, count(*) AS n FROM nodes GROUP BY label")
     return plan.agg(F.max(F.contains("plan", F.lit("HashAggregate"))).alias("explained"))
+
+
+# Both directions of each edge: the walk runs in cycles.
+_register("recursive_union", """WITH RECURSIVE reach(id) AS (SELECT 'region:1' UNION
+SELECT e.b FROM reach JOIN (SELECT source AS a, target AS b, relationship FROM edges UNION ALL SELECT target, source, relationship FROM edges) e ON e.a = reach.id
+WHERE e.relationship IN ('LOCATED_IN', 'PART_OF')) SELECT split_part(id, ':', 1) AS kind, cast(count(*) AS bigint) AS n FROM reach GROUP BY 1""")
+
+
+@query("sql_json_each", """WITH q AS (SELECT 'question:' || event_id AS id, 'Review ' || event_type || ' ' || json_extract_string(props, '$.k') AS question,
+  (['proposal', 'contradictory', 'untraceable', 'ambiguous', 'wrong_association', 'weak_association'])[(json_extract_string(props, '$.k')::int % 6) + 1] AS category,
+  CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'rejected' ELSE 'failed' END AS status,
+  'customer:' || user_id AS related_node_id FROM events),
+m AS (SELECT 'question' AS key, question AS value FROM q UNION ALL SELECT 'category', category FROM q UNION ALL SELECT 'status', status FROM q UNION ALL SELECT 'related_node_id', related_node_id FROM q)
+SELECT key, 'text' AS type, count(*) AS n, count(DISTINCT value) AS kinds, max(value) AS last_value FROM m GROUP BY key""")
+def sql_json_each(c: Context):
+    """Members of all question nodes' JSON, as the surface's dialect lists them."""
+    return _surface(c).query("""SELECT j.key, j.type, count(*) AS n, count(DISTINCT j.value) AS kinds, max(j.value) AS last_value
+FROM nodes, json_each(nodes.properties) j WHERE nodes.label = 'Question' GROUP BY j.key, j.type""")

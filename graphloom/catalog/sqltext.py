@@ -73,10 +73,11 @@ def khop(seeds: list[str], hops: int, relationship: str | None = None, skip_infr
 
 
 def level_edges(name: str = "levels", relationship: str | None = None) -> str:
+    """Edges between consecutive levels; each join has two inputs, so that no plan can pair the levels with each other first."""
     rel = f"WHERE e.relationship = '{relationship}'" if relationship else ""
-    return (f"SELECT seed, source, target, relationship FROM (SELECT x.seed, x.hop, e.source, e.target, e.relationship FROM edges e "
-            f"JOIN {name} x ON x.id = e.source {rel}) JOIN (SELECT seed, id AS target, hop AS th FROM {name}) USING (seed, target) "
-            "WHERE abs(hop - th) = 1")
+    return (f"WITH outs AS MATERIALIZED (SELECT x.seed, x.hop, e.source, e.target, e.relationship FROM edges e JOIN {name} x ON x.id = e.source {rel}), "
+            f"ends AS MATERIALIZED (SELECT seed || '|' || id AS place, hop AS th FROM {name}) "
+            "SELECT seed, source, target, relationship FROM outs JOIN ends ON place = seed || '|' || target WHERE abs(hop - th) = 1")
 
 
 def ppr(seeds: list[str], rounds: int = 10, alpha: float = 0.85) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog.registry import Context, query
 from graphloom.session import work_path
-from graphloom.streaming import proposals, snippets
+from graphloom.streaming import proposals, snippets, windows
 
 _ACTIONS = {"view": "approve", "click": "start", "purchase": "finish", "error": "fail", "signup": "auto_pass"}
 
@@ -16,24 +16,118 @@ def _stream(c: Context, name: str):
     return c.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(c.sf_dir)
 
 
-@query("proposal_stream", """WITH a AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'start'
+_STATES = """WITH a AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'start'
   WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'auto_pass' END ORDER BY ts, event_id) AS acts FROM events GROUP BY 1)
 SELECT user_id::varchar AS id, list_reduce(list_concat(['pending'], acts), lambda s, x: CASE
   WHEN s = 'pending' AND x = 'approve' THEN 'approved' WHEN s = 'pending' AND x = 'reject' THEN 'rejected'
   WHEN s = 'approved' AND x = 'auto_pass' THEN 'completed_no_action' WHEN s = 'approved' AND x = 'start' THEN 'in_progress'
-  WHEN s = 'in_progress' AND x = 'finish' THEN 'completed' WHEN s = 'in_progress' AND x = 'fail' THEN 'failed' ELSE s END) AS status FROM a""")
-def proposal_stream(c: Context):
-    """All events as actions on one proposal per user; the state each proposal ends in."""
+  WHEN s = 'in_progress' AND x = 'finish' THEN 'completed' WHEN s = 'in_progress' AND x = 'fail' THEN 'failed' ELSE s END) AS status FROM a"""
+
+
+def _acts(events):
+    """Events as actions on one proposal per user."""
     action = F.col("event_type")
     for kind, name in _ACTIONS.items():
         action = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(action)
-    actions = _stream(c, "events").select(F.col("user_id").cast("string").alias("id"), action.alias("action"),
-                                          F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+    return events.select(F.col("user_id").cast("string").alias("id"), action.alias("action"),
+                         F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
+
+
+@query("proposal_stream", _STATES)
+def proposal_stream(c: Context):
+    """All events as actions on one proposal per user; the state each proposal ends in."""
+    actions = _acts(_stream(c, "events"))
     folder = work_path(c.spark, "states")
     proposals.run_to_folder(proposals.proposal_states(actions), folder, work_path(c.spark, "stream")).awaitTermination()
     return proposals.latest_states(c.spark.read.parquet(folder)).select("id", "status")
 
 
+def _arriving(c: Context, parts: list) -> object:
+    """A stream of ``parts`` of one table, one file and one micro-batch each, in that order."""
+    source = work_path(c.spark, "arriving")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+    return c.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@query("proposal_stream_shuffled", """WITH RECURSIVE a AS (SELECT user_id::varchar AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+  (epoch_us(ts) + 999) // 1000 AS ms, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'auto_pass' END AS act FROM events),
+r AS (SELECT id, 0 AS n, 'pending' AS status, NULL::bigint AS since, 0 AS changes FROM a GROUP BY id
+  UNION ALL SELECT id, n, CASE WHEN s = 'pending' AND act = 'approve' THEN 'approved' WHEN s = 'approved' AND act = 'auto_pass' THEN 'completed_no_action'
+      WHEN s = 'approved' AND act = 'start' THEN 'in_progress' WHEN s = 'in_progress' AND act = 'finish' THEN 'completed'
+      WHEN s = 'in_progress' AND act = 'fail' THEN 'failed' ELSE s END AS status,
+    CASE WHEN s = 'approved' AND act = 'start' THEN ms WHEN s = 'in_progress' AND act NOT IN ('finish', 'fail') THEN since END,
+    changes + reset + CASE WHEN (s = 'pending' AND act = 'approve') OR (s = 'approved' AND act IN ('auto_pass', 'start')) OR (s = 'in_progress' AND act IN ('finish', 'fail')) THEN 1 ELSE 0 END
+  FROM (SELECT r.id, a.n, a.act, a.ms, r.since, r.changes, CASE WHEN r.status = 'in_progress' AND r.since + 1800000 < a.ms THEN 1 ELSE 0 END AS reset,
+      CASE WHEN r.status = 'in_progress' AND r.since + 1800000 < a.ms THEN 'approved' ELSE r.status END AS s
+    FROM r JOIN a ON a.id = r.id AND a.n = r.n + 1)),
+ends AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1)
+SELECT id, CASE WHEN status = 'in_progress' THEN 'approved' ELSE status END AS status, changes + CASE WHEN status = 'in_progress' THEN 1 ELSE 0 END AS changes FROM ends""")
+def proposal_stream_shuffled(c: Context):
+    """All events in four files that mix all times, one a batch; proposals left in progress go back after 30 minutes.
+
+    Two last files hold a row each long after all others, as time goes on in a
+    stream: they let the watermark pass the actions, and then what these set off.
+    """
+    events = c.table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    span = events.agg((F.max("ts") - F.min("ts")).alias("d"), F.max("ts").alias("last")).first()
+    days = span["d"].days + 1
+    parts = [events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k) for k in (2, 0, 3, 1)]
+    ended = [events.limit(1).select(F.lit(-1).cast("long"), F.lit("end"), F.lit(span["last"]) + F.make_dt_interval(F.lit(2 * days + more)),
+                                    F.lit(-1).cast("long")).toDF(*events.columns) for more in (3, 6)]
+    before = c.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    c.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        folder = work_path(c.spark, "states")
+        states = proposals.ordered_states(_acts(_arriving(c, [*parts, *ended])), f"{days} days")
+        proposals.run_to_folder(states, folder, work_path(c.spark, "stream")).awaitTermination()
+    finally:
+        c.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return proposals.latest_states(c.spark.read.parquet(folder)).filter("id <> '-1'").select("id", "status", "changes")
+
+
+# --- event-time windows ---------------------------------------------------------
+
+_SEEN = "e AS (SELECT *, cast(json_extract_string(props, '$.k') as int) AS k, (SELECT max(ts) FROM events) - INTERVAL 6 HOUR AS seen FROM events)"
+_SUMS = "cast(count(*) as bigint) AS events, cast(sum(k) as bigint) AS total, min(value) AS least, max(value) AS most"
+
+
+def _timed(c: Context):
+    """Events in four files by time, one a batch."""
+    events = c.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
+                                      F.get_json_object("props", "$.k").cast("int").alias("k"))
+    cuts = events.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0]
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.unix_micros("ts")))
+    return _arriving(c, [events.filter(part == k) for k in range(4)])
+
+
+def _drained(c: Context, frame):
+    folder = work_path(c.spark, "windows")
+    windows.drain(frame, folder, work_path(c.spark, "stream")).awaitTermination()
+    return c.spark.read.schema(frame.schema).parquet(folder)
+
+
+@query("events_tumbling", f"""WITH {_SEEN} SELECT event_type, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS opened, {_SUMS} FROM e
+GROUP BY event_type, opened, seen HAVING opened + INTERVAL 1 DAY <= seen""")
+def events_tumbling(c: Context):
+    """Events a day and type, each day written once when the watermark has passed it."""
+    return _drained(c, windows.tumbling(_timed(c), "1 day", "6 hours", ["event_type"]))
+
+
+@query("events_sliding", f"""WITH {_SEEN}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * i) AS opened FROM e, (SELECT unnest([0, 1, 2, 3]) AS i))
+SELECT event_type, opened, {_SUMS} FROM w GROUP BY event_type, opened, seen HAVING opened + INTERVAL 1 DAY <= seen""")
+def events_sliding(c: Context):
+    return _drained(c, windows.sliding(_timed(c), "1 day", "6 hours", "6 hours", ["event_type"]))
+
+
+@query("events_sessions", f"""WITH {_SEEN}, g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts) AS opened, max(ts) + INTERVAL 12 HOUR AS closed, {_SUMS} FROM s GROUP BY user_id, session, seen HAVING max(ts) + INTERVAL 12 HOUR <= seen""")
+def events_sessions(c: Context):
+    """Runs of a user's events without a gap of 12 hours, written once they are over."""
+    return _drained(c, windows.sessions(_timed(c), "12 hours", "6 hours", ["user_id"]))
+
+
 @query("approved_once", """SELECT DISTINCT user_id::varchar AS id, CASE WHEN user_id % 3 = 0 THEN 'no_action' ELSE 'completed' END AS outcome
 FROM events WHERE event_type = 'view'""")
 def approved_once(c: Context):

@@ -2,7 +2,9 @@
 
 A statement is run as the inside of ``SELECT * FROM ( ... )``: anything that is
 not a query fails to parse there, whatever its first word, and the row limit
-holds even when the text has a LIMIT of its own. Every relation it names has to
+holds even when the text has a LIMIT of its own. A recursive CTE with UNION runs
+as a fixpoint of written rounds, so that it ends on cyclic data; Spark's own
+recursion knows UNION ALL only. Every relation it names has to
 be a view of the chosen database or one of its own CTEs; files and other tables
 of the catalog are refused. A few spellings of the dialect that users of the
 surface write are turned into Spark's, outside of string literals.
@@ -19,6 +21,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.closure import closure
+
 # --- fixed values ------------------------------------------------------------
 ROW_LIMIT = 500
 DATABASES = {"main": ["nodes", "edges"], "snippets": ["snippets", "file_index_status"]}
@@ -36,6 +40,25 @@ SPELLINGS = [
     (rf"(?i)\btotal\(\s*({_NAME})\s*\)", r"coalesce(sum(CAST(\1 AS DOUBLE)), 0.0D)"),
     (rf"({_NAME})\s*->>?\s*({_LITERAL})", r"get_json_object(\1, \2)"),
 ]
+#: A lateral ``json_each`` over the members of an object or the items of an array: names, values as text, and their types.
+JSON_TYPES = {"STRING": "text", "BIGINT": "integer", "DOUBLE": "real", "VOID": "null"}
+# -----------------------------------------------------------------------------
+_ALIAS = r"(?:\s+(?:AS\s+)?(?!(?:WHERE|GROUP|ORDER|JOIN|LEFT|INNER|ON|LIMIT|UNION|HAVING|CROSS)\b)([A-Za-z_]\w*))?"
+JSON_EACH = rf"(?i)(,|\bJOIN)\s*json_each\(\s*({_NAME})\s*(?:,\s*({_LITERAL})\s*)?\){_ALIAS}"
+
+
+def _json_each(match: re.Match) -> str:
+    joined, document, path, alias = match.groups()
+    whole = f"try_parse_json({document})"
+    inside = f"try_variant_get({whole}, {path}, 'variant')" if path else whole
+    kind = "schema_of_variant(value)"
+    types = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in JSON_TYPES.items())
+    kinds = (f"CASE WHEN {kind} LIKE 'OBJECT%' THEN 'object' WHEN {kind} LIKE 'ARRAY%' THEN 'array' WHEN {kind} LIKE 'DECIMAL%' THEN 'real' "
+             f"WHEN {kind} = 'BOOLEAN' THEN CAST(value AS STRING) ELSE CASE {kind} {types} END END")
+    text = f"CASE WHEN {kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%' THEN to_json(value) ELSE CAST(value AS STRING) END"
+    return (f"{joined} LATERAL (SELECT coalesce(key, CAST(pos AS STRING)) AS key, {text} AS value, {kinds} AS type "
+            f"FROM variant_explode({inside})) AS {alias or 'json_each'}")
+
 # -----------------------------------------------------------------------------
 
 
@@ -79,22 +102,41 @@ class SqlSurface:
             return self._run("EXPLAIN ", text[explain.end():], db)
         return self._run("", text, db).limit(ROW_LIMIT)
 
-    def _run(self, prefix: str, text: str, db: str) -> DataFrame:
+    def _run(self, prefix: str, text: str, db: str, also: tuple[str, ...] = ()) -> DataFrame:
+        parts = _recursive_union(text)
+        if parts and not prefix:
+            return self._fixpoint(*parts, db)
         text = spark_spelling(text)
         try:
             plan = self.spark.sql(f"EXPLAIN EXTENDED SELECT * FROM (\n{text}\n)").first()[0]
-            self._check_relations(plan, db)
+            self._check_relations(plan, db, also)
             return self.spark.sql(f"{prefix}SELECT * FROM (\n{text}\n)")
         except PySparkException as error:
             lines = [x for x in str(error).splitlines() if x.strip()]
             raise Refused(lines[0] if lines else "the statement could not be read") from error
 
-    def _check_relations(self, plan: str, db: str) -> None:
-        """Refuse a plan whose parsed form names anything but the database's views and its own CTEs."""
+    def _fixpoint(self, name: str, columns: list[str], seed: str, step: str, rest: str, db: str) -> DataFrame:
+        """``WITH RECURSIVE name(columns) AS (seed UNION step) rest``."""
+        if name in self.views or self.spark.catalog.tableExists(name):
+            raise Refused(f"{name!r} names a table")
+
+        def again(found: DataFrame) -> DataFrame:
+            found.createOrReplaceTempView(name)
+            return self._run("", step, db, (name,))
+
+        first = self._run("", seed, db)
+        try:
+            closure(first.toDF(*columns) if columns else first, again).createOrReplaceTempView(name)
+            return self._run("", rest, db, (name,))
+        finally:
+            self.spark.catalog.dropTempView(name)
+
+    def _check_relations(self, plan: str, db: str, also: tuple[str, ...] = ()) -> None:
+        """Refuse a plan whose parsed form names anything but the database's views, its own CTEs and ``also``."""
         parsed = plan.partition("== Analyzed Logical Plan ==")[0]
         for names in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
             parts = [p.strip() for p in names.split(",")]
-            if parts[0] in DATABASES[db] and len(parts) == 1:
+            if len(parts) == 1 and (parts[0] in DATABASES[db] or parts[0] in also):
                 continue
             if len(parts) > 1 or self.spark.catalog.tableExists(parts[0]):
                 raise Refused(f"no table {'.'.join(parts)!r} in {db}")
@@ -115,6 +157,25 @@ class SqlSurface:
         return SqlAnswer(df.columns, rows, len(rows), int((time.time() - started) * 1000), db)
 
 
+def _recursive_union(text: str) -> tuple[str, list[str], str, str, str] | None:
+    """Name, columns, seed, step and what follows of a statement that is one recursive CTE with UNION and a query on it; else None."""
+    head = re.match(r"(?is)\s*WITH\s+RECURSIVE\s+([A-Za-z_]\w*)\s*(?:\(([^()]*)\))?\s*AS\s*\(", text)
+    if not head:
+        return None
+    depth, split, at = 1, None, head.end()
+    for token in re.finditer(r"'(?:[^']|'')*'|[()]|\bUNION\b(?!\s+ALL\b)", text[head.end():], re.IGNORECASE):
+        depth += {"(": 1, ")": -1}.get(token[0], 0)
+        if depth == 1 and token[0].upper() == "UNION" and split is None:
+            split = (at + token.start(), at + token.end())
+        if not depth:
+            rest = text[at + token.end():]
+            if split is None or rest.lstrip().startswith(","):
+                return None
+            columns = [c.strip() for c in head[2].split(",")] if head[2] else []
+            return head[1], columns, text[at:split[0]], text[split[1]:at + token.start()], rest
+    return None
+
+
 def spark_spelling(text: str) -> str:
     """The statement with other dialects' spellings of a few functions and operators replaced, literals untouched."""
     literals: list[str] = []
@@ -131,6 +192,7 @@ def spark_spelling(text: str) -> str:
     out = re.sub(r"'(?:[^']|'')*'", keep, text)
     for pattern, replacement in SPELLINGS:
         out = re.sub(pattern, replacement, out)
+    out = re.sub(JSON_EACH, _json_each, out)
     out = re.sub(r"(?i)\s+GLOB\s+\x00(\d+)\x00", glob, out)
     return re.sub(r"\x00(\d+)\x00", lambda m: literals[int(m[1])], out)
 

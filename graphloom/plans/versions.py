@@ -1,16 +1,13 @@
-"""Named snapshots of a graph: versioned table folders with an append-only manifest."""
+"""Named snapshots of a graph as versions of an edit log: history, search, time travel, rollback, archive."""
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.jsonprops import promote
 from graphloom.graph import PropertyGraph
-from graphloom.sources.graph_tables import load_graph, save_tables
-
-MANIFEST = ("snapshot_id int, action string, message string, created_at timestamp, node_count long, edge_count long")
+from graphloom.sources.edit_log import GRAPH, EditLog, changes
 
 
 def history(manifest: DataFrame, limit: int = 30) -> DataFrame:
@@ -25,61 +22,52 @@ def search(manifest: DataFrame, keyword: str, limit: int = 50) -> DataFrame:
 
 
 class VersionStore:
-    """Snapshots under one folder: ``snap=<n>/nodes``, ``snap=<n>/edges`` and ``manifest``.
+    """Snapshots of nodes and edges under one folder.
 
-    Snapshots are never rewritten; the current one is the last ``save`` or the
-    target of the last ``rollback``, so a rollback moves a pointer.
+    The first save writes whole tables, later ones the edits since the version
+    they start from. A rollback makes a new version of an older one's files.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.folder = folder.rstrip("/")
+        self.log = EditLog(spark, folder)
 
     @property
     def manifest(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).option("ignoreMissingFiles", "true").parquet(f"{self.folder}/manifest")
-
-    def _log(self, snapshot_id: int, action: str, message: str, nodes: int = 0, edges: int = 0) -> None:
-        row = [(snapshot_id, action, message, datetime.now(timezone.utc), nodes, edges)]
-        self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-
-    def _last(self, *actions: str) -> int | None:
-        row = (self.manifest.filter(F.col("action").isin(*actions))
-               .agg(F.max_by("snapshot_id", "created_at").alias("id")).first())
-        return row["id"]
+        """``(snapshot_id, action, message, created_at)``; an archive entry has the id of what it archives."""
+        target = F.when(F.col("action") == "archive", F.col("target")).otherwise(F.col("version"))
+        return self.log.manifest.select(target.alias("snapshot_id"), "action", "message", "created_at")
 
     def save(self, nodes: DataFrame, edges: DataFrame, message: str) -> dict:
-        """Write both tables as the next snapshot and make it current."""
+        """Make whole tables the next snapshot; only rows that differ from the newest one are written."""
         if not message.strip():
             raise ValueError("save needs a message")
-        try:
-            number = (self.manifest.agg(F.max("snapshot_id")).first()[0] or 0) + 1
-        except Exception as error:  # no manifest folder yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            number = 1
-        base = f"{self.folder}/snap={number}"
-        save_tables(nodes, edges, f"{base}/nodes", f"{base}/edges")
-        graph = self.graph(number)
-        counts = graph.nodes.count(), graph.edges.count()
-        self._log(number, "save", message, *counts)
-        return {"snapshot_id": number, "message": message, "node_count": counts[0], "edge_count": counts[1]}
+        tables, parent = {"nodes": nodes, "edges": edges}, self.log.head()
+        if not parent:
+            return self._saved(self.log.create(message, **tables).version, message)
+        edits = {name: changes(self.log.read(name, parent), rows.select(*GRAPH[name].schema.names), GRAPH[name]) for name, rows in tables.items()}
+        return self._saved(self.log.commit(edits, message, parent).version, message)
+
+    def save_edits(self, edits: dict[str, DataFrame], message: str, parent: int) -> dict:
+        """Edits on top of snapshot ``parent`` as the next one; fails if another writer was faster."""
+        if not message.strip():
+            raise ValueError("save needs a message")
+        return self._saved(self.log.commit(edits, message, parent).version, message)
+
+    def _saved(self, number: int, message: str) -> dict:
+        return {"snapshot_id": number, "message": message,
+                "node_count": self.log.read("nodes", number).count(), "edge_count": self.log.read("edges", number).count()}
 
     def graph(self, snapshot_id: int | None = None) -> PropertyGraph:
         """The graph of a snapshot, the current one by default."""
-        number = self._last("save", "rollback") if snapshot_id is None else snapshot_id
-        base = f"{self.folder}/snap={number}"
-        return load_graph(self.spark, f"{base}/nodes", f"{base}/edges")
+        return PropertyGraph(promote(self.log.read("nodes", snapshot_id)), self.log.read("edges", snapshot_id))
 
-    def rollback(self, snapshot_id: int, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> PropertyGraph:
-        """Make an older snapshot current; unsaved tables are saved first when given."""
-        if self.manifest.filter((F.col("snapshot_id") == snapshot_id) & (F.col("action") == "save")).isEmpty():
+    def rollback(self, snapshot_id: int) -> int:
+        """Make an older snapshot current; the number of the version that does so."""
+        if self.log.version(snapshot_id).action != "save":
             raise LookupError(f"no snapshot {snapshot_id}")
-        if nodes is not None and edges is not None:
-            self.save(nodes, edges, f"[auto-save before rollback to {snapshot_id}]")
-        self._log(snapshot_id, "rollback", f"rollback to {snapshot_id}")
-        return self.graph(snapshot_id)
+        return self.log.rollback(snapshot_id).version
 
     def archive(self, snapshot_id: int) -> None:
         """Mark a snapshot as archived; its tables stay."""
-        self._log(snapshot_id, "archive", f"archive: {snapshot_id}")
+        self.log.archive(snapshot_id)

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # --- fixed values ------------------------------------------------------------
@@ -69,6 +69,73 @@ def proposal_states(actions: DataFrame, lateness: str | None = None) -> DataFram
     return rows.groupBy("id").applyInPandasWithState(advance, OUTPUT, STATE, "update", timeout)
 
 
+class OrderedStates(StatefulProcessor):
+    """Actions of a proposal held until the watermark passes them, then applied in order of event time.
+
+    ``waiting`` maps a millisecond to the actions of it, with a timer each, and
+    timers of a proposal fire in order of time: whichever batch brings an action,
+    it counts where it belongs. What is held are the actions of one lateness;
+    rows come one by one from an iterator, never as a frame of one proposal.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "status string, log string, at timestamp, due long, changes int")
+        self.waiting = handle.getMapState("waiting", "ms long", "actions array<struct<seq:long,at:timestamp,action:string>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fresh: dict[int, list[Row]] = {}
+        for row in rows:
+            fresh.setdefault(-(-int(row.micros) // 1000), []).append(row)
+            if len(fresh) >= 1000:
+                self._hold(fresh)
+                fresh = {}
+        self._hold(fresh)
+        return iter(())
+
+    def _hold(self, fresh: dict[int, list[Row]]) -> None:
+        for ms, rows in fresh.items():
+            held = list(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+            self.waiting.updateValue((ms,), ([*held, *[(r.seq, r.at, r.action) for r in rows]],))
+            self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        status, log, at, due, changes = self.current.get() if self.current.exists() else (FIRST_STATUS, "", None, None, 0)
+        lines, before = log.split("\n") if log else [], changes
+        if due is not None and due < now:  # its own timer may come later, where the watermark has leapt
+            status, due, changes = "approved", None, changes + 1
+            lines.append("reset after timeout")
+        if self.waiting.containsKey((now,)):
+            for _, moment, action in sorted(self.waiting.getValue((now,))[0], key=lambda a: (a[1], a[0])):
+                following = TRANSITIONS.get((status, action))
+                if following:
+                    status, at, changes = following, moment, changes + 1
+                    lines.append(f"{action} -> {following}")
+                    due = now + TIMEOUT_MS if status == "in_progress" else None
+                    if due is not None:
+                        self.handle.registerTimer(due)
+            self.waiting.removeKey((now,))
+        if due == now:
+            status, due, changes = "approved", None, changes + 1
+            lines.append("reset after timeout")
+        log = "\n".join(lines[-LOG_LINES:])
+        self.current.update((status, log, at, due, changes))
+        if changes > before or not before:
+            yield Row(id=key[0], status=status, changes=changes, log=log, at=at)
+
+
+def ordered_states(actions: DataFrame, lateness: str) -> DataFrame:
+    """Stream of ``(id, action, at, seq)`` to a row for every change of a proposal, actions applied in order of (at, seq).
+
+    ``lateness`` is how far actions may be out of order; what comes later still is
+    dropped, as the watermark has passed it. A proposal in progress for 30
+    minutes of event time goes back to approved. Needs the RocksDB state store.
+    """
+    rows = actions.select("id", "action", "at", "seq", F.unix_micros("at").alias("micros")).withWatermark("at", lateness)
+    return rows.groupBy("id").transformWithState(OrderedStates(), OUTPUT, "Update", "EventTime")
+
+
 def latest_states(updates: DataFrame) -> DataFrame:
     """The newest row per proposal of the written updates."""
     return (updates.groupBy("id").agg(F.max_by(F.struct("status", "changes", "log"), "changes").alias("s"))
@@ -90,19 +157,17 @@ def handle_approved(actions: DataFrame, handler: Callable[[DataFrame], DataFrame
     """Run ``handler`` once over each micro-batch of approved proposals and keep its outcome rows.
 
     The handler gets distinct proposals that no earlier batch has handled, and
-    returns ``(id, outcome, ...)``; the written outcomes are the memory of what
-    is done, so a restarted or repeated batch finds the same. With ``interval`` the stream polls (10 seconds is usual); without, it drains what
-    is there and stops.
+    returns ``(id, outcome, ...)``. What is handled is the stream's own state, so
+    a batch costs its new rows whatever came before, and a repeated batch meets
+    the state it first met. With ``interval`` the stream polls (10 seconds is
+    usual); without, it drains what is there and stops.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        approved = batch.filter(F.col("action") == "approve").dropDuplicates(["id"])
-        if batch_id > 0:
-            earlier = batch.sparkSession.read.parquet(folder).filter(F.col("batch") < batch_id)
-            approved = approved.join(earlier.select("id"), "id", "left_anti")
-        handler(approved).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        handler(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    writer: Any = actions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
+    approved = actions.filter(F.col("action") == "approve").dropDuplicates(["id"])
+    writer: Any = approved.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

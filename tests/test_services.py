@@ -33,7 +33,7 @@ def test_node_edits(editor):
     assert editor.node("create", "doc:1", "Nope", {"name": "x"}).code == "INVALID_LABEL"
     assert editor.node("create", "doc:1", "Doc", {}).code == "LOW_QUALITY_PAYLOAD"
     preview = editor.node("create", "doc:1", "Doc", {"name": "x"}, dry_run=True)
-    assert preview.ok and not preview.data["preview"]["will_overwrite"] and editor.nodes.count() == 3
+    assert preview.ok and not preview.data["preview"]["replaces"] and editor.nodes.count() == 3
     assert editor.node("create", "doc:1", "Doc", {"name": "x", "tags": [1, 2]}).ok and editor.nodes.count() == 4
     assert editor.node("update", "doc:1", properties={"name": "y"}).ok
     assert editor.node("get", "doc:1").data["node"]["name"] == "y" and editor.node("get", "doc:1").data["node"]["tags"] == [1, 2]
@@ -52,7 +52,7 @@ def test_edge_edits_and_confirm_token(spark, editor):
     guarded = Editor(editor.nodes, editor.edges, Settings(require_confirm_token=True, confirm_token="yes"))
     assert guarded.edge("delete", "bt:1", "file:1", "HAS_CHILD").code == "CONFIRM_REQUIRED"
     assert guarded.edge("delete", "bt:1", "file:1", "HAS_CHILD", token="yes").ok and guarded.edges.count() == 1
-    assert guarded.merge(["file:1"], "bt:1", dry_run=True).data["preview"]["total_edges_to_redirect"] == 1
+    assert guarded.merge(["file:1"], "bt:1", dry_run=True).data["preview"]["redirected"] == 1
     assert guarded.tree("remove_and_reparent", "NOPE", "bt:1").code == "INVALID_RELATIONSHIP"
     ruled = Editor(editor.nodes, editor.edges, Settings(enforce_endpoint_rules=True),
                    endpoint_rules=[("HAS_CHILD", "Folder", "CodeFile")])
@@ -182,3 +182,128 @@ def test_stuck_proposal_is_reset_by_event_time(spark, tmp_path):
         assert query.awaitTermination(120)
     got = {r["id"]: (r["status"], r["log"].split("\n")[-1]) for r in proposals.latest_states(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {"p": ("approved", "reset after timeout"), "r": ("in_progress", "start -> in_progress")}
+
+
+# --- edit log, segments, ordered streams -------------------------------------------
+
+@pytest.fixture
+def edit_log(spark, tmp_path):
+    from graphloom.sources.edit_log import EditLog
+
+    nodes = spark.range(1000).select(F.format_string("n:%d", "id").alias("id"), F.lit("Doc").alias("label"),
+                                     F.format_string('{"name":"%d","tags":[1,2]}', "id").alias("properties"))
+    edges = spark.range(999).select(F.format_string("n:%d", "id").alias("source"), F.format_string("n:%d", F.col("id") + 1).alias("target"),
+                                    F.lit("NEXT").alias("relationship"), F.lit("{}").alias("properties"))
+    log = EditLog(spark, str(tmp_path / "log"), most_deltas=3)
+    log.create("start", nodes=nodes, edges=edges)
+    return log
+
+
+def _edits(spark, rows):
+    return spark.createDataFrame(rows, "id string, label string, properties string, op string, seq long")
+
+
+def _state(frame):
+    return {r.id: (r.label, json.loads(r.properties)) for r in frame.collect()}
+
+
+def test_edits_fold_in_order_across_deltas_and_merges(spark, edit_log):
+    import random
+
+    source, state = random.Random(1), {f"n:{k}": ("Doc", {"name": str(k), "tags": [1, 2]}) for k in range(1000)}
+    for _ in range(7):
+        rows = []
+        for seq in range(60):
+            key, op = f"n:{source.randint(0, 12)}", source.choice(["put", "set", "set", "set", "drop"])
+            fields = {source.choice("abc"): source.choice([1, "x", None, [1], {"k": True}, 2.5])}
+            rows.append((key, "New" if op == "put" else None, None if op == "drop" else json.dumps(fields), op, seq))
+            if op == "put":
+                state[key] = ("New", fields)
+            elif op == "drop":
+                state.pop(key, None)
+            elif key in state:
+                state[key] = (state[key][0], {**state[key][1], **fields})
+        source.shuffle(rows)  # only seq orders them
+        edit_log.commit({"nodes": _edits(spark, rows)})
+    assert _state(edit_log.read("nodes")) == state
+    assert len(edit_log.version().files["nodes"].deltas) <= 3
+    edit_log.compact()
+    assert not edit_log.version().files["nodes"].deltas and _state(edit_log.read("nodes")) == state
+
+
+def test_plans_do_not_grow_with_edits_and_commits_write_edits_only(spark, edit_log, tmp_path):
+    def size(folder):
+        return sum(f.stat().st_size for f in (tmp_path / "log" / folder).rglob("*.parquet"))
+
+    def depth():
+        return edit_log.read("nodes")._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    base = size("nodes")
+    edit_log.commit({"nodes": _edits(spark, [("n:1", None, '{"a":1}', "set", 1)])})
+    one, few = depth(), size("nodes") - base
+    for k in range(2):
+        edit_log.commit({"nodes": _edits(spark, [(f"n:{i}", None, f'{{"a":{i}}}', "set", i) for i in range(10)])})
+    assert depth() == one and size("nodes") - base < 0.5 * base and few < 0.2 * base
+
+
+def test_commits_clash_rollback_and_diff(spark, edit_log):
+    from graphloom.sources.edit_log import cascade
+    from graphloom.sources.manifest import CommitClash
+
+    gone = spark.createDataFrame([("n:5",)], "id string")
+    edit_log.commit({"nodes": _edits(spark, [("n:5", None, None, "drop", 1)]), "edges": cascade(edit_log.read("edges"), gone)}, "gone", parent=1)
+    with pytest.raises(CommitClash):
+        edit_log.commit({"nodes": _edits(spark, [("n:6", None, None, "drop", 1)])}, parent=1)
+    with pytest.raises(CommitClash):  # two writers that saw the same head: the manifest decides
+        edit_log.manifests.create(2, {})
+    assert edit_log.read("edges").count() == 997 and edit_log.read("edges", 1).count() == 999
+    edit_log.commit({"nodes": _edits(spark, [("n:7", None, '{"name":"seven"}', "set", 1), ("n:8", None, '{"name":"8"}', "set", 1)])})
+    assert [tuple(r)[:2] for r in edit_log.diff("nodes", 1, 3).orderBy("id").collect()] == [("n:5", "removed"), ("n:7", "changed")]
+    edit_log.compact()
+    assert edit_log.diff("nodes", 3, 4).count() == 0 and edit_log.diff("nodes", 4, 1).count() == 2
+    assert edit_log.rollback(1).version == 5 and edit_log.read("nodes").count() == 1000
+    assert edit_log.diff("nodes", 5, 1).count() == 0
+    with pytest.raises(LookupError):
+        edit_log.read("nodes", 9)
+
+
+def test_editor_saves_its_edits_and_notices_other_writers(editor):
+    assert editor.version("save", message="start").ok
+    other = Editor(editor.store.graph().nodes, editor.store.graph().edges, store=editor.store)
+    assert editor.node("create", "doc:1", "Doc", {"name": "x"}).ok
+    plan = lambda: editor.nodes._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    once = plan()
+    for k in range(30):
+        assert editor.node("update", "doc:1", properties={f"k{k}": k}).ok
+    assert plan() == once
+    assert editor.node("get", "doc:1").data["node"]["k29"] == 29
+    assert other.merge(["file:1"], "bt:1", delete_sources=True).ok and other.version("save", message="merged").data["snapshot"]["snapshot_id"] == 2
+    assert editor.version("save", message="late").code == "CONFLICT"
+    assert other.version("delete", snapshot_id=1).ok
+    assert [(r["snapshot_id"], r["action"]) for r in editor.version("list").data["items"]] == [(1, "archive"), (2, "save"), (1, "save")]
+
+
+def test_index_segments_equal_a_rebuilt_index(spark, tmp_path):
+    import random
+
+    from graphloom.operators.textindex import TextIndex
+    from graphloom.operators.textsegments import SegmentedIndex
+
+    source = random.Random(2)
+    text = lambda: " ".join(source.choice(["ab", "cd", "ef", "gh", "ij", "x"]) for _ in range(source.randint(0, 9)))
+    docs = {f"d{k}": text() for k in range(60)}
+    frame = lambda some: spark.createDataFrame([(k, "L", v) for k, v in some.items()], "id string, label string, text string")
+    index = SegmentedIndex(spark, str(tmp_path / "index"))
+    index.create(frame(docs))
+    for step in range(4):
+        before = {k: docs[k] for k in source.sample(sorted(docs), 7)}
+        after = {k: text() for k in list(before)[:4]} | {f"n{step}": text(), f"m{step}": "ab"}
+        index.update(frame(before), frame(after))
+        docs = {k: v for k, v in docs.items() if k not in before} | after
+        built, kept = TextIndex.build(frame(docs)), index.index()
+        assert (kept.corpus_size, round(kept.avg_len, 9), round(kept.mean_idf, 9)) == (built.corpus_size, round(built.avg_len, 9), round(built.mean_idf, 9))
+        for part in ("postings", "terms"):
+            order = sorted(getattr(built, part).columns)
+            assert sorted(map(tuple, getattr(kept, part).select(order).collect())) == sorted(map(tuple, getattr(built, part).select(order).collect()))
+    assert len(index.segments) < 5 and index.segments[-1].number == 5
+    assert index.index(1).corpus_size == 60
