@@ -1,5 +1,9 @@
 """Phrase collocations: frequent phrases by language, counted with double-array tries, scored by their weakest cut.
 
+Texts are spelled once: every step of a task becomes a row with the 64-bit codes
+of its distinct words and, for each place, which of them stands there. All later
+passes read these rows. No two words share a code, which is checked.
+
 Candidates come level by level and are safe in the sense of Apriori: a phrase is
 looked at only where both its parts without the last and without the first word
 are frequent. What is frequent at a level reaches the tasks as a bitmap of fixed
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mixed, text_steps, tidy
+from graphloom.llm.common import mixed, text_steps, tidy, word_hashes
 from graphloom.session import materialize
 
 #: Words of the longest phrase, bits of a level's bitmap (a power of two), phrases of a trie, UTF-8 bytes of texts handled together.
-LONGEST, BITS, SHARD, STEP = 5, 1 << 26, 200_000, 4_000_000
+LONGEST, BITS, SHARD, STEP = 5, 1 << 26, 200_000, 8_000_000
 
 _LINE, _BLANK = 10, 32
 #: A-Z lower-cased; the marks that end a piece become line feeds, blanks and tabs become blanks.
@@ -38,9 +43,9 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 class Words:
     """The words of some texts in turn, by language.
 
-    ``names`` are the distinct pairs "language, tab, word", ``counts`` their
-    occurrences, ``order`` the pair of each word in turn, and ``places`` where it
-    stands when an empty place is left between pieces.
+    A pair is a language and a word: ``langs`` and ``spelled`` list the distinct
+    ones, ``counts`` their occurrences, ``order`` the pair of each word in turn,
+    and ``places`` where it stands when an empty place is left between pieces.
     """
 
     def __init__(self, batch: pa.RecordBatch):
@@ -48,30 +53,47 @@ class Words:
         langs = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
         data = np.frombuffer(b"\n".join(texts).translate(_BYTES) + b"\n", np.uint8)
         inside = (data != _LINE) & (data != _BLANK)
-        edges = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.r_[0, edges] if inside[0] else edges
         starts, ends = edges[::2], edges[1::2]
         offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
-        begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-        lang = langs.indices.to_numpy()[np.searchsorted(begins, starts, side="right") - 1]
-        pairs = lang.astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
-        seen, self.order, self.counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        spelled, named = words.dictionary.to_pylist(), langs.dictionary.to_pylist()
-        self.langs = [named[k] for k in (seen // max(1, len(spelled))).tolist()]
-        self.spelled = [spelled[k] for k in (seen % max(1, len(spelled))).tolist()]
-        self.names = [f"{a}\t{b}" for a, b in zip(self.langs, self.spelled)]
-        lines = np.cumsum(data == _LINE)[starts]
-        self.places = np.arange(len(starts)) + np.cumsum(np.r_[False, lines[1:] != lines[:-1]][: len(starts)])
-
-    def laid_out(self, values: np.ndarray, empty: int = 0) -> np.ndarray:
-        """A value of each distinct pair, laid out along the texts with ``empty`` between pieces."""
-        out = np.full(int(self.places[-1]) + 2 if len(self.places) else 0, empty, values.dtype)
-        out[self.places] = values[self.order]
-        return out
-
-    def codes(self) -> np.ndarray:
+        self.words, self.n_words = words.dictionary, max(1, len(words.dictionary))
+        self.named = langs.dictionary
+        begins = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)
+        upto = np.r_[0, np.searchsorted(starts, begins), len(starts)]
+        pairs = np.repeat(langs.indices.to_numpy().astype(np.int64) * self.n_words, np.diff(upto)) + words.indices.to_numpy()
+        counts = np.bincount(pairs, minlength=1)
+        self.seen = np.flatnonzero(counts)
+        self.counts = counts[self.seen]
+        number = np.zeros(len(counts), np.uint32)
+        number[self.seen] = np.arange(len(self.seen))
+        self.order = number[pairs]
+        lines = np.flatnonzero(data == _LINE)
+        after = np.searchsorted(starts, lines)  # the first word after each line feed
+        opens = np.zeros(len(starts) + 1, bool)
+        opens[after] = True
+        opens[0] = False
+        self.places = np.arange(len(starts)) + np.cumsum(opens[: len(starts)])
+
+    @property
+    def langs(self) -> pa.Array:
+        return self.named.take(pa.array(self.seen // self.n_words))
+
+    @property
+    def spelled(self) -> pa.Array:
+        return self.words.take(pa.array(self.seen % self.n_words))
+
+    def codes(self, salt: int) -> np.ndarray:
         """64-bit hash of each pair, never 0."""
-        return np.maximum(np.fromiter((xxhash.xxh3_64_intdigest(n.encode()) for n in self.names), np.uint64, len(self.names)), np.uint64(1))
+        own = np.fromiter((xxhash.xxh3_64_intdigest(n.encode(), salt) for n in self.named.to_pylist()), np.uint64, len(self.named))
+        return np.maximum(mixed(word_hashes(self.words)[self.seen % self.n_words] * _FACTOR + own[self.seen // self.n_words]), np.uint64(1))
+
+    def laid_out(self) -> np.ndarray:
+        """For each place one more than the number of its pair, 0 between pieces."""
+        out = np.zeros(int(self.places[-1]) + 2 if len(self.places) else 0, np.uint32)
+        out[self.places] = self.order + np.uint32(1)
+        return out
 
 
 def joined(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -84,13 +106,31 @@ def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPELLED = "lang string, word string, code long, n long, places binary, codes binary"
+
+
+def _spell(salt: int):
+    """Texts to rows of their words with counts, and a row for each step: the codes of its words, and which stands at each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["lang", "word", "code", "n", "places", "codes"]
+        for batch in batches:
+            for some in text_steps(batch, most=STEP):
+                words = Words(some)
+                codes = words.codes(salt)
+                columns = (words.langs.cast(pa.string()), words.spelled.cast(pa.string()), pa.array(codes.view(np.int64)), pa.array(words.counts, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(codes), pa.binary())] * 2], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds[:4]], *[pa.array([x.tobytes()], pa.binary()) for x in (words.laid_out(), codes)]], names)
+
+    return run
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which word stands at each place (0: none, else from 1 on), and the words' codes."""
     for batch in batches:
-        for some in text_steps(batch, most=STEP):
-            words = Words(some)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words.langs, pa.string()), pa.array(words.spelled, pa.string()), pa.array(words.codes().view(np.int64)), pa.array(words.counts, pa.int64())],
-                ["lang", "word", "code", "n"])
+        for k in range(batch.num_rows):
+            yield tuple(np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in (("places", np.uint32), ("codes", np.uint64)))
 
 
 def _extended(level: int, bitmap):
@@ -98,23 +138,25 @@ def _extended(level: int, bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = bitmap.value
-        for batch in batches:
-            for some in text_steps(batch, most=STEP):
-                words = Words(some)
-                codes = words.laid_out(words.codes())
-                part, whole = codes, codes != 0  # phrases of one word less, from every place
-                for k in range(1, level - 1):
-                    part, whole = joined(part[:-1], codes[k:]), whole[:-1] & (codes[k:] != 0)
-                good = whole & _held(frequent, part)
-                at = np.flatnonzero(good[:-1] & good[1:])
-                prefix, last = part[at], codes[at + level - 1]
-                hashes = joined(prefix, last)
-                order = np.argsort(hashes)
-                prefix, last, hashes = prefix[order], last[order], hashes[order]
-                first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])][: len(at)])
-                counts = np.diff(np.r_[first, len(at)])
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(x[first].view(np.int64)) for x in (prefix, last, hashes)], pa.array(counts, pa.int64())], ["prefix", "last", "h", "n"])
+        for places, own in _steps(batches):
+            codes = np.r_[np.zeros(1, np.uint64), own][places]
+            good = np.r_[False, _held(frequent, own)][places] if level == 2 else None
+            part, whole = codes, codes != 0  # phrases of one word less, from every place
+            for k in range(1, level - 1):
+                part, whole = joined(part[:-1], codes[k:]), whole[:-1] & (codes[k:] != 0)
+            if good is None:
+                good = whole
+                at = np.flatnonzero(whole)
+                good[at] = _held(frequent, part[at])
+            at = np.flatnonzero(good[:-1] & good[1:])
+            prefix, last = part[at], codes[at + level - 1]
+            hashes = joined(prefix, last)
+            order = np.argsort(hashes)
+            prefix, last, hashes = prefix[order], last[order], hashes[order]
+            first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])][: len(at)])
+            counts = np.diff(np.r_[first, len(at)])
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(x[first].view(np.int64)) for x in (prefix, last, hashes)], pa.array(counts, pa.int64())], ["prefix", "last", "h", "n"])
 
     return run
 
@@ -192,14 +234,14 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition of candidates as one trie: a row for each phrase with its state, and one with the arrays."""
     from pyspark import TaskContext
 
-    rows = [(lang, words) for b in batches for lang, words in zip(b.column("lang").to_pylist(), b.column("words").to_pylist())]
+    rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("lang", "words", "codes")))]
     if not rows:
         return
     shard, listed = TaskContext.get().partitionId(), {}
-    coded = [[listed.setdefault(f"{lang}\t{word}", len(listed) + 1) for word in words] for lang, words in rows]
+    coded = [[listed.setdefault(code, len(listed) + 1) for code in codes] for _, _, codes in rows]
     base, check, states = double_array(coded)
     buffer = io.BytesIO()
-    np.savez(buffer, base=base, check=check, names=np.frombuffer("\n".join(listed).encode(), np.uint8))
+    np.savez(buffer, base=base, check=check, codes=np.fromiter(listed, np.int64, len(listed)).view(np.uint64))
     n = len(rows)
     values = ([shard] * (n + 1), [*states.tolist(), 0], [*[r[0] for r in rows], None], [*[r[1] for r in rows], None], [*[None] * n, buffer.getvalue()])
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.binary())
@@ -211,44 +253,49 @@ def _trie_counts(shard: int, trie, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = np.load(io.BytesIO(trie.value))
-        base, check = loaded["base"], loaded["check"]
-        names = pa.array(loaded["names"].tobytes().decode().split("\n"), pa.large_string())
+        base, check, known = loaded["base"], loaded["check"], loaded["codes"]
+        order = np.argsort(known)
+        known, number = known[order], order + 1
         counts = np.zeros(len(base), np.int64)
-        for batch in batches:
-            for some in text_steps(batch, most=STEP):
-                words = Words(some)
-                found = pc.index_in(pa.array(words.names, pa.large_string()), value_set=names)
-                counts += count_states(words.laid_out(pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1), base, check, longest)
+        for places, own in _steps(batches):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            counts += count_states(np.r_[0, np.where(known[at] == own, number[at], 0)][places], base, check, longest)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), shard, np.int32)), pa.array(used.astype(np.int32)), pa.array(counts[used])], ["shard", "state", "n"])
 
     return run
 
 
+def _spelled(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, word, code, n) of all words, and the coded steps; codes are drawn anew in the case that two words share one."""
+    for salt in count():
+        rows = materialize(texts.mapInArrow(tidy(_spell(salt)), _SPELLED), "spelled")
+        words = materialize(rows.where("word is not null").groupBy("lang", "word", "code").agg(F.sum("n").alias("n")), "words")
+        if words.count() == words.select("code").distinct().count():
+            return words, rows.where("places is not null").select("places", "codes")
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, bits: int = BITS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, words, a) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, n) with the words of each language."""
     spark = docs.sparkSession
-    texts = docs.select("text", "lang")
-    words = texts.mapInArrow(tidy(_word_counts), "lang string, word string, code long, n long").groupBy("lang", "word", "code").agg(F.sum("n").alias("n"))
-    words = materialize(words, "words")
+    words, steps = _spelled(docs.select("text", "lang"))
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     often = words.where(F.col("n") >= least)
-    level = often.select("lang", F.array("word").alias("words"), F.col("code").alias("h"))
+    singles = often.select("lang", F.array("word").alias("words"), F.col("n").alias("a"))
+    ends = often.select("lang", F.col("code").alias("last"), "word")
+    level = often.select("lang", F.array("word").alias("words"), F.array("code").alias("codes"), F.col("code").alias("h"))
     candidates = []
     for length in range(2, longest + 1):
         bitmap = spark.sparkContext.broadcast(_bitmap(level, bits))
-        found = texts.mapInArrow(tidy(_extended(length, bitmap)), "prefix long, last long, h long, n long")
+        found = steps.mapInArrow(tidy(_extended(length, bitmap)), "prefix long, last long, h long, n long")
         found = materialize(found.groupBy("prefix", "last", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-hashes")
         bitmap.unpersist()
         # names by joins of frequent rows: equal hashes of different phrases give more candidates, never fewer
-        ends = often.select("lang", F.col("code").alias("last"), "word")
-        level = found.join(level.select("lang", "words", F.col("h").alias("prefix")), "prefix").join(ends, ["lang", "last"])
-        level = level.select("lang", F.array_append("words", F.col("word")).alias("words"), "h")
-        level = materialize(level, "phrases")
+        level = found.join(level.select("lang", "words", "codes", F.col("h").alias("prefix")), "prefix").join(ends, ["lang", "last"])
+        level = materialize(level.select("lang", F.array_append("words", F.col("word")).alias("words"), F.array_append("codes", F.col("last")).alias("codes"), "h"), "phrases")
         if level.isEmpty():
             break
-        candidates.append(level.select("lang", "words"))
-    singles = often.select("lang", F.array("word").alias("words"), F.col("n").alias("a"))
+        candidates.append(level.select("lang", "words", "codes"))
     if not candidates:
         return singles, sizes
     every = candidates[0]
@@ -264,7 +311,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
         if arrays is None:
             continue
         trie = spark.sparkContext.broadcast(bytes(arrays[0]))
-        some = texts.mapInArrow(tidy(_trie_counts(number, trie, longest)), "shard int, state int, n long").groupBy("shard", "state").agg(F.sum("n").alias("a"))
+        some = steps.mapInArrow(tidy(_trie_counts(number, trie, longest)), "shard int, state int, n long").groupBy("shard", "state").agg(F.sum("n").alias("a"))
         some = materialize(some, "trie-counts")
         trie.unpersist()
         counted = some if counted is None else counted.unionByName(some)
