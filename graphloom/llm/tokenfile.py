@@ -94,22 +94,22 @@ def encode_bits(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths:
 
 def decode_bits(data: bytes, starts: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ids of all lanes, lane by lane; a lane begins at a bit offset and has up to ``STRIDE`` ids."""
-    symbol, bits = table
-    padded = np.frombuffer(data + bytes(8), np.uint8)
-    at, order = starts.astype(np.int64), np.argsort(-counts, kind="stable")
-    at, alive = at[order], counts[order]
+    joint = table[0] << np.uint32(5) | table[1].astype(np.uint32)  # one look-up gives both; a length takes five bits
+    words = np.frombuffer(data + bytes(12 - len(data) % 4), ">u4").astype(np.uint64)
+    order = np.argsort(-counts, kind="stable")
+    at, alive = starts[order].astype(np.uint64), counts[order]
     base = (np.cumsum(counts) - counts)[order]
     out = np.empty(int(counts.sum()), np.uint32)
+    half, five, low, top = np.uint64(32), np.uint64(5), np.uint64(31), np.uint64(64 - LIMIT)
+    peeked = np.uint64((1 << LIMIT) - 1)
     for step in range(int(counts.max(initial=0))):
         lanes = int(np.searchsorted(-alive, -step, side="left"))
         at = at[:lanes]
-        byte = at >> 3
-        four = padded[byte].astype(np.uint64)
-        for k in (1, 2, 3):
-            four = four << np.uint64(8) | padded[byte + k]
-        peek = (four >> (np.uint64(32 - LIMIT) - (at & 7).astype(np.uint64))) & np.uint64((1 << LIMIT) - 1)
-        out[base[:lanes] + step] = symbol[peek]
-        at = at + bits[peek]
+        word = (at >> five).astype(np.int64)
+        pair = words[word] << half | words[word + 1]
+        found = joint[((pair >> (top - (at & low))) & peeked).astype(np.int64)]
+        out[base[:lanes] + step] = found >> np.uint32(5)
+        at = at + (found & np.uint32(31))
     return out
 
 
@@ -124,22 +124,39 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """(doc_id, ids): ids of every whole text (null: empty) and ``end_id``, as little-endian unsigned 16-bit integers."""
+    """(doc_id, ids, counted): ids of every whole text (null: empty) and ``end_id``, as little-endian unsigned 16-bit integers.
+
+    ``counted`` is null but for one row a step, where it holds the step's
+    distinct ids and their counts, as 64-bit integers one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = spaced_encoder(tokenizer, blank_belongs=True), array("I", [end_id]).tobytes()
         for batch in batches:
             for some in text_steps(batch, most=STEP_BYTES):
-                ids = [np.frombuffer(x + end, np.uint32).astype(np.uint16).tobytes() for x in encoder.encode(some.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                ids = [_narrow(np.frombuffer(x + end, np.uint32)).tobytes() for x in encoder.encode(some.column("text").to_pylist())]
+                counts = np.zeros(1 << 16, np.int64)
+                for at in range(0, len(ids), STEP):
+                    counts += np.bincount(np.frombuffer(b"".join(ids[at : at + STEP]), np.uint16), minlength=1 << 16)
+                used = np.flatnonzero(counts)
+                counted = [np.r_[used, counts[used]].tobytes(), *[None] * (len(ids) - 1)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary()), pa.array(counted, pa.binary())], ["doc_id", "ids", "counted"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids binary, counted binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids binary")
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    if len(ids) and ids.max() >= 1 << 16:
+        raise ValueError(f"id {ids.max()} does not fit the file's 16 bits")
+    return ids.astype(np.uint16)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16), minlength=1 << 16)
+        for counted in batch.column("counted").to_pylist():
+            used, n = np.frombuffer(counted, np.int64).reshape(2, -1)
+            counts[used] += n
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["id", "n"])
 
@@ -154,7 +171,6 @@ def _encoder(lengths: np.ndarray):
                 counts = np.fromiter(map(len, listed), np.int64, len(listed)) // 2
                 data, sizes, within = encode_bits(np.frombuffer(b"".join(listed), np.uint16), counts, codes, lengths)
                 ends, places = np.cumsum(sizes).tolist(), np.cumsum(counts).tolist()
-                within = within.astype(np.int32)
                 bits = [data[e - n : e] for e, n in zip(ends, sizes.tolist())]
                 checkpoints = [within[e - n : e : STRIDE].tobytes() for e, n in zip(places, counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -172,7 +188,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def leave() -> pa.RecordBatch:
         offset, checkpoints = 0, []
         for _, _, bits, marks in docs:
-            checkpoints.append(np.frombuffer(marks, np.int32).astype(np.int64) + 8 * offset)
+            checkpoints.append(np.frombuffer(marks, np.int64) + 8 * offset)
             offset += len(bits)
         values = ([part], [start], [[d[0] for d in docs]], [[d[1] for d in docs]], [b"".join(d[2] for d in docs)], [np.concatenate(checkpoints)])
         kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
@@ -200,7 +216,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     """
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer, end_id), "token-ids")
-    counted = tokens.select("ids").mapInArrow(tidy(_count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    counted = tokens.select("counted").where("counted is not null").mapInArrow(tidy(_count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(1 << 16, np.int64)
     counts[counted["id"].to_numpy(int)] = counted["n"].to_numpy(np.int64)
     lengths = code_lengths(counts)
@@ -211,7 +227,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     cuts = tokens.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts[: parts - 1]]).cast("array<long>")
     part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0)).cast("int")
-    coded = tokens.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).mapInArrow(
+    coded = tokens.select("doc_id", "ids").withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part)).mapInArrow(
         tidy(_encoder(lengths)), "part int, doc_id long, n_tokens long, bits binary, checkpoints binary")
     ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n_tokens", "bits")
     ordered.mapInArrow(tidy(_blocks), "part int, start long, doc_ids array<long>, counts array<long>, bits binary, checkpoints array<long>").write.option(

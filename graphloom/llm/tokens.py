@@ -76,7 +76,7 @@ class SpacedEncoder:
             self.opens[number] = token.startswith(self.blank) if blank_belongs else token.endswith("</w>")
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
 
     def _alone(self, text: str) -> bytes:
         return array("I", self._ids(text)).tobytes()
@@ -92,7 +92,7 @@ class SpacedEncoder:
             text = (" " + " ".join(some)).encode().decode("latin-1").translate(self.printable)
             if self.blank_belongs:
                 text = text.replace(" ", " " + self.blank)
-            found.append(np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4"))
+            found.append(np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
         ids = np.concatenate([np.empty(0, "<u4"), *found])
         at = np.flatnonzero(self.opens[ids])
         sizes = np.diff(np.r_[at, len(ids)]) if self.blank_belongs else np.diff(np.r_[-1, at])
