@@ -34,6 +34,8 @@ from graphloom.session import materialize
 #: Words of the longest phrase, bits of a level's bitmap (a power of two), phrases of a trie, UTF-8 bytes of texts handled together.
 LONGEST, BITS, SHARD, STEP = 5, 1 << 26, 200_000, 8_000_000
 
+#: Places that a node of a trie is tried at before later nodes start further on.
+_TRIED = 64
 _LINE, _BLANK = 10, 32
 #: A-Z lower-cased; the marks that end a piece become line feeds, blanks and tabs become blanks.
 _BYTES = bytes(_LINE if chr(b) in ".,;:!?\n\x0b\x0c\r" else _BLANK if chr(b) in " \t" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -175,8 +177,10 @@ def double_array(phrases: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.n
     """``base`` and ``check`` of a trie over lists of codes from 1 on, and the state in which each list ends.
 
     The state behind code c of state s is base[s] + c if check there is s. State
-    0 is dead, state 1 the root. Nodes with most children are placed first, each
-    at the first free place of its smallest code where the others fit as well.
+    0 is dead, state 1 the root. Nodes with several children are placed first,
+    those with most of them foremost, each where all its children fit; where that
+    takes long, the search starts further on for the nodes after it, so the time
+    stays in proportion. Nodes with one child then fill the places left over.
     """
     children: list[dict[int, int]] = [{}]
     nodes = []
@@ -188,32 +192,45 @@ def double_array(phrases: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.n
                 children.append({})
             node = children[node][code]
         nodes.append(node)
-    parents = sorted((k for k in range(len(children)) if children[k]), key=lambda k: -len(children[k]))
-    codes = {k: np.array(sorted(children[k]), np.int64) for k in parents}
-    widest = max((int(c[-1]) for c in codes.values()), default=0)
-    used, free = np.zeros(2 * len(children) + 2 * widest + 64, bool), 2
-    used[:2] = True
-    bases, states = np.zeros(len(children), np.int64), np.ones(len(children), np.int64)
-    for node in parents:
-        apart = codes[node] - codes[node][0]
-        while used[free]:
-            free += 1
-        at = max(free, int(codes[node][0]) + 1)
+    wide = sorted((k for k in range(len(children)) if len(children[k]) > 1), key=lambda k: -len(children[k]))
+    single = sorted((k for k in range(len(children)) if len(children[k]) == 1), key=lambda k: next(iter(children[k])))
+    widest = max((c for row in children for c in row), default=0)
+    used, bases, states, start = bytearray(8 * len(children) + 2 * widest + 64), [0] * len(children), [1] * len(children), 2
+    used[:2] = b"\1\1"
+    for node in wide:
+        codes = sorted(children[node])
+        apart, at, tried = [c - codes[0] for c in codes], max(start, codes[0] + 1), 0
         while True:
-            if at + apart[-1] + 2 >= len(used):
-                used = np.r_[used, np.zeros(len(used), bool)]
-            if not used[at + apart].any():
+            at = used.find(0, at)
+            if at < 0 or at + apart[-1] >= len(used):
+                used.extend(bytes(len(used)))
+                at = max(at, start, codes[0] + 1)
+                continue
+            if not any(used[at + d] for d in apart):
                 break
-            at += 1 + int(np.argmin(used[at + 1 :]))
-        bases[node] = at - codes[node][0]
-        used[at + apart] = True
-        for code in codes[node].tolist():
+            at, tried = at + 1, tried + 1
+        if tried > _TRIED and codes[0] < start:
+            start = at
+        bases[node] = at - codes[0]
+        for code in codes:
+            used[bases[node] + code] = 1
             states[children[node][code]] = bases[node] + code
-    base, check = np.zeros(int(states.max()) + widest + 2, np.int32), np.full(int(states.max()) + widest + 2, -1, np.int32)
-    for node in parents:
+    at = 2
+    for node in single:  # codes ascend, and so do the places: one pass over both
+        code, child = next(iter(children[node].items()))
+        at = used.find(0, max(at, code + 1))
+        if at < 0:
+            at = len(used)
+            used.extend(bytes(len(used)))
+        used[at] = 1
+        bases[node], states[child] = at - code, at
+    size = max(states) + widest + 2
+    base, check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+    for node, row in enumerate(children):
         base[states[node]] = bases[node]
-        check[bases[node] + codes[node]] = states[node]
-    return base, check, states[nodes]
+        for code in row:
+            check[bases[node] + code] = states[node]
+    return base, check, np.array(states, np.int64)[nodes]
 
 
 def count_states(codes: np.ndarray, base: np.ndarray, check: np.ndarray, longest: int) -> np.ndarray:
