@@ -12,8 +12,6 @@ LUA_TEXT = r"(?s)--\[(=*)\[.*?\]\1\]|--[^\n]*|\[(=*)\[.*?\]\2\]|" + "|".join(
     rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'")
 CS_TEXT = (r"(?s)/\*.*?\*/|//[^\n]*|\$?@\$?" + r'"[^"]*+(?:""[^"]*+)*+"' + r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'(?:\\.|[^'\\\n])[^'\n]{0,8}'")
 # -----------------------------------------------------------------------------
-#: Block depth up to which ends are looked for: classes and their methods stand far above it.
-DEEPEST = 16
 
 
 def blanked(code: Column, pattern: str) -> Column:
@@ -58,12 +56,36 @@ def with_depth(lines: DataFrame) -> DataFrame:
 def with_block_ends(lines: DataFrame) -> DataFrame:
     """Adds ``end_line``: the first closing line at or after each line that returns to the depth before it.
 
-    One ordered pass from the end of the file keeps, for each depth up to
-    ``DEEPEST``, the next such line; deeper lines get none.
+    A closing line is the end at every depth it passes, so it is dealt to each of
+    these, about as many as its closing marks; lines are dealt to their own
+    depth, and one ordered pass over each depth of a file finds the next end.
     """
-    later = Window.partitionBy("file_id").orderBy(F.desc("no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    next_at = [F.min(F.when((F.col("closes") > 0) & (F.col("after") <= d), F.col("no"))).over(later) for d in range(DEEPEST + 1)]
-    return lines.withColumn("end_line", F.get(F.array(*next_at), F.col("before").cast("int")))
+    passed = F.explode(F.sequence(F.col("after"), F.greatest("before", "after")))
+    ends = lines.filter("closes > 0").select("file_id", passed.alias("depth"), F.col("no"), F.col("no").alias("_end"))
+    both = lines.withColumn("depth", F.col("before")).unionByName(ends, allowMissingColumns=True)
+    later = Window.partitionBy("file_id", "depth").orderBy(F.desc("no")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("end_line", F.min("_end").over(later)).filter("_end IS NULL").drop("_end", "depth")
+
+
+def with_owner(lines: DataFrame) -> DataFrame:
+    """Adds ``owner``: the innermost class whose block a line lies in, or an empty text.
+
+    Lines have ``class_name`` (null for most) and ``end_line`` of their blocks. A
+    line's level is the number of classes open before it; at that level the last
+    class opened is the one it lies in. Two ordered passes, for any depth.
+    """
+    classes = lines.filter(F.col("class_name").isNotNull())
+    ended = classes.filter(F.col("end_line").isNotNull()).select("file_id", F.col("end_line").alias("no"), F.lit(-1).alias("_step"))
+    steps = lines.withColumn("_step", F.when(F.col("class_name").isNotNull(), 1).otherwise(0)).unionByName(ended, allowMissingColumns=True)
+    before = Window.partitionBy("file_id").orderBy("no").rangeBetween(Window.unboundedPreceding, -1)
+    levelled = steps.withColumn("_level", F.coalesce(F.sum("_step").over(before), F.lit(0))).filter("_step >= 0").drop("_step")
+    opened = levelled.filter(F.col("class_name").isNotNull()).select(
+        "file_id", (F.col("_level") + 1).alias("_level"), "no", F.col("class_name").alias("_opened"))
+    both = levelled.unionByName(opened, allowMissingColumns=True)
+    upto = Window.partitionBy("file_id", "_level").orderBy("no").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("owner", F.coalesce(F.last("_opened", ignorenulls=True).over(upto), F.lit("")))
+    found = found.withColumn("owner", F.when(F.col("_level") > 0, F.col("owner")).otherwise(F.lit("")))
+    return found.filter("_opened IS NULL").drop("_opened", "_level")
 
 
 def clamped_depth(lines: DataFrame, delta: str) -> DataFrame:
