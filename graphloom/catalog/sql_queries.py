@@ -17,7 +17,8 @@ def _surface(c: Context) -> SqlSurface:
                                                   F.col("label").alias("kind")), "id")
         status = table(c.spark, c.sf_dir, "labels").select(
             F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("codefile_node_id"),
-            F.col("quality").alias("snippet_count"), F.when(F.col("toxic") == 1, F.lit("v0")).otherwise(F.lit("v1")).alias("index_version"))
+            F.col("quality").alias("snippet_count"), F.when(F.col("toxic") == 1, F.lit("v0")).otherwise(F.lit("v1")).alias("index_version"),
+            F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 5000).alias("indexed_at"))
         return SqlSurface(c.spark, readable(c.graph.nodes), c.graph.edges, snippets.drop("embedding"), status)
 
     return c._once("sql", build)
@@ -25,7 +26,7 @@ def _surface(c: Context) -> SqlSurface:
 
 _SNIPPETS = """snippets AS (SELECT 'snip:' || vec_id AS id, 'doc:' || (vec_id % 50) AS codefile_node_id, label AS kind FROM embeddings),
 file_index_status AS (SELECT 'doc:' || doc_id AS codefile_node_id, quality AS snippet_count,
-  CASE WHEN toxic = 1 THEN 'v0' ELSE 'v1' END AS index_version FROM labels)"""
+  CASE WHEN toxic = 1 THEN 'v0' ELSE 'v1' END AS index_version, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 5000) AS indexed_at FROM labels)"""
 
 
 def _register(name: str, text: str, db: str = "main", oracle: str | None = None) -> None:
@@ -90,16 +91,18 @@ _register("order_limit", """SELECT source, cast(count(*) AS bigint) AS n FROM ed
 _register("auto_limit", "SELECT label, cast(count(*) AS bigint) AS n FROM nodes GROUP BY label")
 
 
-@query("sql_dates", """SELECT strftime(o_orderdate, '%Y-%m') AS month, cast(count(*) AS bigint) AS n FROM orders GROUP BY 1""")
-def sql_dates(c: Context):
-    c.table("orders").createOrReplaceTempView("orders_dated")
-    return c.spark.sql("SELECT date_format(o_orderdate, 'yyyy-MM') AS month, count(*) AS n FROM orders_dated GROUP BY 1")
+_register("dates", """SELECT strftime('%Y-%m', indexed_at) AS month, min(datetime(indexed_at)) AS first_at, round(max(julianday(indexed_at)), 6) AS last_day,
+cast(count(*) AS bigint) AS n FROM file_index_status GROUP BY strftime('%Y-%m', indexed_at)""", "snippets", oracle="""SELECT strftime(indexed_at, '%Y-%m') AS month,
+min(strftime(indexed_at, '%Y-%m-%d %H:%M:%S')) AS first_at, round(max(epoch_us(indexed_at) / 86400000000.0::double + 2440587.5::double), 6) AS last_day,
+count(*) AS n FROM file_index_status GROUP BY 1""")
 
 
-@query("sql_table_info", """SELECT cast(0 AS int) AS cid, 'id' AS name, 'string' AS type UNION ALL SELECT 1, 'label', 'string'
-UNION ALL SELECT 2, 'name', 'string' UNION ALL SELECT 3, 'properties', 'string'""")
+@query("sql_table_info", f"""WITH {GRAPH}, n AS (SELECT count(*) AS rows, count(id) AS a, count(label) AS b, count(name) AS c FROM nodes)
+SELECT cast(0 AS int) AS cid, 'id' AS name, 'string' AS type, rows - a AS nulls FROM n UNION ALL SELECT 1, 'label', 'string', rows - b FROM n
+UNION ALL SELECT 2, 'name', 'string', rows - c FROM n UNION ALL SELECT 3, 'properties', 'string', 0 FROM n""")
 def sql_table_info(c: Context):
-    return _surface(c).query("PRAGMA table_info(nodes)").select("cid", "name", "type")
+    """Columns of the nodes view and how many of their values are missing."""
+    return _surface(c).query("PRAGMA table_info(nodes)").select("cid", "name", "type", "nulls")
 
 
 _register("dialect", """SELECT label, total(n) AS total_edges, cast(count(*) FILTER (WHERE id GLOB '*:1?') AS bigint) AS teens FROM

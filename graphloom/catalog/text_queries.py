@@ -174,11 +174,15 @@ def short_term_match(c: Context):
     return containment.contained_terms(c.table("documents"), pairs.unionAll(singles).unionAll(brands))
 
 
-@query("term_in_text", f"WITH {NODES}, t AS (SELECT text FROM documents WHERE doc_id = 12) SELECT max(id) AS id FROM nodes, t "
-       "WHERE label = 'Part' AND contains(lower(t.text) || ' red widget small ring', lower(name)) GROUP BY lower(name)")
+@query("term_in_text", """WITH t AS (SELECT doc_id, text || ' on ' || upper(p_name) || '.' AS text FROM documents JOIN part ON p_partkey = doc_id)
+SELECT doc_id, max('part:' || p_partkey) AS id FROM t, part WHERE contains(lower(text), lower(p_name)) GROUP BY doc_id, lower(p_name)""")
 def term_in_text(c: Context):
-    body = c.table("documents").filter("doc_id = 12").first()["text"] + " Red Widget small ring"
-    return textindex.exact_terms(c.graph.nodes.filter("label = 'Part'"), body).select("id")
+    """Parts whose name stands in a document, for every document that has a part of its number; of equal names the largest id."""
+    parts = c.table("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("term_id"), F.col("p_name").alias("name"), "p_partkey")
+    named = F.concat("text", F.lit(" on "), F.upper("name"), F.lit("."))
+    docs = c.table("documents").join(parts, F.col("p_partkey") == F.col("doc_id")).select("doc_id", named.alias("text"))
+    found = containment.contained_terms(docs, parts.select("term_id", "name")).join(parts, "term_id")
+    return found.groupBy("doc_id", F.lower("name").alias("name")).agg(F.max("term_id").alias("id")).select("doc_id", "id")
 
 
 @query("lexical_overlap", r"""WITH q AS (SELECT list_filter(regexp_split_to_array(lower('The worthless, Edston_x that'), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS t)
@@ -330,6 +334,18 @@ def class_lines_covered(c: Context):
     return _covered_lines(c, ".cs", ["using System;", "class Big {", "", "  int field;", *method, "  int between;"], [*method, "  int last;", "}", "// end", "class Small { }", "// end"], "// ")
 
 
+@query("chunk_bounds", """WITH d AS (SELECT doc_id, 'f' || doc_id AS f, 69 + len(string_split(text, chr(10))) AS total FROM documents)
+SELECT doc_id, f || ':__header+one' AS name, 'file_header' AS kind, cast(1 as int) AS start_line, cast(35 as int) AS end_line FROM d
+UNION ALL SELECT doc_id, 'Box.two+' || f || ':__tail', 'method', 36, cast(total as int) FROM d""")
+def chunk_bounds(c: Context):
+    """Names, kinds and bounds of Lua chunks: the short header goes with the first function, the tail with the second one, which holds a document as comments."""
+    body = ["  local y = 1"] * 31
+    lines = F.concat(F.array(*[F.lit(x) for x in ["local a = 1", "", "function one()", *body, "end", "function Box.two()"]]),
+                     F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit("  -- "), line)), F.array(*[F.lit(x) for x in [*body, "end", "return a"]]))
+    files = c.table("documents").select(F.col("doc_id").alias("file_id"), F.format_string("f%d.lua", "doc_id").alias("path"), F.array_join(lines, "\n").alias("code"))
+    return chunking.chunk_files(files, minimum=20).select(F.col("file_id").alias("doc_id"), F.col("symbol_name").alias("name"), F.col("symbol_type").alias("kind"), "start_line", "end_line")
+
+
 # --- links and names ---------------------------------------------------------
 
 _REC = "'record/' || replace(n.path[15:], '\\', '/')"
@@ -379,12 +395,14 @@ def url_classify(c: Context):
     return c.table("pages").select("page_id", links.url_parts(url).alias("u")).select("page_id", "u.*")
 
 
-@query("text_links", r"""WITH t AS (SELECT event_id, 'see wiki_story:' || (10000000 + event_id) || ' and token: ' || repeat('Ab3_', 6) || event_id || ' ' || props AS s FROM events)
-SELECT event_id, 'wiki' AS kind, repeat('Ab3_', 6) || event_id AS id FROM t UNION ALL SELECT event_id, 'story', (10000000 + event_id)::varchar FROM t""")
+@query("text_links", r"""SELECT event_id, unnest([0, 1, 2]) AS place, unnest(['story', 'wiki', 'status_story']) AS kind,
+  unnest([(10000000 + event_id)::varchar, repeat('Ab3_', 6) || event_id, (20000000 + event_id)::varchar]) AS id FROM events""")
 def text_links(c: Context):
-    said = F.concat(F.lit("see wiki_story:"), (F.col("event_id") + 10000000).cast("string"), F.lit(" and token: "),
-                    F.repeat(F.lit("Ab3_"), F.lit(6)), F.col("event_id").cast("string"), F.lit(" "), "props")
-    return c.table("events").select("event_id", F.explode(links.text_links(said)).alias("l")).select("event_id", "l.*")
+    """Links in the order of the text."""
+    number = lambda plus: (F.col("event_id") + plus).cast("string")
+    said = F.concat(F.lit("see wiki_story:"), number(10000000), F.lit(" and token: "), F.repeat(F.lit("Ab3_"), F.lit(6)), F.col("event_id").cast("string"),
+                    F.lit(" or status_story:"), number(20000000), F.lit(" "), "props")
+    return c.table("events").select("event_id", F.posexplode(links.text_links(said)).alias("place", "l")).select("event_id", "place", "l.*")
 
 
 # --- JSON --------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,14 +86,16 @@ def url_parts(url: Column) -> Column:
     return F.struct(kind.alias("kind"), token.alias("token"), ext.alias("export_ext"))
 
 
-def _tagged(kind: str):
-    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("id"))
-
-
 def text_links(text: Column) -> Column:
-    """``array<struct<kind,id>>`` of wiki tokens and story ids named in a text."""
-    found = []
-    for kind, pattern in (("wiki", WIKI_TOKEN), ("story", WIKI_STORY), ("status_story", STATUS_STORY)):
-        ids = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found.append(F.transform(ids, _tagged(kind)))
-    return F.concat(*found)
+    """``array<struct<kind,id>>`` of wiki tokens and story ids named in a text, in its order and without overlaps."""
+    patterns = {"wiki": WIKI_TOKEN, "story": WIKI_STORY, "status_story": STATUS_STORY}
+    any_of = "|".join(re.sub(r"\((?!\?)", "(?:", p) for p in patterns.values())
+
+    def read(said: Column) -> Column:
+        kind = ident = F.lit(None).cast("string")
+        for name, pattern in patterns.items():
+            hit = F.startswith(said, F.lit(re.match(r"\\b(\w+:)", pattern)[1]))
+            kind, ident = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, F.regexp_extract(said, pattern, 1)).otherwise(ident)
+        return F.struct(kind.alias("kind"), ident.alias("id"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(any_of), F.lit(0)), read)

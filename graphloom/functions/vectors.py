@@ -83,21 +83,6 @@ class HashingEmbedder:
         return vectors
 
 
-class SentenceTransformerEmbedder:
-    """Adapter for a sentence-transformers model, loaded once per Python worker."""
-
-    def __init__(self, model: str = "BAAI/bge-m3"):
-        self.model = model
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        from sentence_transformers import SentenceTransformer
-
-        if not hasattr(self, "_loaded"):
-            self._loaded = SentenceTransformer(self.model)
-        vectors = self._loaded.encode(texts).tolist()
-        return [v if t else [] for t, v in zip(texts, vectors)]
-
-
 def with_embedding(df: DataFrame, text_column: str, embedder: Embedder, batch: int = 32,
                    output: str = "embedding") -> DataFrame:
     """Add the embedding of ``text_column``; the model sees at most ``batch`` texts per call."""

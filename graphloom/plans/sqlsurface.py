@@ -147,8 +147,11 @@ class SqlSurface:
         view = self.views.get(table) if table in DATABASES[db] else None
         if view is None:
             raise Refused(f"no table {table!r} in {db}")
-        rows = [(i, f.name, f.dataType.simpleString(), not f.nullable) for i, f in enumerate(view.schema)]
-        return self.spark.createDataFrame(rows, "cid int, name string, type string, notnull boolean")
+        fields = list(enumerate(view.schema))
+        counts = view.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in fields])  # one pass
+        described = [F.struct(F.lit(i).alias("cid"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+                              F.lit(not f.nullable).alias("notnull"), (F.col("rows") - F.col(f"c{i}")).alias("nulls")) for i, f in fields]
+        return counts.select(F.explode(F.array(*described)).alias("d")).select("d.*")
 
     def answer(self, sql: str, db: str = "main") -> SqlAnswer:
         started = time.time()
