@@ -158,12 +158,15 @@ def redact(docs: DataFrame) -> DataFrame:
     empty table stays empty, very long texts are read once from end to end; all
     columns keep their name, type and place, whatever they are called.
     """
-    schema = docs.schema
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)  # Spark passes no column with a dot in its name to a task
+    text_name, count_name = (names[docs.columns.index(c)] if c in docs.columns else None for c in ("text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            before = batch.column(text_name).to_pylist()
+            texts = list(before)
             for k, text in enumerate(texts):
                 spans, out, at = spans_of(text, novelty), [], 0
                 for kind, start, end, _ in spans:
@@ -172,15 +175,14 @@ def redact(docs: DataFrame) -> DataFrame:
                     at = max(at, end)
                 if spans:
                     texts[k] = "".join(out) + text[at:]
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            columns["text"] = pa.array(texts, batch.schema.field("text").type)
-            if "n_chars" in columns:
-                old = columns["n_chars"].to_pylist()
-                same = batch.column("text").to_pylist()
-                columns["n_chars"] = pa.array([o if t == s else len(t) for o, t, s in zip(old, texts, same)], batch.schema.field("n_chars").type)
+            columns = {name: batch.column(name) for name in names}
+            columns[text_name] = pa.array(texts, batch.schema.field(text_name).type)
+            if count_name:
+                old = columns[count_name].to_pylist()
+                columns[count_name] = pa.array([o if t == s else len(t) for o, t, s in zip(old, texts, before)], batch.schema.field(count_name).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def listed(spans: Column, base_only: bool = False) -> Column:
