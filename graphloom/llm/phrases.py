@@ -8,7 +8,9 @@ Candidates come level by level and are safe in the sense of Apriori: a phrase is
 looked at only where both its parts without the last and without the first word
 are frequent. What is frequent at a level reaches the tasks as a bitmap of fixed
 size under the phrases' hashes, so its size does not grow with the corpus and a
-full bitmap costs time only. Candidates are then dealt into shards of bounded
+full bitmap costs time only. A task sends its counts by 64-bit hash, sorted and
+packed into one row for each range of hashes; one of the steps that hold a
+frequent hash then spells it out. Candidates are dealt into shards of bounded
 size, each a double-array trie over words; every task moves the states of all
 positions of its texts through it at once, word by word, and counts accepting
 states. Sums over the tasks are the exact frequencies.
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mixed, text_steps, tidy, word_hashes
+from graphloom.llm.common import mixed, sorted_groups, text_steps, tidy, word_hashes
 from graphloom.session import materialize
 
 #: Words of the longest phrase, bits of a level's bitmap (a power of two), phrases of a trie, UTF-8 bytes of texts handled together.
 LONGEST, BITS, SHARD, STEP = 5, 1 << 26, 200_000, 8_000_000
 
+#: Distinct hashes that a task holds before it sends them, words of the corpus for each range of hashes, states of a trie in a packed row.
+_HELD, _RANGE, _STATES = 4_000_000, 1 << 21, 1 << 14
 #: Places that a node of a trie is tried at before later nodes start further on.
 _TRIED = 64
 _LINE, _BLANK = 10, 32
@@ -108,63 +112,129 @@ def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-_SPELLED = "lang string, word string, code long, n long, places binary, codes binary"
+_SPELLED = "lang string, word string, code long, n long, step long, places binary, codes binary"
 
 
 def _spell(salt: int):
     """Texts to rows of their words with counts, and a row for each step: the codes of its words, and which stands at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        names = ["lang", "word", "code", "n", "places", "codes"]
+        from pyspark import TaskContext
+
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names, step = ["lang", "word", "code", "n", "step", "places", "codes"], TaskContext.get().partitionId() << 32
         for batch in batches:
             for some in text_steps(batch, most=STEP):
                 words = Words(some)
                 codes = words.codes(salt)
                 columns = (words.langs.cast(pa.string()), words.spelled.cast(pa.string()), pa.array(codes.view(np.int64)), pa.array(words.counts, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(codes), pa.binary())] * 2], names)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds[:4]], *[pa.array([x.tobytes()], pa.binary()) for x in (words.laid_out(), codes)]], names)
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(codes), k) for k in kinds[4:]]], names)
+                binaries = [pa.array([x.tobytes()], pa.binary()) for x in (words.laid_out(), codes)]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in kinds[:4]], pa.array([step], pa.int64()), *binaries], names)
+                step += 1
 
     return run
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Which word stands at each place (0: none, else from 1 on), and the words' codes."""
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of a step, which word stands at each place (0: none, else from 1 on), and the words' codes."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield tuple(np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in (("places", np.uint32), ("codes", np.uint64)))
+            binaries = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in (("places", np.uint32), ("codes", np.uint64)))
+            yield (batch.column("step")[k].as_py(), *binaries)
+
+
+def _phrases_of(level: int, places: np.ndarray, own: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the phrases of ``level`` words whose two parts of one word less are frequent, and all places' codes."""
+    codes = np.r_[np.zeros(1, np.uint64), own][places]
+    part, good = codes, codes != 0  # phrases of one word less, from every place
+    for k in range(1, level - 1):
+        part, good = joined(part[:-1], codes[k:]), good[:-1] & (codes[k:] != 0)
+    at = np.flatnonzero(good)
+    good[at] = _held(frequent, part[at])
+    at = np.flatnonzero(good[:-1] & good[1:])
+    return at, joined(part[at], codes[at + level - 1]), codes
+
+
+def _summed(hashes: np.ndarray, counts: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes in order, the sums of their counts, and for each the first of the other values."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    sums = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    return hashes[first], sums, *[x[order][first] for x in others]
+
+
+_PACKED = "range int, hashes binary, counts binary, places binary, steps binary"
+
+
+def _hash_counts(level: int, bitmap, ranges: int):
+    """A task's counts of extended phrases by hash, a packed row for each range; each hash with one of its steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, held, steps = bitmap.value, [], []
+        bounds = np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - int(np.log2(ranges)))
+
+        def leave() -> pa.RecordBatch:
+            hashes, counts, where = _summed(*(np.concatenate(x) for x in zip(*held)))
+            cuts = np.r_[0, np.searchsorted(hashes, bounds), len(hashes)]
+            used = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+            packed = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in used] for x in (hashes, counts.astype(np.uint32), where)]
+            listed = np.array(steps, np.int64).tobytes()
+            held.clear()
+            steps.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), *[pa.array(x, pa.binary()) for x in packed], pa.array([listed] * len(used), pa.binary())],
+                ["range", "hashes", "counts", "places", "steps"])
+
+        for number, places, own in _steps(batches):
+            _, hashes, _ = _phrases_of(level, places, own, frequent)
+            hashes, counts = _summed(hashes, np.ones(len(hashes), np.int64))
+            held.append((hashes, counts, np.full(len(hashes), len(steps), np.uint8)))
+            steps.append(number)
+            if sum(len(h[0]) for h in held) > _HELD or len(steps) == 256:
+                yield leave()
+        if held:
+            yield leave()
+
+    return run
 
 
-def _extended(level: int, bitmap):
-    """Occurrences of phrases of ``level`` words whose two parts of one word less are frequent: (prefix, last, h, n), equal ones counted together."""
+def _frequent_hashes(least: int):
+    """(h, owner): hashes of a sorted partition that come to ``least``, and the mark of a step that holds each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = bitmap.value
-        for places, own in _steps(batches):
-            codes = np.r_[np.zeros(1, np.uint64), own][places]
-            good = np.r_[False, _held(frequent, own)][places] if level == 2 else None
-            part, whole = codes, codes != 0  # phrases of one word less, from every place
-            for k in range(1, level - 1):
-                part, whole = joined(part[:-1], codes[k:]), whole[:-1] & (codes[k:] != 0)
-            if good is None:
-                good = whole
-                at = np.flatnonzero(whole)
-                good[at] = _held(frequent, part[at])
-            at = np.flatnonzero(good[:-1] & good[1:])
-            prefix, last = part[at], codes[at + level - 1]
-            hashes = joined(prefix, last)
-            order = np.argsort(hashes)
-            prefix, last, hashes = prefix[order], last[order], hashes[order]
-            first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])][: len(at)])
-            counts = np.diff(np.r_[first, len(at)])
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(x[first].view(np.int64)) for x in (prefix, last, hashes)], pa.array(counts, pa.int64())], ["prefix", "last", "h", "n"])
+        for table in sorted_groups(batches, ["range"]):
+            rows = [[np.frombuffer(b, kind) for b in table.column(c).to_pylist()]
+                    for c, kind in (("hashes", np.uint64), ("counts", np.uint32), ("places", np.uint8), ("steps", np.int64))]
+            steps = np.concatenate([listed[at] for at, listed in zip(rows[2], rows[3])])
+            hashes, counts, steps = _summed(np.concatenate(rows[0]), np.concatenate(rows[1]).astype(np.int64), steps)
+            kept = counts >= least
+            owners = mixed(hashes[kept] ^ mixed(steps[kept].view(np.uint64) + _FACTOR))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[kept].view(np.int64)), pa.array(owners.view(np.int64))], ["h", "owner"])
+
+    return run
+
+
+def _spelled_out(level: int, bitmap, owners):
+    """(h, codes) of the phrases whose step is their owner; a few others may come along, which are candidates without need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, places, own in _steps(batches):
+            at, hashes, codes = _phrases_of(level, places, own, bitmap.value)
+            mine = np.flatnonzero(_held(owners.value, mixed(hashes ^ mixed(np.array([number], np.int64).view(np.uint64) + _FACTOR))))
+            _, first = np.unique(hashes[mine], return_index=True)
+            at = at[mine[first]]
+            spelled = [codes[at + k].view(np.int64) for k in range(level)]
+            rows = pa.array(list(np.stack(spelled, 1)) if len(at) else [], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[mine[first]].view(np.int64)), rows], ["h", "codes"])
 
     return run
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each of the ``hashes`` (column h), put together by Spark; at most bits / 64 rows reach the driver."""
+    """A bit for each of the ``hashes`` (one column), put together by Spark; at most bits / 64 rows reach the driver."""
+    hashes = hashes.toDF("h")
     bit = F.col("h").bitwiseAND(F.lit(bits - 1))
     filled = hashes.select(F.shiftrightunsigned(bit, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))").alias("one"))
     rows = filled.groupBy("at").agg(F.bit_or("one").alias("held")).toPandas()
@@ -251,22 +321,22 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition of candidates as one trie: a row for each phrase with its state, and one with the arrays."""
     from pyspark import TaskContext
 
-    rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("lang", "words", "codes")))]
+    rows = [codes for b in batches for codes in b.column("codes").to_pylist()]
     if not rows:
         return
     shard, listed = TaskContext.get().partitionId(), {}
-    coded = [[listed.setdefault(code, len(listed) + 1) for code in codes] for _, _, codes in rows]
+    coded = [[listed.setdefault(code, len(listed) + 1) for code in codes] for codes in rows]
     base, check, states = double_array(coded)
     buffer = io.BytesIO()
     np.savez(buffer, base=base, check=check, codes=np.fromiter(listed, np.int64, len(listed)).view(np.uint64))
     n = len(rows)
-    values = ([shard] * (n + 1), [*states.tolist(), 0], [*[r[0] for r in rows], None], [*[r[1] for r in rows], None], [*[None] * n, buffer.getvalue()])
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["shard", "state", "lang", "words", "trie"])
+    values = ([shard] * (n + 1), [*states.tolist(), 0], [*rows, None], [*[None] * n, buffer.getvalue()])
+    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["shard", "state", "codes", "trie"])
 
 
-def _trie_counts(shard: int, trie, longest: int):
-    """(shard, state, n) of the texts of a task."""
+def _trie_counts(trie, longest: int):
+    """(range, counts): how often a task's texts reach the states of a trie, packed by ranges of states."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = np.load(io.BytesIO(trie.value))
@@ -274,66 +344,84 @@ def _trie_counts(shard: int, trie, longest: int):
         order = np.argsort(known)
         known, number = known[order], order + 1
         counts = np.zeros(len(base), np.int64)
-        for places, own in _steps(batches):
+        for _, places, own in _steps(batches):
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             counts += count_states(np.r_[0, np.where(known[at] == own, number[at], 0)][places], base, check, longest)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), shard, np.int32)), pa.array(used.astype(np.int32)), pa.array(counts[used])], ["shard", "state", "n"])
+        used = [k for k in range(-(-len(counts) // _STATES)) if counts[k * _STATES : (k + 1) * _STATES].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), pa.array([counts[k * _STATES : (k + 1) * _STATES].tobytes() for k in used], pa.binary())], ["range", "counts"])
 
     return run
 
 
-def _spelled(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, word, code, n) of all words, and the coded steps; codes are drawn anew in the case that two words share one."""
+def _state_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the packed counts of each range as rows (state, a); one range is held at a time, and one row of it."""
+    at, sums = None, None
+
+    def leave() -> pa.RecordBatch:
+        used = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array((at * _STATES + used).astype(np.int32)), pa.array(sums[used])], ["state", "a"])
+
+    for batch in batches:
+        for number, packed in zip(batch.column("range").to_pylist(), batch.column("counts").to_pylist()):
+            if number != at:
+                if at is not None:
+                    yield leave()
+                at, sums = number, 0
+            sums = sums + np.frombuffer(packed, np.int64)
+    if at is not None:
+        yield leave()
+
+
+def _spelled(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, word, code, n) of frequent words, (lang, n), and the coded steps; codes are drawn anew in the case that two words share one."""
     for salt in count():
         rows = materialize(texts.mapInArrow(tidy(_spell(salt)), _SPELLED), "spelled")
         words = materialize(rows.where("word is not null").groupBy("lang", "word", "code").agg(F.sum("n").alias("n")), "words")
         if words.count() == words.select("code").distinct().count():
-            return words, rows.where("places is not null").select("places", "codes")
+            return words.where(F.col("n") >= least), words.groupBy("lang").agg(F.sum("n").alias("n")), rows.where("places is not null").select("step", "places", "codes")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, bits: int = BITS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, words, a) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, n) with the words of each language."""
     spark = docs.sparkSession
-    words, steps = _spelled(docs.select("text", "lang"))
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = words.where(F.col("n") >= least)
+    often, sizes, steps = _spelled(docs.select("text", "lang"), least)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    ranges = 1 << max(3, int(np.ceil(np.log2(max(1, total / _RANGE)))))
+    share = lambda frame: spark.sparkContext.broadcast(_bitmap(frame, bits))
     singles = often.select("lang", F.array("word").alias("words"), F.col("n").alias("a"))
-    ends = often.select("lang", F.col("code").alias("last"), "word")
-    level = often.select("lang", F.array("word").alias("words"), F.array("code").alias("codes"), F.col("code").alias("h"))
-    candidates = []
+    frequent, candidates = share(often.select("code")), None
     for length in range(2, longest + 1):
-        bitmap = spark.sparkContext.broadcast(_bitmap(level, bits))
-        found = steps.mapInArrow(tidy(_extended(length, bitmap)), "prefix long, last long, h long, n long")
-        found = materialize(found.groupBy("prefix", "last", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-hashes")
-        bitmap.unpersist()
-        # names by joins of frequent rows: equal hashes of different phrases give more candidates, never fewer
-        level = found.join(level.select("lang", "words", "codes", F.col("h").alias("prefix")), "prefix").join(ends, ["lang", "last"])
-        level = materialize(level.select("lang", F.array_append("words", F.col("word")).alias("words"), F.array_append("codes", F.col("last")).alias("codes"), "h"), "phrases")
-        if level.isEmpty():
+        packed = steps.mapInArrow(tidy(_hash_counts(length, frequent, ranges)), _PACKED)
+        found = materialize(packed.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(tidy(_frequent_hashes(least)), "h long, owner long"), "phrase-hashes")
+        if found.isEmpty():
             break
-        candidates.append(level.select("lang", "words", "codes"))
-    if not candidates:
+        owners = share(found.select("owner"))
+        spelled = materialize(steps.mapInArrow(tidy(_spelled_out(length, frequent, owners)), "h long, codes array<long>"), "phrases")
+        for used in (frequent, owners):
+            used.unpersist()
+        frequent = share(found.select("h"))
+        candidates = spelled.select("codes") if candidates is None else candidates.unionByName(spelled.select("codes"))
+    if candidates is None:
         return singles, sizes
-    every = candidates[0]
-    for more in candidates[1:]:
-        every = every.unionByName(more)
-    every = materialize(every.distinct(), "candidates")
+    every = materialize(candidates.distinct(), "candidates")
     shards = max(1, -(-every.count() // shard))
-    tries = materialize(every.repartitionByRange(shards, "lang", "words").mapInArrow(
-        tidy(_tries), "shard int, state int, lang string, words array<string>, trie binary"), "tries")
+    tries = materialize(every.repartitionByRange(shards, "codes").mapInArrow(tidy(_tries), "shard int, state int, codes array<long>, trie binary"), "tries")
     counted = None
     for number in range(shards):  # one bounded trie at a time
         arrays = tries.where((F.col("shard") == number) & F.col("trie").isNotNull()).select("trie").first()
         if arrays is None:
             continue
         trie = spark.sparkContext.broadcast(bytes(arrays[0]))
-        some = steps.mapInArrow(tidy(_trie_counts(number, trie, longest)), "shard int, state int, n long").groupBy("shard", "state").agg(F.sum("n").alias("a"))
+        some = steps.mapInArrow(tidy(_trie_counts(trie, longest)), "range int, counts binary")
+        some = some.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(_state_sums), "state int, a long").withColumn("shard", F.lit(number))
         some = materialize(some, "trie-counts")
         trie.unpersist()
         counted = some if counted is None else counted.unionByName(some)
-    phrases = tries.where(F.col("trie").isNull()).join(counted, ["shard", "state"]).where(F.col("a") >= least)
-    return singles.unionByName(phrases.select("lang", "words", "a")), sizes
+    phrases = tries.where(F.col("trie").isNull()).drop("trie").join(counted, ["shard", "state"]).where(F.col("a") >= least)
+    letters = phrases.select("shard", "state", "a", F.posexplode("codes").alias("at", "code")).join(often.select("lang", "word", "code"), "code")
+    spelled = letters.groupBy("shard", "state", "a", "lang").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+    return singles.unionByName(spelled.select("lang", F.transform("w", lambda x: x["word"]).alias("words"), "a")), sizes
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, top: int = 2000, bits: int = BITS, shard: int = SHARD) -> DataFrame:
