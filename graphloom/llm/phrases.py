@@ -217,7 +217,7 @@ def _frequent_hashes(least: int):
 
 
 def _spelled_out(level: int, bitmap, owners):
-    """(h, codes) of the phrases whose step is their owner; a few others may come along, which are candidates without need."""
+    """(h, codes) of the phrases whose step is their owner; where the bitmap is full, others come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, places, own in _steps(batches):
@@ -397,7 +397,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
         if found.isEmpty():
             break
         owners = share(found.select("owner"))
-        spelled = materialize(steps.mapInArrow(tidy(_spelled_out(length, frequent, owners)), "h long, codes array<long>"), "phrases")
+        spelled = steps.mapInArrow(tidy(_spelled_out(length, frequent, owners)), "h long, codes array<long>")
+        spelled = materialize(spelled.join(found.select("h"), "h", "left_semi"), "phrases")
         for used in (frequent, owners):
             used.unpersist()
         frequent = share(found.select("h"))

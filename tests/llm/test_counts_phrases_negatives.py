@@ -110,7 +110,7 @@ def listed(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("shard, bits", [(200_000, 1 << 20), (40, 64)])
+@pytest.mark.parametrize("shard, bits", [(200_000, 1 << 20), (400, 64)])
 def test_phrases_equal_plain_counts(session, shard, bits):
     """Also with tries of few phrases, and with a bitmap so full that it sorts nothing out."""
     docs = read_table(session, FOLDER, "documents")
