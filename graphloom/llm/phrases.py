@@ -34,10 +34,10 @@ from graphloom.llm.common import mixed, sorted_groups, text_steps, tidy, word_ha
 from graphloom.session import materialize
 
 #: Words of the longest phrase, bits of a level's bitmap (a power of two), phrases of a trie, UTF-8 bytes of texts handled together.
-LONGEST, BITS, SHARD, STEP = 5, 1 << 26, 200_000, 8_000_000
+LONGEST, BITS, SHARD, STEP = 5, 1 << 26, 200_000, 4_000_000
 
 #: Distinct hashes that a task holds before it sends them, words of the corpus for each range of hashes, states of a trie in a packed row.
-_HELD, _RANGE, _STATES = 4_000_000, 1 << 21, 1 << 14
+_HELD, _RANGE, _STATES = 1_500_000, 1 << 21, 1 << 14
 #: Places that a node of a trie is tried at before later nodes start further on.
 _TRIED = 64
 _LINE, _BLANK = 10, 32
