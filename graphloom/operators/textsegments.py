@@ -63,7 +63,9 @@ class SegmentedIndex:
     def _write(self, parent: int, segments: list[Segment], corpus: dict, before: DataFrame, after: DataFrame) -> None:
         number, path = parent + 1, f"{self.folder}/segment-{uuid.uuid4().hex}"
         tokens = text.index_tokens(F.coalesce("text", F.lit("")))
-        added = after.select("id", "label", F.size(tokens).alias("doc_len"), F.explode(tokens).alias("term"))
+        # in steps of their own: beside an explode, the length would be taken from the text again for every token
+        sized = after.select("id", "label", tokens.alias("tokens")).select("id", "label", F.size("tokens").alias("doc_len"), "tokens")
+        added = sized.select("id", "label", "doc_len", F.explode("tokens").alias("term"))
         postings = added.groupBy("term", "id", "label", "doc_len").agg(F.count(F.lit(1)).alias("tf")).withColumn("segment", F.lit(number))
         postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
         before.select("id", F.lit(number).alias("segment")).write.parquet(f"{path}/dead")
