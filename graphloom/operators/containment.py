@@ -28,32 +28,35 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def contained_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(doc_id, term_id)`` where ``lower(documents.text)`` contains ``lower(terms.name)``."""
+    """``(doc_id, term_id)`` where ``lower(documents.text)`` contains ``lower(terms.name)``.
+
+    Texts are looked up and checked by distinct name; the terms that share a name join at the end.
+    """
     docs = documents.select("doc_id", F.lower("text").alias("body"))
-    names = terms.filter(F.coalesce(F.col("name"), F.lit("")) != "").select(
+    named = terms.filter((F.coalesce(F.col("name"), F.lit("")) != "") & F.col("term_id").isNotNull()).select(
         "term_id", F.lower("name").alias("name_lc"))
-    split = names.withColumn("p", _pieces(F.col("name_lc")))
+    split = named.select("name_lc").distinct().withColumn("p", _pieces(F.col("name_lc")))
     size = F.size("p")
     inner = F.filter(F.col("p"), lambda v, i: ~v.rlike(WORD) | ((i > 0) & (i < size - 1)))
     words = F.filter(inner, lambda v: v.rlike(WORD))
     has_word = F.exists(F.col("p"), lambda v: v.rlike(WORD))
 
     # whole-token anchors: inner words, or the other characters of a term without any word
-    anchors = materialize(split.select("term_id", F.explode(F.when(
+    anchors = materialize(split.select("name_lc", F.explode(F.when(
         F.size(words) > 0, F.array_distinct(words)).when(~has_word, F.array_distinct(inner))).alias("piece")), "anchors")
     # counted for the terms' own pieces only; everything else is dropped before the shuffle
     counted = (_occurrences(docs).join(anchors.select("piece").distinct(), "piece", "left_semi")
                .groupBy("piece").agg(F.count(F.lit(1)).alias("docs")))
     anchored = materialize(
-        anchors.join(counted, "piece", "left").groupBy("term_id")
+        anchors.join(counted, "piece", "left").groupBy("name_lc")
         .agg(F.min_by("piece", F.struct(F.coalesce("docs", F.lit(0)), "piece")).alias("piece")), "anchored")
 
     edge_terms = materialize(split.filter(has_word & (F.size(words) == 0)).select(
-        "term_id", _longest_word(F.col("p")).alias("part")), "edge-terms")
+        "name_lc", _longest_word(F.col("p")).alias("part")), "edge-terms")
     lookups = anchored if edge_terms.isEmpty() else anchored.unionByName(_word_parts(docs, edge_terms))
-    proposed = _occurrences(docs).join(lookups, "piece").select("doc_id", "term_id").distinct()
-    return (proposed.join(names, "term_id").join(docs, "doc_id")
-            .filter(F.contains("body", F.col("name_lc"))).select("doc_id", "term_id"))
+    proposed = _occurrences(docs).join(lookups, "piece").select("doc_id", "name_lc").distinct()
+    found = proposed.join(docs, "doc_id").filter(F.contains("body", F.col("name_lc"))).select("doc_id", "name_lc")
+    return found.join(named, "name_lc").select("doc_id", "term_id")
 
 
 def _longest_word(pieces: Column) -> Column:
@@ -62,10 +65,10 @@ def _longest_word(pieces: Column) -> Column:
 
 
 def _word_parts(docs: DataFrame, edge_terms: DataFrame) -> DataFrame:
-    """``(term_id, piece)``: the words of the texts that contain a term's longest word."""
+    """``(name_lc, piece)``: the words of the texts that contain a name's longest word."""
     vocabulary = _occurrences(docs).select("piece").filter(F.col("piece").rlike(WORD)).distinct()
     lengths = edge_terms.select(F.length("part").alias("n")).distinct()
     substrings = F.expr("array_distinct(transform(sequence(1, length(piece) - n + 1), i -> substring(piece, i, n)))")
     parts = (vocabulary.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("n"))
              .join(lengths, "n", "left_semi").select("piece", F.explode(substrings).alias("part")))
-    return materialize(parts.join(edge_terms, "part").select("term_id", "piece"), "word-parts")
+    return materialize(parts.join(edge_terms, "part").select("name_lc", "piece"), "word-parts")
