@@ -24,6 +24,9 @@ TRANSITIONS = {
 }
 TIMEOUT_MS = 30 * 60 * 1000
 LOG_LINES = 50
+# widths of time slots, each a part of the one before, and the actions from which a slot is cut
+SLOT_MS = [1 << 31, 1 << 26, 1 << 21, 1 << 16, 1 << 11, 1]
+SLOT_ACTIONS = 4096
 # -----------------------------------------------------------------------------
 
 OUTPUT = "id string, status string, changes int, log string, at timestamp"
@@ -72,57 +75,97 @@ def proposal_states(actions: DataFrame, lateness: str | None = None) -> DataFram
 class OrderedStates(StatefulProcessor):
     """Actions of a proposal held until the watermark passes them, then applied in order of event time.
 
-    ``waiting`` maps a millisecond to the actions of it, with a timer each, and
+    ``waiting`` holds actions in slots of time, with one timer a slot, at its
+    earliest action; a slot of more than ``SLOT_ACTIONS`` is cut into narrower
+    ones. A timer applies all of its slot that the watermark has passed, and
     timers of a proposal fire in order of time: whichever batch brings an action,
-    it counts where it belongs. What is held are the actions of one lateness;
-    rows come one by one from an iterator, never as a frame of one proposal.
+    it counts where it belongs. State is read and written by slot, not by action,
+    and no more than a slot of a proposal is held at a time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", "status string, log string, at timestamp, due long, changes int")
-        self.waiting = handle.getMapState("waiting", "ms long", "actions array<struct<seq:long,at:timestamp,action:string>>")
+        self.waiting = handle.getMapState("waiting", "level int, slot long", "actions array<struct<ms:long,at:timestamp,seq:long,action:string>>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fresh: dict[int, list[Row]] = {}
+        fresh: list[tuple] = []
         for row in rows:
-            fresh.setdefault(-(-int(row.micros) // 1000), []).append(row)
-            if len(fresh) >= 1000:
-                self._hold(fresh)
-                fresh = {}
-        self._hold(fresh)
+            fresh.append((-(-int(row.micros) // 1000), row.at, row.seq, row.action))
+            if len(fresh) >= SLOT_ACTIONS:
+                self._hold(0, fresh)
+                fresh = []
+        self._hold(0, fresh)
         return iter(())
 
-    def _hold(self, fresh: dict[int, list[Row]]) -> None:
-        for ms, rows in fresh.items():
-            held = list(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
-            self.waiting.updateValue((ms,), ([*held, *[(r.seq, r.at, r.action) for r in rows]],))
-            self.handle.registerTimer(ms)
+    def _held(self, place: tuple[int, int]) -> list[tuple] | None:
+        """Actions of a slot, none where it has been cut, None where there is no such slot."""
+        return [tuple(a) for a in self.waiting.getValue(place)[0]] if self.waiting.containsKey(place) else None
+
+    def _hold(self, level: int, fresh: list[tuple]) -> None:
+        slots: dict[int, list[tuple]] = {}
+        for action in fresh:
+            slots.setdefault(action[0] // SLOT_MS[level], []).append(action)
+        for slot, some in slots.items():
+            held = self._held((level, slot))
+            if held == []:
+                self._hold(level + 1, some)
+                continue
+            both = [*(held or []), *some]
+            if len(both) > SLOT_ACTIONS and level + 1 < len(SLOT_MS):
+                self.waiting.updateValue((level, slot), ([],))
+                self._hold(level + 1, both)
+                continue
+            self.waiting.updateValue((level, slot), (both,))
+            self.handle.registerTimer(min(a[0] for a in both))
+
+    def _passed(self, now: int, until: int) -> list[tuple]:
+        """The actions up to ``until`` of the slot around ``now``, which are held no longer."""
+        for level, width in enumerate(SLOT_MS):
+            place = (level, now // width)
+            held = self._held(place)
+            if held is None:
+                return []
+            if held:
+                left = [a for a in held if a[0] > until]
+                if left:
+                    self.waiting.updateValue(place, (left,))
+                    self.handle.registerTimer(min(a[0] for a in left))
+                else:
+                    self.waiting.removeKey(place)
+                return [a for a in held if a[0] <= until]
+        return []
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         status, log, at, due, changes = self.current.get() if self.current.exists() else (FIRST_STATUS, "", None, None, 0)
-        lines, before = log.split("\n") if log else [], changes
-        if due is not None and due < now:  # its own timer may come later, where the watermark has leapt
-            status, due, changes = "approved", None, changes + 1
-            lines.append("reset after timeout")
-        if self.waiting.containsKey((now,)):
-            for _, moment, action in sorted(self.waiting.getValue((now,))[0], key=lambda a: (a[1], a[0])):
+        lines, asked = log.split("\n") if log else [], due
+        steps: dict[int, list[tuple]] = {}
+        for action in self._passed(now, max(now, timerValues.getCurrentWatermarkInMs())):
+            steps.setdefault(action[0], []).append(action)
+        if due is not None and due <= now:
+            steps.setdefault(now, [])
+        for ms in sorted(steps):
+            before = changes
+            if due is not None and due < ms:  # its own timer may come later, where the watermark has leapt
+                status, due, changes = "approved", None, changes + 1
+                lines.append("reset after timeout")
+            for _, moment, _, action in sorted(steps[ms], key=lambda a: (a[1], a[2])):
                 following = TRANSITIONS.get((status, action))
                 if following:
                     status, at, changes = following, moment, changes + 1
                     lines.append(f"{action} -> {following}")
-                    due = now + TIMEOUT_MS if status == "in_progress" else None
-                    if due is not None:
-                        self.handle.registerTimer(due)
-            self.waiting.removeKey((now,))
-        if due == now:
-            status, due, changes = "approved", None, changes + 1
-            lines.append("reset after timeout")
-        log = "\n".join(lines[-LOG_LINES:])
-        self.current.update((status, log, at, due, changes))
-        if changes > before or not before:
-            yield Row(id=key[0], status=status, changes=changes, log=log, at=at)
+                    due = ms + TIMEOUT_MS if status == "in_progress" else None
+            if due == ms:
+                status, due, changes = "approved", None, changes + 1
+                lines.append("reset after timeout")
+            lines = lines[-LOG_LINES:]
+            if changes > before or not before:
+                yield Row(id=key[0], status=status, changes=changes, log="\n".join(lines), at=at)
+        if steps:
+            self.current.update((status, "\n".join(lines), at, due, changes))
+            if due is not None and due != asked:
+                self.handle.registerTimer(due)
 
 
 def ordered_states(actions: DataFrame, lateness: str) -> DataFrame:

@@ -35,3 +35,25 @@ def test_terms_of_one_name_are_looked_up_once(spark, monkeypatch):
     got = sorted((r["doc_id"], r["term_id"]) for r in containment.contained_terms(docs, terms).collect())
     assert got == sorted((d, k) for d in (1, 1, 2) for k in range(300) if k % 3 < 2)
     assert sizes["edge-terms"] == 2 and sizes["word-parts"] < 10
+
+
+def test_not_in_runs_without_a_broadcast_and_knows_missing_values(spark):
+    from graphloom.plans.sqlsurface import SqlSurface
+
+    nodes = spark.createDataFrame([("a", "L"), ("b", "L"), ("c", "M"), (None, "M")], "id string, label string")
+    edges = spark.createDataFrame([("a", "b", "R"), ("b", None, "S"), ("a", "it's (", "R")], "source string, target string, relationship string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        surface = SqlSurface(spark, nodes, edges)
+        for where in ("n.id NOT IN (SELECT e.target FROM edges e WHERE e.relationship = 'R')", "id NOT IN (SELECT target FROM edges)",
+                      "id NOT IN (SELECT target FROM edges WHERE target = 'it''s (')", "n.id NOT IN (SELECT target FROM edges WHERE source = 'none')",
+                      "NOT (n.id NOT IN (SELECT target FROM edges))", "n.id NOT IN (SELECT source FROM edges WHERE source NOT IN (SELECT target FROM edges WHERE relationship = 'R')) AND n.label = 'L'",
+                      "n.id NOT IN (SELECT e.target FROM edges e WHERE e.source = n.id)"):
+            got = surface.query(f"SELECT n.id, n.label FROM nodes n WHERE {where}")
+            if "e.source = n.id" not in where:
+                assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString(), where
+            want = spark.sql(f"SELECT n.id, n.label FROM nodes n WHERE {where}")
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), where
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
