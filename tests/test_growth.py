@@ -57,3 +57,111 @@ def test_not_in_runs_without_a_broadcast_and_knows_missing_values(spark):
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), where
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+class _State:
+    """State of one proposal in memory, as the stateful processor sees it; counts its calls."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def part(self, name):
+        outer = self
+
+        class Part:
+            def _call(self):
+                outer.calls += 1
+
+            def exists(self):
+                self._call()
+                return name in outer.values
+
+            def get(self):
+                self._call()
+                return outer.values[name]
+
+            def update(self, value):
+                self._call()
+                outer.values[name] = value
+
+            def containsKey(self, k):
+                self._call()
+                return (name, *k) in outer.values
+
+            def getValue(self, k):
+                self._call()
+                return outer.values[(name, *k)]
+
+            def updateValue(self, k, value):
+                self._call()
+                outer.values[(name, *k)] = value
+
+            def removeKey(self, k):
+                self._call()
+                del outer.values[(name, *k)]
+
+        return Part()
+
+    def getValueState(self, name, *_):
+        return self.part(name)
+
+    def getMapState(self, name, *_):
+        return self.part(name)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+
+def _drive(batches, watermarks):
+    """Changes of a proposal, in the order they come out, and the calls on its state."""
+    from types import SimpleNamespace
+
+    from graphloom.streaming.proposals import OrderedStates
+
+    state, processor, out = _State(), OrderedStates(), []
+    processor.init(state)
+    for rows, until in zip(batches, watermarks):
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda until=until: until)
+        processor.handleInputRows(("p",), iter(rows), times)
+        for ms in sorted(t for t in state.timers if t <= until):
+            state.timers.discard(ms)
+            out += processor.handleExpiredTimer(("p",), times, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))
+    return out, state.calls
+
+
+def test_actions_are_held_by_slots_of_time(monkeypatch):
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import Row
+
+    from graphloom.streaming import proposals
+
+    rng, start, hour = random.Random(4), datetime(2024, 1, 1), 3_600_000
+    for size, cap in ((300, 4096), (300, 5), (40, 2)):
+        monkeypatch.setattr(proposals, "SLOT_ACTIONS", cap, raising=False)
+        base = int((start - datetime(1970, 1, 1)).total_seconds() * 1000)
+        moments = [rng.choice([rng.randrange(48 * hour), 900_000 * rng.randrange(100)]) for _ in range(size)]
+        rows = [Row(id="p", at=start + timedelta(milliseconds=m), seq=k, micros=(base + m) * 1000,
+                    action=rng.choice(["approve", "start", "start", "finish", "fail", "restart"])) for k, m in enumerate(moments)]
+        status, since, changes = "pending", None, 0
+        for row in sorted(rows, key=lambda r: (r.at, r.seq)):
+            ms = row.micros // 1000
+            if since is not None and since + proposals.TIMEOUT_MS < ms:
+                status, since, changes = "approved", None, changes + 1
+            following = proposals.TRANSITIONS.get((status, row.action))
+            if following:
+                status, changes, since = following, changes + 1, ms if following == "in_progress" else None
+        if since is not None:
+            status, changes = "approved", changes + 1
+        rng.shuffle(rows)
+        late = base + 1000 * hour
+        # all at once, and with a watermark that passes a part of the actions first
+        early = [r for r in rows if r.micros // 1000 <= base + 20 * hour]
+        rest = [r for r in rows if r.micros // 1000 > base + 20 * hour]
+        for batches, marks in (([rows[::2], rows[1::2], [], []], [0, 0, late, 2 * late]), ([early, rest, [], []], [base + 20 * hour, base + 21 * hour, late, 2 * late])):
+            out, calls = _drive(batches, marks)
+            assert (out[-1]["status"], out[-1]["changes"]) == (status, changes)
+            assert [r["changes"] for r in out] == sorted(r["changes"] for r in out)
+            assert cap < 4096 or calls < size / 2  # several for every action before
