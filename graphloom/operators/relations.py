@@ -213,7 +213,7 @@ def names_by_label(nodes: DataFrame, shown: int = 5) -> DataFrame:
 
 def neighbor_score_sum(graph: PropertyGraph, ids: DataFrame, scores: DataFrame) -> DataFrame:
     """``(id, support)``: scores ``(id, score)`` of the distinct direct neighbours of ``ids``, summed."""
-    near = (graph.links.follow(ids.select(F.col("id").alias("a")))
+    near = (graph.follow(ids.select(F.col("id").alias("a")))
             .select(F.col("a").alias("id"), F.col("b").alias("neighbor")).distinct())
     return (near.join(scores.select(F.col("id").alias("neighbor"), "score"), "neighbor")
             .groupBy("id").agg(F.sum("score").alias("support")))

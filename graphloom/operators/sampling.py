@@ -47,7 +47,7 @@ def random_subgraph(graph: PropertyGraph, limit: int = 50, labels: Sequence[str]
     while 0 < size < limit:
         step += 1
         chosen = reduce(DataFrame.unionAll, picked)
-        offers = (graph.links.follow(chosen.select(F.col("id").alias("a")))
+        offers = (graph.follow(chosen.select(F.col("id").alias("a")))
                   .select("a", F.col("b").alias("id"))
                   .join(chosen, "id", "left_anti").join(ids, "id", "left_semi")
                   .groupBy("a").agg(F.min_by("id", _order(seed + step, "a", "id")).alias("id"))

@@ -165,3 +165,52 @@ def test_actions_are_held_by_slots_of_time(monkeypatch):
             assert (out[-1]["status"], out[-1]["changes"]) == (status, changes)
             assert [r["changes"] for r in out] == sorted(r["changes"] for r in out)
             assert cap < 4096 or calls < size / 2  # several for every action before
+
+
+def _graph(spark, edges, infra=()):
+    from graphloom.graph import PropertyGraph
+
+    ids = sorted({x for e in edges for x in e[:2] if x})
+    nodes = spark.createDataFrame([(i, "N", i, None, "L1" if i in infra else None) for i in ids], "id string, label string, name string, description string, infra_layer string")
+    return PropertyGraph(nodes, spark.createDataFrame(edges, "source string, target string, relationship string"))
+
+
+def test_a_small_frontier_needs_no_laid_out_links(spark, monkeypatch):
+    from graphloom import graph as graph_module
+    from graphloom.operators import neighborhood, paths
+
+    edges = [("hub", f"n{i}", "R") for i in range(30)] + [(f"n{i}", f"n{i + 1}", "S") for i in range(10)] + [("n1", "n1", "R"), ("n2", None, "R"), ("n3", "root", "R"), ("root", "far", "R")]
+    columns = ["a", "b", "relationship", "forward", "b_infra"]
+    found = []
+    for small in (100_000, 0):
+        monkeypatch.setattr(graph_module, "SMALL_FRONTIER", small, raising=False)
+        graph = _graph(spark, edges, infra=("root",))
+        levels = sorted(map(str, neighborhood.neighborhood_levels(graph, ["n1", "n9"], 2).collect()))
+        layers = sorted(map(str, neighborhood.traverse(graph, "n0", ["S"], "OUT", 3)[1].collect()))
+        links = sorted(map(str, graph.follow(spark.createDataFrame([("n1",), ("n2",), ("n3",), (None,)], "a string")).select(columns).collect()))
+        found.append((levels, layers, links, paths.shortest_path(graph, "n29", "far", 5)))
+        assert ("links" in graph.__dict__) == (small == 0)
+    assert found[0] == found[1] and found[0][3] == ["n29", "hub", "n3", "root", "far"]
+
+
+def test_index_is_written_when_searched_and_shuffles_texts_only(spark, monkeypatch):
+    from graphloom.operators import textindex
+    from graphloom.plans.retrieve import Retriever
+    from graphloom.plans.toolkit import Toolkit
+
+    plans, write = {}, textindex.materialize
+
+    def kept(df, name="step"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(textindex, "materialize", kept)
+    retriever = Retriever.build(_graph(spark, [("red fox", "hen", "R"), ("hen", "owl", "R")]))
+    assert "**Nodes:** 3" in Toolkit(retriever).stats_text() and not plans
+    assert [r["id"] for r in retriever.bm25("fox", 5).collect()] == ["red fox"]
+    assert plans["postings"].count("Exchange") == 1
+    docs = spark.createDataFrame([("d", "L", "aa bb aa"), ("d", "L", "aa cc dd"), (None, "L", "aa"), (None, "L", "aa"), ("e", None, None)], "id string, label string, text string")
+    index = textindex.TextIndex.build(docs)
+    assert sorted(map(str, index.postings.select("term", "id", "tf", "doc_len").collect())) == sorted(map(str, spark.createDataFrame(
+        [("aa", "d", 3, 3), ("bb", "d", 1, 3), ("cc", "d", 1, 3), ("dd", "d", 1, 3), ("aa", None, 2, 1)], "term string, id string, tf long, doc_len int").collect()))
+    assert index.corpus_size == 5
