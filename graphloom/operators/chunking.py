@@ -6,10 +6,13 @@ every window or join stays inside one file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.codelines import line_rows, with_block_ends, with_depth
+from graphloom.operators.codelines import LUA_CLOSERS, LUA_OPENERS, line_rows, with_block_ends, with_depth
+from graphloom.session import materialize
 
 # --- fixed values ------------------------------------------------------------
 MIN_LINES = 50
@@ -26,6 +29,11 @@ CS_STATEMENT = r"^\s*(?:return|new|else|throw|await|yield|using|if|for|foreach|w
 CHUNK = "array<struct<symbol_type:string,symbol_name:string,start_line:int,end_line:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it, also inside functions of array elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_language(files: DataFrame) -> DataFrame:
     """``lang`` for the structurally chunked suffixes, null for all others."""
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
@@ -58,6 +66,10 @@ def fold_small(chunks: Column, minimum: int = MIN_LINES) -> Column:
     One pass settles which chunks begin a new run; runs are then cut out, so no
     array is copied for each chunk.
     """
+    return _let(chunks, lambda whole: _folded(whole, minimum))
+
+
+def _folded(chunks: Column, minimum: int) -> Column:
     state = "struct<starts:array<int>,first:int,last:int>"
     at = F.transform(chunks, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
 
@@ -68,9 +80,10 @@ def fold_small(chunks: Column, minimum: int = MIN_LINES) -> Column:
             F.struct(F.concat(s["starts"], F.array(x["i"])).alias("starts"), x["c"]["start_line"].alias("first"), x["c"]["end_line"].alias("last")))
 
     empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("first"), F.lit(0).alias("last")).cast(state)
-    done = F.aggregate(at, empty, step)
-    short = (F.size(done["starts"]) > 1) & (done["last"] - done["first"] + 1 < minimum)
-    starts = F.when(short, F.slice(done["starts"], 1, F.size(done["starts"]) - 1)).otherwise(done["starts"])
+
+    def kept(done: Column) -> Column:
+        short = (F.size(done["starts"]) > 1) & (done["last"] - done["first"] + 1 < minimum)
+        return F.when(short, F.slice(done["starts"], 1, F.size(done["starts"]) - 1)).otherwise(done["starts"])
 
     def run(pair: Column) -> Column:
         members = F.slice(chunks, pair["a"] + 1, pair["b"] - pair["a"])
@@ -78,12 +91,19 @@ def fold_small(chunks: Column, minimum: int = MIN_LINES) -> Column:
                         F.array_join(F.transform(members, lambda m: m["symbol_name"]), "+").alias("symbol_name"),
                         F.get(members, F.lit(0))["start_line"].alias("start_line"), F.element_at(members, -1)["end_line"].alias("end_line"))
 
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(chunks)))
-    return F.transform(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), run)
+    def runs(starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(chunks)))
+        return F.transform(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), run)
+
+    return _let(_let(F.aggregate(at, empty, step), kept), runs)
 
 
 def with_gaps(chunks: Column, lines: Column, base: Column) -> Column:
     """Ordered, disjoint chunks with one more for every stretch of lines between them that is not blank."""
+    return _let(F.struct(chunks.alias("chunks"), lines.alias("lines")), lambda x: _gapless(x["chunks"], x["lines"], base))
+
+
+def _gapless(chunks: Column, lines: Column, base: Column) -> Column:
     count = F.size(chunks)
     places = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(
         i.alias("i"), F.when(i == 0, F.lit(1)).otherwise(F.get(chunks, i - 1)["end_line"] + 1).alias("a"),
@@ -115,13 +135,12 @@ def chunk_files(files: DataFrame, minimum: int = MIN_LINES, size: int = WINDOW_L
             F.lit("file_chunk").alias("symbol_type"), stem(F.col("path")).alias("symbol_name"),
             F.lit(1).alias("start_line"), F.col("total").alias("end_line"))))
         .otherwise(fold_small(F.coalesce("chunks", line_windows(F.col("total"), size, overlap)), minimum)))
-    # texts are cut inside the row, so the file itself is not repeated per chunk
-    chunks = F.transform("plan", lambda c: F.struct(
+    # texts are cut inside the row, so the file itself is not repeated per chunk, and is split once for all its chunks
+    cut = lambda lines: F.transform("plan", lambda c: F.struct(
         c["symbol_type"].alias("symbol_type"), c["symbol_name"].alias("symbol_name"),
         c["start_line"].alias("start_line"), c["end_line"].alias("end_line"), _lines_of(c).alias("line_count"),
-        F.array_join(F.slice(F.col("lines"), c["start_line"], _lines_of(c)), "\n").alias("code_text")))
-    return (planned.withColumn("lines", F.split("code", "\n"))
-            .select("file_id", "path", F.posexplode(chunks).alias("ordinal", "c"))
+        F.array_join(F.slice(lines, c["start_line"], _lines_of(c)), "\n").alias("code_text")))
+    return (planned.select("file_id", "path", F.posexplode(_let(F.split("code", "\n"), cut)).alias("ordinal", "c"))
             .select("file_id", "path", "ordinal", "c.*"))
 
 
@@ -130,7 +149,8 @@ def _structure(files: DataFrame) -> DataFrame:
 
     A Lua file without functions and a C# file without classes is one whole chunk.
     """
-    lines = with_block_ends(with_depth(line_rows(files)))
+    telling = materialize(_telling(line_rows(files)), "lines")  # few lines, read by several joins; texts are cut into lines once
+    lines = with_block_ends(with_depth(telling))
     parts = _lua_parts(lines).unionByName(_class_parts(lines))
     whole = files.select("file_id", F.lit("file_chunk").alias("symbol_type"), stem(F.col("path")).alias("symbol_name"),
                          F.lit(1).alias("start_line"), F.col("total").alias("end_line")).join(
@@ -142,9 +162,19 @@ def _structure(files: DataFrame) -> DataFrame:
             .select("file_id", F.transform("k", lambda v: v["c"]).cast(CHUNK).alias("chunks")))
 
 
+def _telling(lines: DataFrame) -> DataFrame:
+    """The lines that open or close a block or may name a part, with these names instead of their text; no other line tells of structure."""
+    name = lambda lang, pattern: F.when(F.col("lang") == lang, F.regexp_extract("line", pattern, 1)).otherwise(F.lit(""))
+    method = F.when(F.col("line").rlike(CS_STATEMENT), F.lit("")).otherwise(name("csharp", CS_METHOD))
+    named = lines.select("file_id", "lang", "no", "bare", name("lua", LUA_FUNCTION).alias("function_name"),
+                         name("csharp", CS_CLASS).alias("class_found"), method.alias("method_name"))
+    marks = F.when(F.col("lang") == "lua", F.col("bare").rlike(f"{LUA_OPENERS}|{LUA_CLOSERS}")).otherwise(F.col("bare").rlike(r"[{}]"))
+    return named.filter(marks | (F.concat("function_name", "class_found", "method_name") != ""))
+
+
 def _lua_parts(lines: DataFrame) -> DataFrame:
     """The top-level functions."""
-    name = F.regexp_extract("line", LUA_FUNCTION, 1)
+    name = F.col("function_name")
     functions = lines.filter((F.col("lang") == "lua") & (F.col("before") == 0) & (name != "") & F.col("end_line").isNotNull())
     kind = F.when(name.rlike("[.:]"), F.lit("method")).otherwise(F.lit("function"))
     return functions.select("file_id", kind.alias("symbol_type"), name.alias("symbol_name"), F.col("no").alias("start_line"), "end_line")
@@ -157,7 +187,7 @@ def _class_parts(lines: DataFrame) -> DataFrame:
     one running value in line order tells it.
     """
     cs = lines.filter(F.col("lang") == "csharp")
-    name = F.when(F.col("end_line").isNotNull(), F.nullif(F.regexp_extract("line", CS_CLASS, 1), F.lit("")))
+    name = F.when(F.col("end_line").isNotNull(), F.nullif("class_found", F.lit("")))
     named = cs.withColumn("class_name", name)
     before = Window.partitionBy("file_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max(F.when(F.col("class_name").isNotNull(), F.col("end_line"))).over(before), F.lit(0))
@@ -168,8 +198,8 @@ def _class_parts(lines: DataFrame) -> DataFrame:
     long = F.col("end_line") - F.col("no") + 1 > MAX_CLASS_LINES
     whole = outer.filter("outermost").filter(~long).select(
         "file_id", F.lit("class").alias("symbol_type"), F.col("class_name").alias("symbol_name"), F.col("no").alias("start_line"), "end_line")
-    method = F.regexp_extract("line", CS_METHOD, 1)
-    members = within.filter((method != "") & ~F.col("line").rlike(CS_STATEMENT) & F.col("end_line").isNotNull() & ~F.col("outermost")
+    method = F.col("method_name")
+    members = within.filter((method != "") & F.col("end_line").isNotNull() & ~F.col("outermost")
                             & (F.col("own.to") - F.col("own.from") + 1 > MAX_CLASS_LINES)
                             & (F.col("no") <= F.col("own.to")) & (F.col("before") == F.col("own.level")))
     # methods of one class stand one after the other; what an earlier one covers is no method of its own

@@ -214,3 +214,26 @@ def test_index_is_written_when_searched_and_shuffles_texts_only(spark, monkeypat
     assert sorted(map(str, index.postings.select("term", "id", "tf", "doc_len").collect())) == sorted(map(str, spark.createDataFrame(
         [("aa", "d", 3, 3), ("bb", "d", 1, 3), ("cc", "d", 1, 3), ("dd", "d", 1, 3), ("aa", None, 2, 1)], "term string, id string, tf long, doc_len int").collect()))
     assert index.corpus_size == 5
+
+
+def test_a_file_is_cut_into_lines_a_few_times_whatever_its_chunks(spark, monkeypatch):
+    from graphloom.operators import chunking
+
+    sizes, write = {}, chunking.materialize if hasattr(chunking, "materialize") else None
+
+    def counted(df, name="step"):
+        made = write(df, name)
+        sizes[name] = made.count()
+        return made
+
+    monkeypatch.setattr(chunking, "materialize", counted, raising=False)
+    method = lambda k: [f"  int M{k}(int a)", "  {", *["    a++;"] * 60, "  }"]
+    big = ["using System;", "class Big {", *[x for k in range(5) for x in method(k)], "  int last;", "}"]
+    files = spark.createDataFrame([("1", "a.cs", "\n".join(big)), ("2", "b.lua", "\n".join(["x = 1"] * 40 + ["function f()", *["  y = 2"] * 30, "end"])),
+                                   ("3", "c.txt", "\n".join(["line"] * 300))], "file_id string, path string, code string")
+    chunks = chunking.chunk_files(files)
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("split(code") <= 10  # 58, most for every chunk again, before
+    got = {f: [(r["symbol_name"], r["start_line"], r["end_line"]) for r in chunks.filter(f"file_id = '{f}'").orderBy("ordinal").collect()] for f in "123"}
+    assert got["1"] == [("a:__header+Big.M0", 1, 65)] + [(f"Big.M{k}", 3 + 63 * k, 65 + 63 * k) for k in range(1, 4)] + [("Big.M4+a:__tail", 255, 319)]
+    assert got["2"] == [("b:__header+f", 1, 72)] and got["3"] == [(f"__chunk_{k}", 80 * k - 79, min(80 * k + 20, 300)) for k in range(1, 5)]
+    assert sizes["lines"] < 20
