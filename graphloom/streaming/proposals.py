@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,10 +28,13 @@ LOG_LINES = 50
 # widths of time slots, each a part of the one before, and the actions from which a slot is cut
 SLOT_MS = [1 << 31, 1 << 26, 1 << 21, 1 << 16, 1 << 11, 1]
 SLOT_ACTIONS = 4096
+# groups of proposals that share their state calls and timers
+PROPOSAL_GROUPS = 1024
 # -----------------------------------------------------------------------------
 
 OUTPUT = "id string, status string, changes int, log string, at timestamp"
 STATE = "status string, log string, at timestamp, changes int"
+CHANGE = "id string, status string, changes int, log string, micros long"
 
 
 def proposal_states(actions: DataFrame, lateness: str | None = None) -> DataFrame:
@@ -73,37 +77,40 @@ def proposal_states(actions: DataFrame, lateness: str | None = None) -> DataFram
 
 
 class OrderedStates(StatefulProcessor):
-    """Actions of a proposal held until the watermark passes them, then applied in order of event time.
+    """Actions of a group of proposals held until the watermark passes them, then applied in order of event time.
 
     ``waiting`` holds actions in slots of time, with one timer a slot, at its
     earliest action; a slot of more than ``SLOT_ACTIONS`` is cut into narrower
     ones. A timer applies all of its slot that the watermark has passed, and
-    timers of a proposal fire in order of time: whichever batch brings an action,
-    it counts where it belongs. State is read and written by slot, not by action,
-    and no more than a slot of a proposal is held at a time.
+    timers of a group fire in order of time: whichever batch brings an action,
+    it counts where it belongs. State is read and written by slot, not by action
+    or proposal, as one text each, and no more than a slot of a group is held at
+    a time. ``current`` has the status of each proposal, ``dues`` those to be
+    reset at a moment.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "status string, log string, at timestamp, due long, changes int")
-        self.waiting = handle.getMapState("waiting", "level int, slot long", "actions array<struct<ms:long,at:timestamp,seq:long,action:string>>")
+        self.current = handle.getMapState("current", "id string", "status string, log string, micros long, due long, changes int")
+        self.waiting = handle.getMapState("waiting", "level int, slot long", "actions string")
+        self.dues = handle.getMapState("dues", "due long", "ids string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fresh: list[tuple] = []
+        fresh: list[list] = []
         for row in rows:
-            fresh.append((-(-int(row.micros) // 1000), row.at, row.seq, row.action))
+            fresh.append([-(-int(row.micros) // 1000), row.id, row.micros, row.seq, row.action])
             if len(fresh) >= SLOT_ACTIONS:
                 self._hold(0, fresh)
                 fresh = []
         self._hold(0, fresh)
         return iter(())
 
-    def _held(self, place: tuple[int, int]) -> list[tuple] | None:
+    def _held(self, place: tuple[int, int]) -> list[list] | None:
         """Actions of a slot, none where it has been cut, None where there is no such slot."""
-        return [tuple(a) for a in self.waiting.getValue(place)[0]] if self.waiting.containsKey(place) else None
+        return json.loads(self.waiting.getValue(place)[0]) if self.waiting.containsKey(place) else None
 
-    def _hold(self, level: int, fresh: list[tuple]) -> None:
-        slots: dict[int, list[tuple]] = {}
+    def _hold(self, level: int, fresh: list[list]) -> None:
+        slots: dict[int, list[list]] = {}
         for action in fresh:
             slots.setdefault(action[0] // SLOT_MS[level], []).append(action)
         for slot, some in slots.items():
@@ -113,13 +120,13 @@ class OrderedStates(StatefulProcessor):
                 continue
             both = [*(held or []), *some]
             if len(both) > SLOT_ACTIONS and level + 1 < len(SLOT_MS):
-                self.waiting.updateValue((level, slot), ([],))
+                self.waiting.updateValue((level, slot), ("[]",))
                 self._hold(level + 1, both)
                 continue
-            self.waiting.updateValue((level, slot), (both,))
+            self.waiting.updateValue((level, slot), (json.dumps(both),))
             self.handle.registerTimer(min(a[0] for a in both))
 
-    def _passed(self, now: int, until: int) -> list[tuple]:
+    def _passed(self, now: int, until: int) -> list[list]:
         """The actions up to ``until`` of the slot around ``now``, which are held no longer."""
         for level, width in enumerate(SLOT_MS):
             place = (level, now // width)
@@ -128,20 +135,38 @@ class OrderedStates(StatefulProcessor):
                 return []
             if held:
                 left = [a for a in held if a[0] > until]
-                if left:
-                    self.waiting.updateValue(place, (left,))
-                    self.handle.registerTimer(min(a[0] for a in left))
-                else:
+                if not left:
                     self.waiting.removeKey(place)
+                elif len(left) < len(held):
+                    self.waiting.updateValue(place, (json.dumps(left),))
+                    self.handle.registerTimer(min(a[0] for a in left))
                 return [a for a in held if a[0] <= until]
         return []
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        status, log, at, due, changes = self.current.get() if self.current.exists() else (FIRST_STATUS, "", None, None, 0)
-        lines, asked = log.split("\n") if log else [], due
-        steps: dict[int, list[tuple]] = {}
+        found: dict[str | None, list[list]] = {}
         for action in self._passed(now, max(now, timerValues.getCurrentWatermarkInMs())):
+            found.setdefault(action[1], []).append(action)
+        if self.dues.containsKey((now,)):
+            for proposal in json.loads(self.dues.getValue((now,))[0]):
+                found.setdefault(proposal, [])
+            self.dues.removeKey((now,))
+        dues: dict[int, list[str | None]] = {}
+        for proposal, actions in found.items():
+            yield from self._advance(proposal, actions, now, dues)
+        for due, proposals in dues.items():
+            before = json.loads(self.dues.getValue((due,))[0]) if self.dues.containsKey((due,)) else []
+            self.dues.updateValue((due,), (json.dumps(before + proposals),))
+            self.handle.registerTimer(due)
+
+    def _advance(self, proposal: str | None, actions: list[list], now: int, dues: dict[int, list[str | None]]) -> Iterator[Row]:
+        """Rows of a proposal's changes; a moment at which it is to be reset is added to ``dues``."""
+        known = self.current.containsKey((proposal,))
+        status, log, at, due, changes = self.current.getValue((proposal,)) if known else (FIRST_STATUS, "", None, None, 0)
+        lines, asked = log.split("\n") if log else [], due
+        steps: dict[int, list[list]] = {}
+        for action in actions:
             steps.setdefault(action[0], []).append(action)
         if due is not None and due <= now:
             steps.setdefault(now, [])
@@ -150,7 +175,7 @@ class OrderedStates(StatefulProcessor):
             if due is not None and due < ms:  # its own timer may come later, where the watermark has leapt
                 status, due, changes = "approved", None, changes + 1
                 lines.append("reset after timeout")
-            for _, moment, _, action in sorted(steps[ms], key=lambda a: (a[1], a[2])):
+            for _, _, moment, _, action in sorted(steps[ms], key=lambda a: (a[2], a[3])):
                 following = TRANSITIONS.get((status, action))
                 if following:
                     status, at, changes = following, moment, changes + 1
@@ -161,11 +186,11 @@ class OrderedStates(StatefulProcessor):
                 lines.append("reset after timeout")
             lines = lines[-LOG_LINES:]
             if changes > before or not before:
-                yield Row(id=key[0], status=status, changes=changes, log="\n".join(lines), at=at)
+                yield Row(id=proposal, status=status, changes=changes, log="\n".join(lines), micros=at)
         if steps:
-            self.current.update((status, "\n".join(lines), at, due, changes))
+            self.current.updateValue((proposal,), (status, "\n".join(lines), at, due, changes))
             if due is not None and due != asked:
-                self.handle.registerTimer(due)
+                dues.setdefault(due, []).append(proposal)
 
 
 def ordered_states(actions: DataFrame, lateness: str) -> DataFrame:
@@ -175,8 +200,10 @@ def ordered_states(actions: DataFrame, lateness: str) -> DataFrame:
     dropped, as the watermark has passed it. A proposal in progress for 30
     minutes of event time goes back to approved. Needs the RocksDB state store.
     """
-    rows = actions.select("id", "action", "at", "seq", F.unix_micros("at").alias("micros")).withWatermark("at", lateness)
-    return rows.groupBy("id").transformWithState(OrderedStates(), OUTPUT, "Update", "EventTime")
+    rows = actions.select("id", "action", "at", "seq", F.unix_micros("at").alias("micros"),
+                          F.pmod(F.xxhash64("id"), F.lit(PROPOSAL_GROUPS)).alias("part")).withWatermark("at", lateness)
+    changed = rows.groupBy("part").transformWithState(OrderedStates(), CHANGE, "Update", "EventTime")
+    return changed.select("id", "status", "changes", "log", F.timestamp_micros("micros").alias("at"))
 
 
 def latest_states(updates: DataFrame) -> DataFrame:

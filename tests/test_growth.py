@@ -237,3 +237,20 @@ def test_a_file_is_cut_into_lines_a_few_times_whatever_its_chunks(spark, monkeyp
     assert got["1"] == [("a:__header+Big.M0", 1, 65)] + [(f"Big.M{k}", 3 + 63 * k, 65 + 63 * k) for k in range(1, 4)] + [("Big.M4+a:__tail", 255, 319)]
     assert got["2"] == [("b:__header+f", 1, 72)] and got["3"] == [(f"__chunk_{k}", 80 * k - 79, min(80 * k + 20, 300)) for k in range(1, 5)]
     assert sizes["lines"] < 20
+
+
+def test_proposals_of_a_group_share_their_state_calls():
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import Row
+
+    from graphloom.streaming import proposals
+
+    start, base = datetime(2024, 1, 1), 1_704_067_200_000
+    acts = ["approve", "start", "finish"]
+    rows = [Row(id=f"p{p}" if p else None, at=start + timedelta(minutes=k), seq=k, micros=(base + 60_000 * k) * 1000, action=acts[k])
+            for p in range(100) for k in range(3) if p % 2 or k < 2]  # even ones stay in progress until they are reset
+    out, calls = _drive([rows[::2], rows[1::2], [], []], [0, 0, base + 600_000, base + 2 * proposals.TIMEOUT_MS])
+    last = {r["id"]: (r["status"], r["changes"]) for r in out}
+    assert last == {f"p{p}" if p else None: ("completed", 3) if p % 2 else ("approved", 3) for p in range(100)}
+    assert calls < 6 * 100  # two to four for every action of each proposal before
