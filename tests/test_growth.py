@@ -254,3 +254,29 @@ def test_proposals_of_a_group_share_their_state_calls():
     last = {r["id"]: (r["status"], r["changes"]) for r in out}
     assert last == {f"p{p}" if p else None: ("completed", 3) if p % 2 else ("approved", 3) for p in range(100)}
     assert calls < 6 * 100  # two to four for every action of each proposal before
+
+
+def test_ranks_need_no_links_by_name(spark, monkeypatch):
+    from graphloom import graph as graph_module
+    from graphloom.operators.pagerank import personalized_pagerank
+
+    edges = [("hub", f"n{i}", "R") for i in range(30)] + [("hub", "n1", "S"), ("n1", "n1", "R"), ("n2", None, "R"), (None, "n3", "R"), ("n3", "far", "R")]
+    degree, links = {}, []
+    for s, t, _ in edges:
+        for a, b in ((s, t), (t, s)):
+            degree[a] = degree.get(a, 0) + 1
+            if a and b:
+                links.append((a, b))
+    want = {"n1": 0.5, "far": 0.5}
+    for _ in range(10):
+        fresh = {"n1": 0.075, "far": 0.075}
+        for a, b in links:
+            if a in want:
+                fresh[b] = fresh.get(b, 0.0) + 0.85 * want[a] / degree[a]
+        want = fresh
+    for hot in (100_000, 4):
+        monkeypatch.setattr(graph_module, "HOT_MINIMUM", hot)
+        graph = _graph(spark, edges)
+        got = {r["id"]: r["score"] for r in personalized_pagerank(graph, ["n1", "far"]).collect()}
+        assert (graph.walk.links.hot is None) == (hot > 4) and "links" not in graph.__dict__  # laid out by name first before
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
