@@ -10,6 +10,7 @@ from graphloom.catalog.sqltext import bm25_index, bm25_scores
 from graphloom.operators.textsegments import SegmentedIndex
 from graphloom.session import work_path
 from graphloom.sources.edit_log import EditLog, cascade
+from graphloom.sources.star_graph import star_graph
 
 COMMITS = 5
 
@@ -86,9 +87,10 @@ def _parts_log(c: Context) -> EditLog:
     """Parts and their suppliers: whole, without large parts, with small ones marked, and back to the second version."""
     nodes = c.table("part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("Part").alias("label"),
                                    _json(name=F.col("p_name"), size=F.col("p_size")).alias("properties"))
-    edges = c.graph.edges.filter("relationship = 'SUPPLIED_BY'")
+    supplied = star_graph(c.spark, c.sf_dir).edges.filter("relationship = 'SUPPLIED_BY'")  # of the whole graph only these are read
     log = EditLog(c.spark, work_path(c.spark, "edit-log"))
-    log.create("parts", nodes=nodes, edges=edges)
+    log.create("parts", nodes=nodes, edges=supplied)
+    edges = log.read("edges")  # as written
     sized = lambda where: c.table("part").filter(where).select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
     large = sized("p_size > 40")
     log.commit({"nodes": large.select("id", F.lit("drop").alias("op"), F.lit(1).alias("seq")), "edges": cascade(edges, large)}, "no large parts")

@@ -280,3 +280,18 @@ def test_ranks_need_no_links_by_name(spark, monkeypatch):
         got = {r["id"]: r["score"] for r in personalized_pagerank(graph, ["n1", "far"]).collect()}
         assert (graph.walk.links.hot is None) == (hot > 4) and "links" not in graph.__dict__  # laid out by name first before
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_the_parts_log_reads_supplied_edges_only(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from graphloom.catalog import version_queries
+
+    edges = [("part:1", "supplier:1", "SUPPLIED_BY"), ("part:1", "supplier:2", "SUPPLIED_BY"), ("part:2", "supplier:1", "SUPPLIED_BY"), ("order:1", "part:1", "CONTAINS")]
+    tiny = _graph(spark, edges)
+    tiny.edges = tiny.edges.selectExpr("*", "'{}' AS properties")
+    monkeypatch.setattr(version_queries, "star_graph", lambda *_: tiny, raising=False)
+    part = spark.createDataFrame([(1, "a", 50), (2, "b", 5)], "p_partkey long, p_name string, p_size int")
+    c = SimpleNamespace(spark=spark, sf_dir=str(tmp_path), table=lambda name: part)  # no graph: it was written whole before
+    log = version_queries._parts_log(c)
+    assert [(log.read("nodes", v).count(), log.read("edges", v).count()) for v in (1, 2, 3, 4)] == [(2, 3), (1, 1), (1, 1), (1, 1)]
