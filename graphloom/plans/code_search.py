@@ -69,9 +69,8 @@ def rank_terms(retriever: Retriever, query: str, top_k: int = 10,
         for label in (TERM_LABEL, ENTITY_LABEL)])
     hits = of_terms.unionByName(of_entities)
     best = hits.groupBy("id").agg(F.max_by(F.struct(*hits.columns), "score").alias("h")).select("h.*")
-    ids = [r["id"] for r in best.select("id").collect()]  # at most two hit lists long
-    degree = (retriever.graph.symmetric_edges().filter(F.col("a").isin(*ids))
-              .groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree")))
+    ids = best.select(F.col("id").alias("a"))  # at most two hit lists long
+    degree = retriever.graph.near(ids).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     top = hits.agg(F.max("score").alias("top"), F.lit(1).alias("one"))
     names = _aliases(best)
     rows = (best.withColumn("aliases", names).withColumn("one", F.lit(1)).join(degree, "id", "left")

@@ -295,3 +295,33 @@ def test_the_parts_log_reads_supplied_edges_only(spark, tmp_path, monkeypatch):
     c = SimpleNamespace(spark=spark, sf_dir=str(tmp_path), table=lambda name: part)  # no graph: it was written whole before
     log = version_queries._parts_log(c)
     assert [(log.read("nodes", v).count(), log.read("edges", v).count()) for v in (1, 2, 3, 4)] == [(2, 3), (1, 1), (1, 1), (1, 1)]
+
+
+def test_a_small_frontier_needs_no_written_graph(spark, monkeypatch):
+    from graphloom import graph as graph_module
+    from graphloom.graph import PropertyGraph, StoredGraph
+    from graphloom.operators import neighborhood
+
+    pairs = [(1, 7), (1, 7), (1, 8), (2, 7), (3, None), (None, 7)]
+    lines = spark.createDataFrame(pairs, "o long, p long").distinct().selectExpr("'order:' || o AS source", "'part:' || p AS target", "'CONTAINS' AS relationship")
+    twice = spark.createDataFrame([("part:7", "part:7", "SELF"), ("part:7", "root", "IN"), ("part:7", "root", "IN"), ("root", "far", "IN")], lines.schema)
+    tiny = PropertyGraph(_graph(spark, [("order:1", "part:7", "R"), ("root", "far", "R")], infra=("root",)).nodes, lines.unionAll(twice))
+    written, path = [], graph_module.work_path
+    monkeypatch.setattr(graph_module, "work_path", lambda s, name: written.append(name) or path(s, name))
+    monkeypatch.setattr(graph_module, "materialize", lambda df, name: written.append(name) or df)
+
+    graph = StoredGraph(tiny)
+    ids = spark.createDataFrame([("part:7",), ("order:1",), ("part:7",), (None,)], "a string")
+    near = graph.near(ids)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert all("LeftSemi" in part.split("LogicalRDD")[0] for part in plan.split("Aggregate [")[1:]) and plan.count("Aggregate [") == 2
+    columns = ["a", "b", "relationship", "forward"]
+    want = tiny.symmetric_edges().filter("a IN ('part:7', 'order:1')").select(columns)
+    first = sorted(map(str, near.select(columns).collect()))
+    assert first == sorted(map(str, want.collect())) and len(first) == 9
+    nodes, edges = neighborhood.traverse(graph, "order:1", ["CONTAINS", "IN"], "OUT", 3, max_results=None)
+    assert sorted(map(tuple, nodes.collect())) == [(1, "part:7"), (1, "part:8"), (2, "root"), (3, "far")] and edges.count() == 4
+    assert neighborhood.traverse(graph, "none", ["CONTAINS"])[1].dtypes == edges.dtypes
+    assert written == ["infra"]  # the whole graph, nodes too, before
+    assert graph.nodes.count() == 4 and graph.edges.count() == tiny.edges.count() and graph.edges is graph.edges and written == ["infra", "nodes", "edges"]
+    assert sorted(map(str, graph.near(ids).select(columns).collect())) == first
