@@ -214,6 +214,25 @@ def test_index_is_written_when_searched_and_shuffles_texts_only(spark, monkeypat
     assert sorted(map(str, index.postings.select("term", "id", "tf", "doc_len").collect())) == sorted(map(str, spark.createDataFrame(
         [("aa", "d", 3, 3), ("bb", "d", 1, 3), ("cc", "d", 1, 3), ("dd", "d", 1, 3), ("aa", None, 2, 1)], "term string, id string, tf long, doc_len int").collect()))
     assert index.corpus_size == 5
+    empty = spark.range(1000).selectExpr("'q' || id AS id", "'Question' AS label", "if(id % 2 = 0, '', null) AS text")
+    mixed = textindex.TextIndex.build(docs.unionByName(empty))
+    assert "length(text" in plans["postings"].split("Exchange")[1]  # rows without text were shuffled too before
+    assert mixed.corpus_size == 1005 and sorted(map(str, mixed.postings.collect())) == sorted(map(str, index.postings.collect()))
+
+
+def test_related_terms_are_ranked_without_written_edges(spark, monkeypatch):
+    from graphloom import graph as graph_module
+    from graphloom.graph import StoredGraph
+    from graphloom.plans import code_search
+    from graphloom.plans.retrieve import Retriever
+
+    written, path = [], graph_module.work_path
+    monkeypatch.setattr(graph_module, "work_path", lambda s, name: written.append(name) or path(s, name))
+    tiny = _graph(spark, [("red fox", "hen", "R"), ("red fox", "red fox", "R"), ("hen", "owl", "R"), ("fox", "owl", "R"), ("ant", "bee", "R"), ("cow", "dog", "R")])
+    tiny.nodes = tiny.nodes.withColumn("label", F.expr("if(id LIKE '%fox', 'BusinessTerm', 'CodeFile')")).withColumn("path", F.lit(None).cast("string"))
+    found = code_search.rank_terms(Retriever.build(StoredGraph(tiny)), "fox", 5)
+    assert {r["id"]: r["degree"] for r in found.collect()} == {"red fox": 3, "fox": 1}
+    assert "edges" not in written  # all edges were written for the degrees before
 
 
 def test_a_file_is_cut_into_lines_a_few_times_whatever_its_chunks(spark, monkeypatch):
