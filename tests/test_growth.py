@@ -344,3 +344,41 @@ def test_a_small_frontier_needs_no_written_graph(spark, monkeypatch):
     assert written == ["infra"]  # the whole graph, nodes too, before
     assert graph.nodes.count() == 4 and graph.edges.count() == tiny.edges.count() and graph.edges is graph.edges and written == ["infra", "nodes", "edges"]
     assert sorted(map(str, graph.near(ids).select(columns).collect())) == first
+
+
+def test_a_rank_round_moves_one_value_for_a_node_that_blocks_share(spark, monkeypatch):
+    import random
+
+    from graphloom import linkblocks
+    from graphloom.operators.pagerank import personalized_pagerank
+
+    rng = random.Random(3)
+    edges = [(f"low{i}", f"hub{rng.randrange(4)}", "R") for i in range(900) for _ in range(3)]
+    edges += [(f"hub{rng.randrange(4)}", f"low{i}", "S") for i in range(50)] + [(f"x{rng.randrange(40)}", f"x{rng.randrange(40)}", "T") for _ in range(200)]
+    edges += [("low1", "low1", "R"), ("hub1", "hub1", "R"), ("low2", None, "R"), (None, "hub2", "R"), (None, None, "R"), ("hub3", "x1", "R"), ("only", None, "R")]
+    degree, links = {}, []
+    for s, t, _ in edges:
+        for a, b in ((s, t), (t, s)):
+            degree[a] = degree.get(a, 0) + 1
+            if a and b:
+                links.append((a, b))
+    seeds = ["low1", "x5", "none", "only"]
+    want = {s: 0.25 for s in seeds if s in degree}
+    for _ in range(10):
+        fresh = {s: 0.15 / 4 for s in seeds if s in degree}
+        for a, b in links:
+            if a in want:
+                fresh[b] = fresh.get(b, 0.0) + 0.85 * want[a] / degree[a]
+        want = fresh
+    want["none"] = 0.15 / 4
+    moved, number, cases = [], linkblocks._number, ((10**9, None), (500, None), (500, 0))
+    for least, clash in cases:  # one block, several, and numbers that two ids share at first
+        monkeypatch.setattr(linkblocks, "LEAST_ENDS", least)
+        monkeypatch.setattr(linkblocks, "_number", lambda seed, c: F.least(number(seed, c), F.lit(0)) if seed == clash else number(seed, c))
+        graph = _graph(spark, edges)
+        got = {r["id"]: r["score"] for r in personalized_pagerank(graph, seeds).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        sizes = graph.blocks.blocks.selectExpr("other >= 0 AS away", "length(hubs) / 4 AS hubs").filter("away").agg(F.sum("hubs")).first()[0]
+        moved.append((graph.blocks.blocks.select("block").distinct().count(), sizes))
+    assert moved[0][0] == 1 and moved[1][0] == 8
+    assert all(2 * hubs < len(links) / 4 for _, hubs in moved)  # a round moved a row for almost every link before
