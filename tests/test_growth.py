@@ -427,3 +427,22 @@ def test_paths_of_several_pairs_share_their_passes(spark, monkeypatch):
             one = paths.path_detail(graph, source, target, 6)
             assert [tuple(r) for r in one[0].orderBy("step").collect()] == [tuple(r)[1:] for r in nodes]
             assert [tuple(r) for r in one[1].orderBy("step").collect()] == [tuple(r)[1:] for r in links]
+
+
+def test_a_deep_search_reads_its_links_in_few_passes(spark, monkeypatch):
+    from graphloom import graph as graph_module
+    from graphloom.graph import StoredGraph
+    from graphloom.plans.retrieve import Retriever
+
+    edges = [(f"fox {k}", f"den {k % 2}", "R") for k in range(5)] + [("den 0", "wood", "IN"), ("den 1", "wood", "IN"), ("wood", "land", "IN")]
+    passes, follow = [], graph_module.PropertyGraph.follow
+    monkeypatch.setattr(graph_module.PropertyGraph, "follow", lambda self, *a, **k: passes.append(1) or follow(self, *a, **k))
+    tiny = StoredGraph(_graph(spark, edges))
+    retriever = Retriever.build(tiny)
+    assert tiny._nodes.made is None  # written for every retriever before, whatever was asked of it
+    found = retriever.deep_retrieve("fox", 5, "bm25")
+    assert [[n["id"] for n in nodes] for nodes, _ in found.paths] == [
+        ["fox 0", "den 0", "wood", "den 1", "fox 1"], ["fox 1", "den 1", "wood", "den 0", "fox 2"], ["fox 2", "den 0", "wood", "den 1", "fox 3"]]
+    assert sorted(r["id"] for r in found.neighbors.collect()) == ["den 0", "den 1"]
+    assert sorted(r["id"] for r in found.ranked.collect()) == ["land", "wood"]
+    assert len(passes) <= 5 and not {"links", "walk"} & set(tiny.__dict__)  # two for the neighbours, three for all paths; four a path before
